@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 def grouped_sum(facts: DataFrame, group_cols, measure: str, alias: str | None = None) -> DataFrame:
     """A1: sum of ``measure`` per group; an all-NULL group sums to 0 (quirk X10 kept)."""
-    dtype = facts.schema[measure].dataType
-    zero = F.lit(0).cast(dtype)
-    return facts.groupBy(*group_cols).agg(F.coalesce(F.sum(measure), zero).cast(dtype).alias(alias or measure))
+    zero = F.lit(0).cast(facts.schema[measure].dataType)
+    return facts.groupBy(*group_cols).agg(F.coalesce(F.sum(measure), zero).alias(alias or measure))
 
 
 def group_stats(facts: DataFrame, group_cols, measure: str, distinct_col: str | None = None) -> DataFrame:

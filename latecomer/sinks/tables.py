@@ -153,7 +153,7 @@ def record_affected(lake: Lake, ds: Dataset, keys: DataFrame | None = None,
 # --------------------------------------------------------------------------- upsert
 
 def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
-           order_cols=(), only_changed: bool = False) -> None:
+           order_cols=(), only_changed: bool = False, delete_keys: DataFrame | None = None) -> None:
     """K3 / K4 / K5: keyed upsert of ``batch`` into ``ds``.
 
     * create the table on first write (everything affected);
@@ -161,6 +161,8 @@ def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
       keys, post-image, deleted), then rewrite only those partitions and remove the ones
       that emptied.
     The batch is deduplicated first (last row by ``order_cols``, full tie-break).
+    ``delete_keys`` removes those keys as well (row-level deletes propagated from an
+    upstream snapshot, quirk X2, or tombstones, D3).
     """
     _check_mode(mode)
     if not ds.key:
@@ -174,21 +176,33 @@ def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
                             partitions=batch.select(*pcols) if pcols else None)
             return
         target = read(lake, ds)
+        dropped = None
+        if delete_keys is not None:
+            dropped = target.join(delete_keys.select(*keys).distinct(), keys, "left_semi")
         deleted = deleted_rows(target.select(*keys), batch, keys) if mode == SNAPSHOT else None
+        if dropped is not None:
+            dk = dropped.select(*keys)
+            deleted = dk if deleted is None else deleted.unionByName(dk)
         parts = None
         if pcols:
             if mode == SNAPSHOT and only_changed:
                 parts = changed_partitions_only(target, batch, keys, pcols)
             else:
                 parts = affected_partitions(target, batch, keys, pcols, mode)
+            if dropped is not None:
+                parts = parts.unionByName(dropped.select(*pcols)).distinct()
         record_affected(lake, ds, keys=changed_keys(batch, keys), partitions=parts, deleted=deleted)
         if not pcols:
-            merged = merge_result(target, batch, keys, mode).checkpoint(eager=True)
-            write(lake, ds, merged, "overwrite")
+            merged = merge_result(target, batch, keys, mode)
+            if delete_keys is not None:
+                merged = merged.join(delete_keys.select(*keys).distinct(), keys, "left_anti")
+            write(lake, ds, merged.checkpoint(eager=True), "overwrite")
             return
         fixed = affected(lake, ds, "partitions")          # the change set as committed
         scope = rows_in_groups(target, fixed, pcols)
         new_rows = merge_partitions(scope, batch, keys, mode)
+        if delete_keys is not None:
+            new_rows = new_rows.join(delete_keys.select(*keys).distinct(), keys, "left_anti")
         if mode == SNAPSHOT and only_changed:
             # unchanged partitions are not rewritten: restrict the snapshot to the marked ones
             new_rows = rows_in_groups(new_rows, fixed, pcols)
