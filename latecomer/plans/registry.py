@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import cost_scenarios, event_scenarios
+from . import cost_scenarios, event_scenarios, geo_scenarios
 
 
 def _modules():
-    mods = [cost_scenarios, event_scenarios]
+    mods = [cost_scenarios, event_scenarios, geo_scenarios]
     return mods
 
 
