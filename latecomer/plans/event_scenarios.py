@@ -48,7 +48,7 @@ def event_sig() -> F.Column:
         .otherwise(F.floor(F.col("value") * 10).cast("bigint"))
 
 
-def event_features(events: DataFrame) -> DataFrame:
+def event_features(events: DataFrame, update_offset_ms: int = 0) -> DataFrame:
     """each event as a compact GeoJSON feature, with the UTC day and a sequence
     number used to pack bounded documents."""
     ms = ntz_epoch_ms("ts")
@@ -60,7 +60,7 @@ def event_features(events: DataFrame) -> DataFrame:
         F.col("value").alias("mag"),
         F.concat(F.lit("zone-"), (F.col("user_id") % ZONES).cast("string")).alias("place"),
         ms.alias("time"),
-        (ms + (F.col("event_id") % UPDATE_MOD) * UPDATE_STEP_MS).alias("updated"),
+        (ms + (F.col("event_id") % UPDATE_MOD) * UPDATE_STEP_MS + F.lit(update_offset_ms)).alias("updated"),
         F.lit("reviewed").alias("status"),
         event_sig().alias("sig"),
         F.col("event_type").alias("magType"),

@@ -33,10 +33,13 @@ FACT_SCHEMA = StructType([
 ])
 
 SILVER = Dataset("silver", "costs", "fact", FACT_SCHEMA, key=KEYS, partition_by=GROUPS)
+# Gold holds one row per (period, center): one folder per group would mean one tiny file
+# per row, so it is partitioned by period only; a group replace rewrites the folder of
+# each touched month (its few centers) and nothing else.
 GOLD = Dataset("gold", "costs", "cost_by_period",
                StructType([FACT_SCHEMA["cost_period"], FACT_SCHEMA["cost_center"],
                            StructField("amount", DecimalType(28, 2), True)]),
-               partition_by=GROUPS)
+               partition_by=("cost_period",))
 BRONZE = Dataset("bronze", "costs", "raw", bronze_schema(FACT_SCHEMA), partition_by=("run_ts",))
 
 # fixed values of the change scenario
