@@ -27,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fixed
+
 PLACES_PER_CELL = 8.0          # target density of the first level
 MIN_CELL = 1e-4                # about 0.6 km: finer cells only multiply levels
 
@@ -98,9 +100,9 @@ def nearest_place(points: DataFrame, places: DataFrame, point_id: str, place_id:
             break
         # each level is written to the checkpoint dir, so level k plans only over its own
         # unresolved points (no lineage that doubles per level), and survives lost executors
-        got = got.checkpoint(eager=True)
+        got = fixed(got)
         resolved.append(got)
-        pending = pending.join(got.select("pid"), "pid", "left_anti").checkpoint(eager=True)
+        pending = fixed(pending.join(got.select("pid"), "pid", "left_anti"))
         if pending.isEmpty():
             break
         h = min(2.0, h * 2.0)

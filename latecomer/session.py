@@ -82,3 +82,10 @@ def env_cpus(default: int = 8) -> int:
         return int(os.environ.get("BENCH_CPUS", default))
     except ValueError:
         return default
+
+
+def fixed(df):
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage, so later
+    stages (and retries after a lost executor) read exactly these rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -13,11 +13,11 @@ emptied partition leaves that partition's old rows until the run is retried.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fs
+from ..session import fixed
 from ..dataset import INGESTED_COL, RUN_COL, Dataset, Lake
 from ..operators.changes import (INCREMENTAL, SNAPSHOT, _check_mode, affected_partitions,
                                  changed_keys, changed_partitions_only, dedup_latest,
@@ -85,11 +85,21 @@ def drop_partitions(lake: Lake, ds: Dataset, partitions: list[tuple], path: str
     return n
 
 
-def _emptied(parts: DataFrame, new_rows: DataFrame, cols) -> list[tuple]:
-    """Affected partitions that get no rows. Computed before the data write, because the
-    rewrite leaves an emptied folder in place. Bounded by the partition count."""
-    gone = rows_outside_groups(parts.select(*cols).distinct(), new_rows.select(*cols), cols)
-    return [tuple(r) for r in gone.collect()]
+def _emptied(affected_parts: DataFrame, incoming: DataFrame, kept: DataFrame, cols) -> list[tuple]:
+    """Affected partitions left without rows, to remove after the rewrite (a dynamic
+    overwrite leaves a partition that gets no rows in place).
+
+    Only affected partitions that receive no incoming rows can empty; usually there are
+    none and no further job runs. For the few candidates, the kept rows decide.
+    Bounded by the partition count, never rows."""
+    cols = list(cols)
+    cand = rows_outside_groups(affected_parts.select(*cols).distinct(), incoming.select(*cols), cols)
+    candidates = [tuple(r) for r in cand.collect()]
+    if not candidates:
+        return []
+    cand_df = kept.sparkSession.createDataFrame(candidates, affected_parts.select(*cols).schema)
+    still = {tuple(r) for r in rows_in_groups(kept.select(*cols), cand_df, cols).distinct().collect()}
+    return [c for c in candidates if c not in still]
 
 
 # --------------------------------------------------------------------------- bronze
@@ -145,8 +155,8 @@ def record_affected(lake: Lake, ds: Dataset, keys: DataFrame | None = None,
             continue
         if level != "partitions" and not ds.key:
             continue
-        if rows.isEmpty():
-            continue
+        # an empty set writes no partition: the marker stays absent (or, on a retry, keeps
+        # what the earlier attempt recorded); no separate emptiness job is needed
         _write_marker(lake, ds, level, rows)
 
 
@@ -168,50 +178,52 @@ def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
     if not ds.key:
         raise ValueError(f"{ds.rel()}: upsert requires a key")
     keys, pcols = list(ds.key), list(ds.partition_by)
-    batch = dedup_latest(conform(batch, ds), keys, order_cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if not table_exists(lake, ds):
-            write(lake, ds, batch, "overwrite")
-            record_affected(lake, ds, keys=changed_keys(batch, keys),
-                            partitions=batch.select(*pcols) if pcols else None)
-            return
-        target = read(lake, ds)
-        dropped = None
-        if delete_keys is not None:
-            dropped = target.join(delete_keys.select(*keys).distinct(), keys, "left_semi")
-        deleted = deleted_rows(target.select(*keys), batch, keys) if mode == SNAPSHOT else None
+    # Fixed once, in the shared checkpoint dir: the batch may be derived from the very table
+    # this upsert rewrites, and a lost executor must not recompute it from the new files.
+    batch = fixed(dedup_latest(conform(batch, ds), keys, order_cols))
+    if not table_exists(lake, ds):
+        write(lake, ds, batch, "overwrite")
+        record_affected(lake, ds, keys=changed_keys(batch, keys),
+                        partitions=batch.select(*pcols) if pcols else None)
+        return
+    target = read(lake, ds)
+    tk = target.select(*keys, *[c for c in pcols if c not in keys])      # P4: narrow scan
+    batch_keys = batch.select(*keys).distinct()
+    dropped = None
+    if delete_keys is not None:
+        dropped = tk.join(delete_keys.select(*keys).distinct(), keys, "left_semi")
+    deleted = tk.join(batch_keys, keys, "left_anti").select(*keys) if mode == SNAPSHOT else None
+    if dropped is not None:
+        deleted = dropped.select(*keys) if deleted is None else deleted.unionByName(dropped.select(*keys))
+    parts = None
+    if pcols:
+        if mode == SNAPSHOT and only_changed:
+            parts = changed_partitions_only(target, batch, keys, pcols)
+        elif mode == SNAPSHOT:
+            # every target row is either matched or deleted: all its partitions are affected
+            parts = tk.select(*pcols).unionByName(batch.select(*pcols)).distinct()
+        else:
+            parts = affected_partitions(tk, batch, keys, pcols, mode)
         if dropped is not None:
-            dk = dropped.select(*keys)
-            deleted = dk if deleted is None else deleted.unionByName(dk)
-        parts = None
-        if pcols:
-            if mode == SNAPSHOT and only_changed:
-                parts = changed_partitions_only(target, batch, keys, pcols)
-            else:
-                parts = affected_partitions(target, batch, keys, pcols, mode)
-            if dropped is not None:
-                parts = parts.unionByName(dropped.select(*pcols)).distinct()
-        record_affected(lake, ds, keys=changed_keys(batch, keys), partitions=parts, deleted=deleted)
-        if not pcols:
-            merged = merge_result(target, batch, keys, mode)
-            if delete_keys is not None:
-                merged = merged.join(delete_keys.select(*keys).distinct(), keys, "left_anti")
-            write(lake, ds, merged.checkpoint(eager=True), "overwrite")
-            return
-        fixed = affected(lake, ds, "partitions")          # the change set as committed
-        scope = rows_in_groups(target, fixed, pcols)
-        new_rows = merge_partitions(scope, batch, keys, mode)
+            parts = parts.unionByName(dropped.select(*pcols)).distinct()
+    record_affected(lake, ds, keys=batch_keys, partitions=parts, deleted=deleted)
+    if not pcols:
+        merged = merge_result(target, batch, keys, mode)
         if delete_keys is not None:
-            new_rows = new_rows.join(delete_keys.select(*keys).distinct(), keys, "left_anti")
-        if mode == SNAPSHOT and only_changed:
-            # unchanged partitions are not rewritten: restrict the snapshot to the marked ones
-            new_rows = rows_in_groups(new_rows, fixed, pcols)
-        gone = _emptied(fixed, new_rows, pcols)
-        if not new_rows.isEmpty():
-            overwrite_partitions(lake, ds, new_rows)
-        drop_partitions(lake, ds, gone)
-    finally:
-        batch.unpersist()
+            merged = merged.join(delete_keys.select(*keys).distinct(), keys, "left_anti")
+        write(lake, ds, fixed(merged), "overwrite")
+        return
+    fixed = affected(lake, ds, "partitions")          # the change set as committed
+    scope = rows_in_groups(target, fixed, pcols)
+    new_rows = merge_partitions(scope, batch, keys, mode)
+    if delete_keys is not None:
+        new_rows = new_rows.join(delete_keys.select(*keys).distinct(), keys, "left_anti")
+    if mode == SNAPSHOT and only_changed:
+        # unchanged partitions are not rewritten: restrict the snapshot to the marked ones
+        new_rows = rows_in_groups(new_rows, fixed, pcols)
+    gone = _emptied(fixed, batch, new_rows, pcols)
+    overwrite_partitions(lake, ds, new_rows)
+    drop_partitions(lake, ds, gone)
 
 
 # --------------------------------------------------------------------------- group replace
@@ -227,7 +239,7 @@ def replace_groups(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFra
     if pcols and missing:
         raise ValueError(f"{ds.rel()}: partitions {pcols} must be covered by the group columns {cols}")
     check_groups(groups, cols, ds.rel())
-    new_rows = conform(new_rows, ds)
+    new_rows = fixed(conform(new_rows, ds))     # computed once, lineage cut
     check_within_groups(new_rows, groups, cols, ds.rel())
     groups = groups.select(*cols).distinct()
     if not table_exists(lake, ds):
@@ -236,14 +248,14 @@ def replace_groups(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFra
         return
     target = read(lake, ds)
     if not pcols:
-        merged = rows_outside_groups(target, groups, cols).unionByName(new_rows).checkpoint(eager=True)
+        merged = fixed(rows_outside_groups(target, groups, cols).unionByName(new_rows))
         write(lake, ds, merged, "overwrite")
         return
     touched = groups.select(*pcols).distinct()
-    scope = rows_in_groups(target, touched, pcols)
-    out = rows_outside_groups(scope, groups, cols).unionByName(new_rows)
-    gone = _emptied(touched, out, pcols)
     record_affected(lake, ds, partitions=touched)
-    if not out.isEmpty():
-        overwrite_partitions(lake, ds, out)
+    fixed = affected(lake, ds, "partitions")
+    scope = rows_in_groups(target, fixed, pcols)
+    rest = rows_outside_groups(scope, groups, cols)
+    gone = _emptied(fixed, new_rows, rest, pcols)
+    overwrite_partitions(lake, ds, rest.unionByName(new_rows))
     drop_partitions(lake, ds, gone)
