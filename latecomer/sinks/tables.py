@@ -213,15 +213,15 @@ def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
             merged = merged.join(delete_keys.select(*keys).distinct(), keys, "left_anti")
         write(lake, ds, fixed(merged), "overwrite")
         return
-    fixed = affected(lake, ds, "partitions")          # the change set as committed
-    scope = rows_in_groups(target, fixed, pcols)
+    committed = affected(lake, ds, "partitions")          # the change set as committed
+    scope = rows_in_groups(target, committed, pcols)
     new_rows = merge_partitions(scope, batch, keys, mode)
     if delete_keys is not None:
         new_rows = new_rows.join(delete_keys.select(*keys).distinct(), keys, "left_anti")
     if mode == SNAPSHOT and only_changed:
         # unchanged partitions are not rewritten: restrict the snapshot to the marked ones
-        new_rows = rows_in_groups(new_rows, fixed, pcols)
-    gone = _emptied(fixed, batch, new_rows, pcols)
+        new_rows = rows_in_groups(new_rows, committed, pcols)
+    gone = _emptied(committed, batch, new_rows, pcols)
     overwrite_partitions(lake, ds, new_rows)
     drop_partitions(lake, ds, gone)
 
@@ -253,9 +253,9 @@ def replace_groups(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFra
         return
     touched = groups.select(*pcols).distinct()
     record_affected(lake, ds, partitions=touched)
-    fixed = affected(lake, ds, "partitions")
-    scope = rows_in_groups(target, fixed, pcols)
+    committed = affected(lake, ds, "partitions")
+    scope = rows_in_groups(target, committed, pcols)
     rest = rows_outside_groups(scope, groups, cols)
-    gone = _emptied(fixed, new_rows, rest, pcols)
+    gone = _emptied(committed, new_rows, rest, pcols)
     overwrite_partitions(lake, ds, rest.unionByName(new_rows))
     drop_partitions(lake, ds, gone)
