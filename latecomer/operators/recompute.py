@@ -6,11 +6,12 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..dataset import Dataset, Lake
 from ..sinks.tables import replace_groups
 from ..sources.tables import affected, read
-from .groups import recompute_groups
+from .groups import recompute_groups, rows_in_groups
 
 
 def recompute(lake: Lake, source: Dataset, target: Dataset, group_cols,
@@ -29,3 +30,23 @@ def recompute(lake: Lake, source: Dataset, target: Dataset, group_cols,
     groups, fresh = recompute_groups(rows, changed, group_cols, aggregate)
     replace_groups(lake, target, fresh, groups, group_cols)
     return True
+
+
+def backfill(lake: Lake, source: Dataset, target: Dataset, group_cols,
+             aggregate: Callable[[DataFrame], DataFrame], lower=None, upper=None,
+             on: str | None = None) -> bool:
+    """Recompute every group of the source (full backfill), or those whose ``on``
+    column lies in ``[lower, upper]`` (ranged backfill), and replace them."""
+    cols = list(group_cols)
+    rows = read(lake, source)
+    groups = rows.select(*cols).distinct()
+    if on is not None:
+        if lower is not None:
+            groups = groups.where(F.col(on) >= F.lit(lower))
+        if upper is not None:
+            groups = groups.where(F.col(on) <= F.lit(upper))
+    if groups.isEmpty():
+        return False
+    fresh = aggregate(rows_in_groups(rows, groups, cols))
+    replace_groups(lake, target, fresh, groups, cols)
+    return True

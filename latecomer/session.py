@@ -88,4 +88,10 @@ def fixed(df):
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage, so later
     stages (and retries after a lost executor) read exactly these rows."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # an eager reliable checkpoint runs its plan twice (count, then the checkpoint write);
+    # caching first makes the second pass read the cached blocks instead
+    df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
