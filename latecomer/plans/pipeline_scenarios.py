@@ -12,7 +12,8 @@ from . import costs, earthquakes
 from . import orders_facts as of
 from .event_scenarios import PER_DOC, SQL_DEPTH, SQL_LAT, SQL_LON, event_features, land_event_feed
 from .geo_scenarios import PLACE_LAT_MOD, PLACE_LAT_MULT, PLACE_LON_MOD, PLACE_LON_MULT, supplier_places
-from .orders_facts import SQL_CORRECTED, SQL_FACTS, SQL_SNAPSHOT, as_double, sql_with
+from .orders_facts import (SQL_BATCH, SQL_CORRECTED, SQL_FACTS, SQL_INITIAL, SQL_MERGED,
+                           SQL_SNAPSHOT, as_double, sql_with)
 
 # fixed values of the pipeline scenarios
 SPLIT_DAY = "2024-01-16"          # run 1 lands the days before, run 2 the days from here on
@@ -71,14 +72,39 @@ def q20_earthquakes_pipeline(spark, sf_dir):
                        F.unix_millis("updated").alias("updated_ms"))
 
 
+# ------------------------------------------------------------------ q29  streaming form
+
+def q29_stream_propagation(spark, sf_dir):
+    """The first load, then the late/corrected batch, land as files; a file stream with
+    an available-now trigger runs after each landing (two scheduled runs, one micro-batch
+    each). Gold equals the batch computation of q10."""
+    from ..operators.aggregates import grouped_sum
+    from ..streaming.feed import start_file_stream
+
+    facts = of.cost_facts(of.table(spark, sf_dir, "orders"))
+    root = scratch_root(spark, "stream")
+    lake = Lake(spark, root)
+    source = f"{root}/landing"
+    for i, batch in enumerate((of.initial_load(facts), of.incremental_batch(facts))):
+        batch.write.mode("append").parquet(source)
+        q = start_file_stream(spark, source, of.FACT_SCHEMA, lake, of.SILVER, of.GOLD, of.GROUPS,
+                              lambda f: grouped_sum(f, of.GROUPS, "amount"))
+        q.awaitTermination()
+    return as_double(read(lake, of.GOLD), "amount")
+
+
 QUERIES = {
     "q17_costs_pipeline": q17_costs_pipeline,
     "q20_earthquakes_pipeline": q20_earthquakes_pipeline,
+    "q29_stream_propagation": q29_stream_propagation,
 }
 
 _REV = f"(event_id % {REVISION_MOD} = {REVISION_REM} AND ts < TIMESTAMP '{SPLIT_DAY}')"
 
 ORACLE = {
+    "q29_stream_propagation": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_BATCH, SQL_MERGED)
+    + "SELECT cost_period, cost_center, CAST(SUM(amount) AS DOUBLE) AS amount FROM merged GROUP BY 1, 2",
+
     "q17_costs_pipeline": sql_with(SQL_FACTS, SQL_CORRECTED, SQL_SNAPSHOT)
     + "SELECT cost_period, cost_center, CAST(SUM(amount) AS DOUBLE) AS amount FROM snap GROUP BY 1, 2",
 
