@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fs
+from ..functions.scalar import utc_now_iso
 from ..session import fixed
 from ..dataset import INGESTED_COL, RUN_COL, Dataset, Lake
 from ..operators.changes import (INCREMENTAL, SNAPSHOT, _check_mode, affected_partitions,
@@ -106,8 +107,7 @@ def _emptied(affected_parts: DataFrame, incoming: DataFrame, kept: DataFrame, co
 
 def stamp(df: DataFrame, run_ts: str, ingested_at: str | None = None) -> DataFrame:
     """Literal audit columns."""
-    ing = F.lit(ingested_at) if ingested_at is not None else \
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    ing = F.lit(ingested_at) if ingested_at is not None else utc_now_iso()
     return df.withColumns({INGESTED_COL: ing.cast("string"), RUN_COL: F.lit(run_ts)})
 
 
