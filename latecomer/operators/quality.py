@@ -28,11 +28,12 @@ def quality_checks(df: DataFrame, keys, partition_by=()) -> DataFrame:
          if partition_by else F.lit(0)).cast("bigint").alias("null_partition"))
     dups = (df.where(~any_null_key).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") > 1).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("duplicate_key")))
-    return (flat.select(F.lit("null_key").alias("rule"), F.col("null_key").alias("failing_rows"))
-            .unionByName(flat.select(F.lit("null_partition").alias("rule"),
-                                     F.col("null_partition").alias("failing_rows")))
-            .unionByName(dups.select(F.lit("duplicate_key").alias("rule"),
-                                     F.col("duplicate_key").alias("failing_rows"))))
+    per_rule = flat.select(F.explode(F.array(
+        F.struct(F.lit("null_key").alias("rule"), F.col("null_key").alias("failing_rows")),
+        F.struct(F.lit("null_partition").alias("rule"), F.col("null_partition").alias("failing_rows")),
+    )).alias("r")).select("r.*")
+    return per_rule.unionByName(dups.select(F.lit("duplicate_key").alias("rule"),
+                                            F.col("duplicate_key").alias("failing_rows")))
 
 
 def observed(df: DataFrame, name: str, **counts) -> tuple[DataFrame, Observation]:

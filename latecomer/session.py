@@ -84,14 +84,24 @@ def env_cpus(default: int = 8) -> int:
         return default
 
 
+def stage(df, label: str = "staged"):
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back:
+    lineage is cut (later stages and retries after a lost executor read exactly these
+    rows), in one pass, columnar, so later reads still prune columns.
+    Returns ``(frame, path)``; the caller may remove ``path`` once done with the frame."""
+    spark = df.sparkSession
+    path = scratch_root(spark, label)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def fixed(df):
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage, so later
-    stages (and retries after a lost executor) read exactly these rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    # an eager reliable checkpoint runs its plan twice (count, then the checkpoint write);
-    # caching first makes the second pass read the cached blocks instead
-    df.persist()
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    """:func:`stage` without the path (the folder lives as long as the checkpoint dir)."""
+    return stage(df)[0]
+
+
+def release(path: str | None, spark) -> None:
+    """Remove a staged folder."""
+    if path:
+        from . import fs
+        fs.delete(spark, path)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import fs
 from ..functions.scalar import utc_now_iso
-from ..session import fixed
+from ..session import fixed, release, stage
 from ..dataset import INGESTED_COL, RUN_COL, Dataset, Lake
 from ..operators.changes import (INCREMENTAL, SNAPSHOT, _check_mode, affected_partitions,
                                  changed_keys, changed_partitions_only, dedup_latest,
@@ -180,7 +180,15 @@ def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
     keys, pcols = list(ds.key), list(ds.partition_by)
     # Fixed once, in the shared checkpoint dir: the batch may be derived from the very table
     # this upsert rewrites, and a lost executor must not recompute it from the new files.
-    batch = fixed(dedup_latest(conform(batch, ds), keys, order_cols))
+    batch, staged = stage(dedup_latest(conform(batch, ds), keys, order_cols), "batch")
+    try:
+        _upsert_fixed(lake, ds, batch, keys, pcols, mode, only_changed, delete_keys)
+    finally:
+        release(staged, lake.spark)
+
+
+def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode: str,
+                  only_changed: bool, delete_keys: DataFrame | None) -> None:
     if not table_exists(lake, ds):
         write(lake, ds, batch, "overwrite")
         record_affected(lake, ds, keys=changed_keys(batch, keys),
@@ -239,7 +247,14 @@ def replace_groups(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFra
     if pcols and missing:
         raise ValueError(f"{ds.rel()}: partitions {pcols} must be covered by the group columns {cols}")
     check_groups(groups, cols, ds.rel())
-    new_rows = fixed(conform(new_rows, ds))     # computed once, lineage cut
+    new_rows, staged = stage(conform(new_rows, ds), "groups")     # computed once, lineage cut
+    try:
+        _replace_fixed(lake, ds, new_rows, groups, cols, pcols)
+    finally:
+        release(staged, lake.spark)
+
+
+def _replace_fixed(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFrame, cols, pcols) -> None:
     check_within_groups(new_rows, groups, cols, ds.rel())
     groups = groups.select(*cols).distinct()
     if not table_exists(lake, ds):
