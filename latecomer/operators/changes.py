@@ -47,6 +47,20 @@ def dedup_latest(df: DataFrame, keys, order_cols=()) -> DataFrame:
         .select(*df.columns)
 
 
+def _keys_not_null(keys) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def anti_by_key(df: DataFrame, other: DataFrame, keys) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``other`` (plain equality). Rows with a NULL key
+    part can never match, so they bypass the join instead of all hashing to the one
+    shuffle partition of NULL (a NULL-heavy key would otherwise land in a single task)."""
+    keys = list(keys)
+    nn = _keys_not_null(keys)
+    return (df.where(nn).join(other.select(*keys).where(nn).distinct(), keys, "left_anti")
+            .unionByName(df.where(~nn)))
+
+
 def changed_keys(batch: DataFrame, keys) -> DataFrame:
     return batch.select(*keys).distinct()
 
@@ -54,7 +68,7 @@ def changed_keys(batch: DataFrame, keys) -> DataFrame:
 def deleted_rows(target: DataFrame, batch: DataFrame, keys) -> DataFrame:
     """Target rows absent from a snapshot batch (plain equality: a NULL key never matches,
     so a NULL-key row is always deleted by a snapshot, as MERGE would)."""
-    return target.join(batch.select(*keys).distinct(), list(keys), "left_anti")
+    return anti_by_key(target, batch, keys)
 
 
 def matched_rows(target: DataFrame, batch: DataFrame, keys) -> DataFrame:

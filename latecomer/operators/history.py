@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import RUN_COL
-from .changes import INCREMENTAL, SNAPSHOT, _check_mode, dedup_latest, null_safe_row_equal
+from .changes import (INCREMENTAL, SNAPSHOT, _check_mode, anti_by_key, dedup_latest,
+                      null_safe_row_equal)
 
 
 def as_of(bronze: DataFrame, keys, run_ts: str, mode: str = INCREMENTAL, order_cols=(),
@@ -58,8 +59,8 @@ def merge_with_tombstones(target: DataFrame, batch: DataFrame, keys, flag_col: s
     """D3 pure layer: incremental merge, then removal of the flagged keys."""
     keys = list(keys)
     upserts, gone = split_tombstones(batch, keys, flag_col)
-    kept = target.join(upserts.select(*keys).distinct(), keys, "left_anti").unionByName(upserts.select(*target.columns))
-    return kept.join(gone, keys, "left_anti")
+    kept = anti_by_key(target, upserts, keys).unionByName(upserts.select(*target.columns))
+    return anti_by_key(kept, gone, keys)
 
 
 __all__ = ["as_of", "scd2", "split_tombstones", "merge_with_tombstones", "null_safe_row_equal"]

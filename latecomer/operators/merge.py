@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .changes import INCREMENTAL, SNAPSHOT, _check_mode
+from .changes import INCREMENTAL, SNAPSHOT, _check_mode, anti_by_key
 
 
 def merge_result(target: DataFrame, batch: DataFrame, keys, mode: str = INCREMENTAL) -> DataFrame:
@@ -19,8 +19,7 @@ def merge_result(target: DataFrame, batch: DataFrame, keys, mode: str = INCREMEN
     b = batch.select(*cols)
     if mode == SNAPSHOT:
         return b
-    kept = target.join(b.select(*keys).distinct(), list(keys), "left_anti")
-    return kept.unionByName(b)
+    return anti_by_key(target, b, keys).unionByName(b)
 
 
 def merge_partitions(scope: DataFrame, batch: DataFrame, keys, mode: str = INCREMENTAL) -> DataFrame:
@@ -32,7 +31,7 @@ def merge_partitions(scope: DataFrame, batch: DataFrame, keys, mode: str = INCRE
     b = batch.select(*cols)
     if mode == SNAPSHOT:
         return b
-    return scope.join(b.select(*keys).distinct(), list(keys), "left_anti").unionByName(b)
+    return anti_by_key(scope, b, keys).unionByName(b)
 
 
 __all__ = ["merge_result", "merge_partitions", "INCREMENTAL", "SNAPSHOT"]

@@ -20,7 +20,7 @@ from .. import fs
 from ..functions.scalar import utc_now_iso
 from ..session import fixed, release, stage
 from ..dataset import INGESTED_COL, RUN_COL, Dataset, Lake
-from ..operators.changes import (INCREMENTAL, SNAPSHOT, _check_mode, affected_partitions,
+from ..operators.changes import (INCREMENTAL, SNAPSHOT, _check_mode, affected_partitions, anti_by_key,
                                  changed_keys, changed_partitions_only, dedup_latest,
                                  deleted_rows)
 from ..operators.groups import (check_groups, check_within_groups, rows_in_groups,
@@ -200,7 +200,7 @@ def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode:
     dropped = None
     if delete_keys is not None:
         dropped = tk.join(delete_keys.select(*keys).distinct(), keys, "left_semi")
-    deleted = tk.join(batch_keys, keys, "left_anti").select(*keys) if mode == SNAPSHOT else None
+    deleted = anti_by_key(tk, batch_keys, keys).select(*keys) if mode == SNAPSHOT else None
     if dropped is not None:
         deleted = dropped.select(*keys) if deleted is None else deleted.unionByName(dropped.select(*keys))
     parts = None
@@ -218,14 +218,14 @@ def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode:
     if not pcols:
         merged = merge_result(target, batch, keys, mode)
         if delete_keys is not None:
-            merged = merged.join(delete_keys.select(*keys).distinct(), keys, "left_anti")
+            merged = anti_by_key(merged, delete_keys, keys)
         write(lake, ds, fixed(merged), "overwrite")
         return
     committed = affected(lake, ds, "partitions")          # the change set as committed
     scope = rows_in_groups(target, committed, pcols)
     new_rows = merge_partitions(scope, batch, keys, mode)
     if delete_keys is not None:
-        new_rows = new_rows.join(delete_keys.select(*keys).distinct(), keys, "left_anti")
+        new_rows = anti_by_key(new_rows, delete_keys, keys)
     if mode == SNAPSHOT and only_changed:
         # unchanged partitions are not rewritten: restrict the snapshot to the marked ones
         new_rows = rows_in_groups(new_rows, committed, pcols)

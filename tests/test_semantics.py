@@ -197,3 +197,40 @@ def test_expire_markers(spark, lake_root):
     assert {x.split("/")[1] for x in removed} == {"r1", "r2"}
     assert affected(r3, SILVER, "keys", "r1").isEmpty()
     assert [r.cost_id for r in affected(r3, SILVER, "keys").collect()] == ["r3"]
+
+
+def test_null_key_rows_bypass_anti_join(spark):
+    from latecomer.operators.changes import anti_by_key
+    rows = df(spark, [(None, "05", "X", 1.0), ("A", "05", "X", 1.0), ("B", "05", "X", 1.0), (None, "06", "X", 2.0)])
+    other = df(spark, [("A", "05", "X", 9.0), (None, "05", "X", 9.0)])
+    got = sorted((r.cost_id or "-", r.cost_period) for r in anti_by_key(rows, other, ["cost_id"]).collect())
+    assert got == [("-", "05"), ("-", "06"), ("B", "05")]
+
+
+def test_exists_errors_propagate(spark, lake_root):
+    """Quirk X5: only "not found" means missing; an unreachable store raises."""
+    bad = Lake(spark, "nosuchscheme://bucket/lake", Run("r1"))
+    with pytest.raises(Exception):
+        table_exists(bad, SILVER)
+    assert table_exists(lk(spark, lake_root, "r1"), SILVER) is False
+
+
+def test_group_predicate_typed_literals(spark):
+    import datetime as dt
+    rows = spark.createDataFrame([(1, True, dt.date(2026, 5, 1)), (2, False, dt.date(2026, 5, 1)), (3, True, None)],
+                                 "n int, b boolean, d date")
+    pred = group_predicate([(1, True, dt.date(2026, 5, 1)), (3, True, None)], ["n", "b", "d"])
+    assert sorted(r.n for r in rows.where(pred).collect()) == [1, 3]
+
+
+def test_feed_without_features_and_bad_json(spark, lake_root):
+    from latecomer.sources.geojson import features_to_rows, normalize_features
+    docs = spark.createDataFrame([('{"type":"FeatureCollection"}',), ('{"type":"FeatureCollection","features":null}',),
+                                  ('{"features":[{"id":"a","properties":{"mag":1.5}}]}',)], "value string")
+    rows = features_to_rows(docs)
+    assert [r.id for r in rows.collect()] == ["a"]
+    flat = normalize_features(rows).collect()
+    assert flat[0].mag == 1.5 and flat[0].longitude is None
+    broken = spark.createDataFrame([("a", '{"id": "a", "properties": {"mag": ')], "id string, raw string")
+    with pytest.raises(Exception):
+        normalize_features(broken).collect()
