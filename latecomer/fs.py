@@ -51,3 +51,10 @@ def escape(spark: SparkSession, value) -> str:
 def partition_dir(spark: SparkSession, table_uri: str, cols, values) -> str:
     parts = [f"{c}={escape(spark, v)}" for c, v in zip(cols, values)]
     return "/".join([table_uri.rstrip("/")] + parts)
+
+
+def glob_dirs(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders matching a glob (escaped partition values never contain glob characters)."""
+    fs_, p = _fs_and_path(spark, pattern)
+    found = fs_.globStatus(p)
+    return [str(st.getPath().toString()) for st in (found or []) if st.isDirectory()]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset, Lake
 from ..sinks.tables import replace_groups
-from ..sources.tables import affected, read
+from ..sources.tables import affected, read, read_partitions
 from .groups import recompute_groups, rows_in_groups
 
 
@@ -24,7 +24,11 @@ def recompute(lake: Lake, source: Dataset, target: Dataset, group_cols,
     changed = affected(lake, source, "partitions")
     if changed.isEmpty():
         return False
-    rows = read(lake, source)
+    if derive is None and set(group_cols) <= set(source.partition_by):
+        # list and read only the folders of the affected groups
+        rows = read_partitions(lake, source, changed, group_cols)
+    else:
+        rows = read(lake, source)
     if derive is not None:
         changed, rows = derive(changed), derive(rows)
     groups, fresh = recompute_groups(rows, changed, group_cols, aggregate)

@@ -16,6 +16,10 @@ from ..operators.groups import rows_in_groups
 
 LEVELS = ("keys", "partitions", "deleted_keys")
 
+# Above this many folders a group read lists the whole table and relies on dynamic
+# partition pruning instead of naming the folders.
+MAX_NAMED_FOLDERS = 20000
+
 
 def table_exists(lake: Lake, ds: Dataset) -> bool:
     """Create-or-merge decision. Only "not there" means missing; any other error
@@ -73,3 +77,34 @@ def affected(lake: Lake, ds: Dataset, level: str, run_ts: str | None = None) ->
     run = run_ts or lake.run.run_ts
     return (lake.spark.read.schema(schema).option("basePath", path).parquet(path)
             .where(F.col(RUN_COL) == F.lit(run)).select(*cols))
+
+
+def read_partitions(lake: Lake, ds: Dataset, groups: DataFrame, group_cols=None,
+                    max_folders: int = MAX_NAMED_FOLDERS) -> DataFrame:
+    """Rows of the given groups, listing only their partition folders.
+
+    A plain read lists every file of the table before pruning; on an object store with
+    millions of files that listing alone grows with the table. Here the distinct group
+    tuples (a change set: bounded by the partition count, never rows) name the folders
+    to read; group columns coarser than the partitioning become ``*`` in the pattern.
+    Beyond ``max_folders`` it falls back to the full read with dynamic pruning."""
+    cols = list(group_cols or ds.partition_by)
+    pcols = list(ds.partition_by)
+    if not pcols or not set(cols) <= set(pcols) or not table_exists(lake, ds):
+        return read_groups(lake, ds, groups, cols)
+    tuples = groups.select(*cols).distinct().limit(max_folders + 1).collect()
+    if len(tuples) > max_folders:
+        return read_groups(lake, ds, groups, cols)
+    root = lake.path(ds)
+    folders: list[str] = []
+    for t in tuples:
+        values = dict(zip(cols, t))
+        parts = [f"{c}={fs.escape(lake.spark, values[c])}" if c in values else f"{c}=*" for c in pcols]
+        pattern = "/".join([root.rstrip("/")] + parts)
+        folders.extend(fs.glob_dirs(lake.spark, pattern) if "*" in pattern else
+                       ([pattern] if fs.exists(lake.spark, pattern) else []))
+    schema = StructType([ds.schema[c] for c in ds.storage_columns()])
+    if not folders:
+        return empty(lake, ds.schema)
+    df = lake.spark.read.schema(schema).option("basePath", root).parquet(*sorted(set(folders)))
+    return rows_in_groups(df.select(*ds.columns()), groups, cols)

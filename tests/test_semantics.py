@@ -234,3 +234,17 @@ def test_feed_without_features_and_bad_json(spark, lake_root):
     broken = spark.createDataFrame([("a", '{"id": "a", "properties": {"mag": ')], "id string, raw string")
     with pytest.raises(Exception):
         normalize_features(broken).collect()
+
+
+def test_read_partitions_names_only_affected_folders(spark, lake_root):
+    from latecomer.sources.tables import read_partitions
+    r1 = lk(spark, lake_root, "r1")
+    upsert(r1, SILVER, df(spark, [("A", "05", "X", 1.0), ("B", "05", "Y", 2.0), ("C", "06", "X", 3.0),
+                                  ("D", "06", None, 4.0)]))
+    months = spark.createDataFrame([("05",), ("07",)], "cost_period string")
+    got = read_partitions(r1, SILVER, months, ["cost_period"])
+    assert sorted(r.cost_id for r in got.collect()) == ["A", "B"]
+    assert all("cost_period=05" in f for f in got.inputFiles())
+    groups = spark.createDataFrame([("06", None)], "cost_period string, cost_center string")
+    assert [r.cost_id for r in read_partitions(r1, SILVER, groups).collect()] == ["D"]
+    assert read_partitions(r1, SILVER, groups, max_folders=0).count() == 1      # fallback path
