@@ -1,3 +1,5 @@
 """Late-arriving-data lakehouse operators on Spark DataFrames."""
 
-from .dataset import Dataset, Lake, Run  # noqa: F401
+from .dataset import Dataset, Lake, Run
+
+__all__ = ["Dataset", "Lake", "Run"]

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..dataset import Lake, Run
+from ..dataset import Lake
 from ..session import scratch_root
 from ..sinks.landing import feature_collections, json_of, land_text, record_arrays
 from ..sources.tables import read
 from . import costs, earthquakes
 from . import orders_facts as of
-from .event_scenarios import PER_DOC, SQL_DEPTH, SQL_LAT, SQL_LON, event_features, land_event_feed
+from .event_scenarios import PER_DOC, SQL_LAT, SQL_LON, event_features, land_event_feed
 from .geo_scenarios import PLACE_LAT_MOD, PLACE_LAT_MULT, PLACE_LON_MOD, PLACE_LON_MULT, supplier_places
 from .orders_facts import (SQL_BATCH, SQL_CORRECTED, SQL_FACTS, SQL_INITIAL, SQL_MERGED,
                            SQL_SNAPSHOT, as_double, sql_with)

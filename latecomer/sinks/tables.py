@@ -21,8 +21,7 @@ from ..functions.scalar import utc_now_iso
 from ..session import fixed, release, stage
 from ..dataset import INGESTED_COL, RUN_COL, Dataset, Lake
 from ..operators.changes import (INCREMENTAL, SNAPSHOT, _check_mode, affected_partitions, anti_by_key,
-                                 changed_keys, changed_partitions_only, dedup_latest,
-                                 deleted_rows)
+                                 changed_keys, changed_partitions_only, dedup_latest)
 from ..operators.groups import (check_groups, check_within_groups, rows_in_groups,
                                 rows_outside_groups)
 from ..operators.merge import merge_partitions, merge_result
