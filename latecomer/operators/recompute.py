@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset, Lake
 from ..sinks.tables import replace_groups
-from ..sources.tables import affected, read, read_partitions
+from ..sources.tables import MAX_NAMED_FOLDERS, affected, read, read_partitions
 from .groups import recompute_groups, rows_in_groups
 
 
@@ -21,18 +21,29 @@ def recompute(lake: Lake, source: Dataset, target: Dataset, group_cols,
 
     ``derive`` adds derived group columns (e.g. quarter from month) to both the change
     set and the source rows before grouping (D8)."""
+    cols = list(group_cols)
     changed = affected(lake, source, "partitions")
-    if changed.isEmpty():
-        return False
-    if derive is None and set(group_cols) <= set(source.partition_by):
-        # list and read only the folders of the affected groups
-        rows = read_partitions(lake, source, changed, group_cols)
+    missing = [c for c in cols if c not in changed.columns]
+    if derive is None and missing:
+        raise ValueError(f"group columns {missing} are not in the source's partition grain {changed.columns}")
+    if derive is None and set(cols) <= set(source.partition_by):
+        # One bounded collect of the affected group tuples (a change set, at most the
+        # partition count) decides the no-op, names the folders to list and read, and
+        # serves every later join as a small local relation.
+        tuples = changed.select(*cols).distinct().limit(MAX_NAMED_FOLDERS + 1).collect()
+        if not tuples:
+            return False
+        if len(tuples) <= MAX_NAMED_FOLDERS:
+            changed = lake.spark.createDataFrame(tuples, changed.select(*cols).schema)
+        rows = read_partitions(lake, source, changed, cols)
     else:
+        if changed.isEmpty():
+            return False
         rows = read(lake, source)
     if derive is not None:
         changed, rows = derive(changed), derive(rows)
-    groups, fresh = recompute_groups(rows, changed, group_cols, aggregate)
-    replace_groups(lake, target, fresh, groups, group_cols)
+    groups, fresh = recompute_groups(rows, changed, cols, aggregate)
+    replace_groups(lake, target, fresh, groups, cols)
     return True
 
 
