@@ -248,3 +248,20 @@ def test_read_partitions_names_only_affected_folders(spark, lake_root):
     groups = spark.createDataFrame([("06", None)], "cost_period string, cost_center string")
     assert [r.cost_id for r in read_partitions(r1, SILVER, groups).collect()] == ["D"]
     assert read_partitions(r1, SILVER, groups, max_folders=0).count() == 1      # fallback path
+
+
+def test_snapshot_only_changed_marks_and_rewrites_changed_partitions(spark, lake_root):
+    """Quirk X7 option: a snapshot marks only partitions where a row was inserted,
+    updated, moved or deleted; the others keep their files."""
+    r1 = lk(spark, lake_root, "r1")
+    base = [("A", "05", "X", 1.0), ("B", "05", "Y", 2.0), ("C", "06", "X", 3.0), ("D", "07", "X", 4.0)]
+    upsert(r1, SILVER, df(spark, base), "snapshot")
+    d06 = os.path.join(local_path(r1.path(SILVER)), "cost_period=06", "cost_center=X")
+    before = {n: os.stat(os.path.join(d06, n)).st_mtime_ns for n in os.listdir(d06)}
+    r2 = lk(spark, lake_root, "r2")
+    snap = [("A", "05", "X", 1.5), ("B", "05", "Y", 2.0), ("C", "06", "X", 3.0), ("E", "08", "X", 5.0)]
+    upsert(r2, SILVER, df(spark, snap), "snapshot", only_changed=True)
+    assert {tuple(r) for r in affected(r2, SILVER, "partitions").collect()} == {("05", "X"), ("07", "X"), ("08", "X")}
+    assert sorted(tuple(r) for r in read(r2, SILVER).collect()) == sorted(snap)
+    after = {n: os.stat(os.path.join(d06, n)).st_mtime_ns for n in os.listdir(d06)}
+    assert before == after
