@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..dataset import Dataset, Lake, Run
 from ..operators.aggregates import grouped_sum
@@ -220,6 +221,46 @@ def q13_quarter_rollup(spark, sf_dir):
     return as_double(out, "total", "lowest", "highest")
 
 
+# ------------------------------------------------------------------ q12b  C5 apply, X2
+
+ROWS_DS = Dataset("gold", "costs", "fact_bands",
+                  StructType(list(of.FACT_SCHEMA.fields) + [StructField("price_band", StringType(), True)]),
+                  key=KEYS, partition_by=GROUPS)
+
+
+def q12b_map_changed_apply(spark, sf_dir):
+    """Row-level target kept in step with silver over two snapshot runs on a real lake:
+    changed keys are re-transformed and upserted, deleted keys are deleted (X2)."""
+    from ..operators.rows import map_changed
+    facts = _facts(spark, sf_dir)
+    lake = _lake(spark, "r1")
+    for run, batch in (("r1", of.initial_load(facts)), ("r2", of.snapshot_batch(facts))):
+        lk = lake.at(run)
+        upsert(lk, of.SILVER, batch, SNAPSHOT)
+        map_changed(lk, of.SILVER, ROWS_DS, price_band)
+    return as_double(read(lake, ROWS_DS), "amount")
+
+
+# ------------------------------------------------------------------ q13b  C4, C6, C7, K6 apply
+
+GOLD_MONTH = Dataset("gold", "costs", "by_month",
+                     of.GOLD.sub_schema(["cost_period", "amount"]), partition_by=("cost_period",))
+
+
+def q13b_two_hops_apply(spark, sf_dir):
+    """Two recompute hops on a real lake after the incremental run: silver to gold by
+    (period, center), then gold to months (a coarser grain) from gold's own change set."""
+    from ..operators.recompute import recompute
+    facts = _facts(spark, sf_dir)
+    lake = _lake(spark, "r1")
+    for run, batch in (("r1", of.initial_load(facts)), ("r2", of.incremental_batch(facts))):
+        lk = lake.at(run)
+        upsert(lk, of.SILVER, batch, INCREMENTAL)
+        recompute(lk, of.SILVER, of.GOLD, GROUPS, lambda f: grouped_sum(f, GROUPS, "amount"))
+        recompute(lk, of.GOLD, GOLD_MONTH, ["cost_period"], lambda f: grouped_sum(f, ["cost_period"], "amount"))
+    return as_double(read(lake, GOLD_MONTH), "amount")
+
+
 QUERIES = {
     "q01_scan": q01_scan,
     "q02_bronze_retry": q02_bronze_retry,
@@ -233,6 +274,8 @@ QUERIES = {
     "q11_null_groups": q11_null_groups,
     "q12_map_changed": q12_map_changed,
     "q13_quarter_rollup": q13_quarter_rollup,
+    "q12b_map_changed_apply": q12b_map_changed_apply,
+    "q13b_two_hops_apply": q13b_two_hops_apply,
 }
 
 _LI_COLS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -284,6 +327,14 @@ WHERE EXISTS (SELECT 1 FROM g WHERE g.cost_period IS NOT DISTINCT FROM nf.cost_p
   CASE WHEN amount < 50000 THEN 'small' WHEN amount < 200000 THEN 'medium' ELSE 'large' END AS price_band
 FROM batch""",
 
+    "q12b_map_changed_apply": sql_with(SQL_FACTS, SQL_CORRECTED, SQL_SNAPSHOT)
+    + """SELECT cost_id, cost_period, cost_center, CAST(amount AS DOUBLE) AS amount,
+  CASE WHEN amount < 50000 THEN 'small' WHEN amount < 200000 THEN 'medium' ELSE 'large' END AS price_band
+FROM snap""",
+
+    "q13b_two_hops_apply": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_BATCH, SQL_MERGED)
+    + "SELECT cost_period, CAST(SUM(amount) AS DOUBLE) AS amount FROM merged GROUP BY 1",
+
     "q13_quarter_rollup": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_BATCH, SQL_MERGED)
     + f""", m AS (SELECT cost_period, SUM(amount) AS total, COUNT(*) AS n_rows, MIN(amount) AS lowest,
                   MAX(amount) AS highest, COUNT(DISTINCT cost_center) AS n_centers
