@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import fs
 from ..functions.scalar import utc_now_iso
-from ..session import fixed, release, stage
+from ..session import release, stage
 from ..dataset import INGESTED_COL, RUN_COL, Dataset, Lake
 from ..operators.changes import (INCREMENTAL, SNAPSHOT, _check_mode, affected_partitions, anti_by_key,
                                  changed_keys, changed_partitions_only, dedup_latest)
@@ -102,6 +102,16 @@ def _emptied(affected_parts: DataFrame, incoming: DataFrame, kept: DataFrame, co
     return [c for c in candidates if c not in still]
 
 
+def _rewrite_whole(lake: Lake, ds: Dataset, rows: DataFrame) -> None:
+    """Replace an unpartitioned table by rows computed from it: staged first (a static
+    overwrite deletes the folder it would read from), then written, then released."""
+    fixed_rows, staged = stage(rows, "rewrite")
+    try:
+        write(lake, ds, fixed_rows, "overwrite")
+    finally:
+        release(staged, lake.spark)
+
+
 # --------------------------------------------------------------------------- bronze
 
 def stamp(df: DataFrame, run_ts: str, ingested_at: str | None = None) -> DataFrame:
@@ -218,7 +228,7 @@ def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode:
         merged = merge_result(target, batch, keys, mode)
         if delete_keys is not None:
             merged = anti_by_key(merged, delete_keys, keys)
-        write(lake, ds, fixed(merged), "overwrite")
+        _rewrite_whole(lake, ds, merged)
         return
     committed = affected(lake, ds, "partitions")          # the change set as committed
     scope = rows_in_groups(target, committed, pcols)
@@ -262,8 +272,7 @@ def _replace_fixed(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFra
         return
     target = read(lake, ds)
     if not pcols:
-        merged = fixed(rows_outside_groups(target, groups, cols).unionByName(new_rows))
-        write(lake, ds, merged, "overwrite")
+        _rewrite_whole(lake, ds, rows_outside_groups(target, groups, cols).unionByName(new_rows))
         return
     touched = groups.select(*pcols).distinct()
     record_affected(lake, ds, partitions=touched)

@@ -265,3 +265,17 @@ def test_snapshot_only_changed_marks_and_rewrites_changed_partitions(spark, lake
     assert sorted(tuple(r) for r in read(r2, SILVER).collect()) == sorted(snap)
     after = {n: os.stat(os.path.join(d06, n)).st_mtime_ns for n in os.listdir(d06)}
     assert before == after
+
+
+def test_unpartitioned_upsert_and_replace(spark, lake_root):
+    flat = Dataset("silver", "costs", "flat", SCHEMA, key=("cost_id",))
+    r1 = lk(spark, lake_root, "r1")
+    upsert(r1, flat, df(spark, [("A", "05", "X", 1.0), ("B", "05", "X", 2.0)]))
+    upsert(lk(spark, lake_root, "r2"), flat, df(spark, [("A", "05", "X", 5.0), ("C", "06", "X", 1.0)]))
+    assert sorted((r.cost_id, r.amount) for r in read(r1, flat).collect()) == [("A", 5.0), ("B", 2.0), ("C", 1.0)]
+    tot = Dataset("gold", "costs", "flat_totals", StructType([SCHEMA["cost_period"], SCHEMA["amount"]]))
+    g = spark.createDataFrame([("05",), ("06",)], "cost_period string")
+    replace_groups(r1, tot, spark.createDataFrame([("05", 7.0), ("06", 1.0)], tot.schema), g, ["cost_period"])
+    replace_groups(r1, tot, spark.createDataFrame([("06", 2.0)], tot.schema), g.where("cost_period = '06'"),
+                   ["cost_period"])
+    assert sorted(tuple(r) for r in read(r1, tot).collect()) == [("05", 7.0), ("06", 2.0)]
