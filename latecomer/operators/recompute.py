@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..dataset import Dataset, Lake
 from ..sinks.tables import replace_groups
 from ..sources.tables import MAX_NAMED_FOLDERS, affected, read, read_partitions
-from .groups import recompute_groups, rows_in_groups
+from .groups import group_predicate, recompute_groups, rows_in_groups
 
 
 def recompute(lake: Lake, source: Dataset, target: Dataset, group_cols,
@@ -49,11 +49,15 @@ def recompute(lake: Lake, source: Dataset, target: Dataset, group_cols,
 
 def backfill(lake: Lake, source: Dataset, target: Dataset, group_cols,
              aggregate: Callable[[DataFrame], DataFrame], lower=None, upper=None,
-             on: str | None = None) -> bool:
-    """Recompute every group of the source (full backfill), or those whose ``on``
-    column lies in ``[lower, upper]`` (ranged backfill), and replace them."""
+             on: str | None = None, named_groups=None) -> bool:
+    """Recompute every group of the source (full backfill), those whose ``on`` column
+    lies in ``[lower, upper]`` (ranged backfill), or a few groups named by hand
+    (``named_groups``: tuples; a literal OR-of-ANDs predicate, P6/P7, that prunes
+    partitions statically). The groups are then replaced in the target."""
     cols = list(group_cols)
     rows = read(lake, source)
+    if named_groups is not None:
+        rows = rows.where(group_predicate(named_groups, cols))
     groups = rows.select(*cols).distinct()
     if on is not None:
         if lower is not None:

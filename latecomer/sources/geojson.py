@@ -46,9 +46,8 @@ def read_feed(spark: SparkSession, path: str, start: str | None = None, end: str
     """Landed documents of the days in ``[start, end)`` (all days when unbounded).
     ``event_date`` is a string partition column whatever the session's inference says."""
     reader = spark.read.schema("value string, event_date string").option("basePath", path)
-    if whole_files:
-        reader = reader.option("wholetext", "true")
-    docs = reader.text(path)
+    # text() has its own wholetext argument (default False) that would override an option
+    docs = reader.text(path, wholetext=whole_files)
     if start is not None:
         docs = docs.where(F.col("event_date") >= F.lit(start))
     if end is not None:

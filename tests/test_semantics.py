@@ -279,3 +279,29 @@ def test_unpartitioned_upsert_and_replace(spark, lake_root):
     replace_groups(r1, tot, spark.createDataFrame([("06", 2.0)], tot.schema), g.where("cost_period = '06'"),
                    ["cost_period"])
     assert sorted(tuple(r) for r in read(r1, tot).collect()) == [("05", 7.0), ("06", 2.0)]
+
+
+def test_backfill_full_ranged_and_named(spark, lake_root):
+    from latecomer.operators.recompute import backfill
+    r1 = lk(spark, lake_root, "r1")
+    upsert(r1, SILVER, df(spark, [("A", "05", "X", 1.0), ("B", "06", "X", 2.0), ("C", "07", None, 3.0)]))
+    summed = lambda f: grouped_sum(f, G, "amount")
+    assert backfill(r1, SILVER, GOLD, G, summed)
+    assert gold(r1) == {("05", "X"): 1.0, ("06", "X"): 2.0, ("07", None): 3.0}
+    upsert(lk(spark, lake_root, "r2"), SILVER, df(spark, [("A", "05", "X", 10.0), ("B", "06", "X", 20.0),
+                                                         ("C", "07", None, 30.0)]))
+    assert backfill(r1, SILVER, GOLD, G, summed, lower="06", upper="06", on="cost_period")
+    assert gold(r1) == {("05", "X"): 1.0, ("06", "X"): 20.0, ("07", None): 3.0}
+    assert backfill(r1, SILVER, GOLD, G, summed, named_groups=[("07", None)])
+    assert gold(r1) == {("05", "X"): 1.0, ("06", "X"): 20.0, ("07", None): 30.0}
+    assert not backfill(r1, SILVER, GOLD, G, summed, lower="09", on="cost_period")
+
+
+def test_whole_file_feed_documents(spark, lake_root):
+    from latecomer.sources.geojson import features_to_rows, read_feed
+    d = os.path.join(lake_root, "feed", "event_date=2014-01-01")
+    os.makedirs(d)
+    with open(os.path.join(d, "day.json"), "w") as fh:      # one pretty-printed document per file
+        fh.write('{\n  "type": "FeatureCollection",\n  "features": [\n    {"id": "a"},\n    {"id": "b"}\n  ]\n}\n')
+    docs = read_feed(spark, os.path.join(lake_root, "feed"), "2014-01-01", "2014-01-02", whole_files=True)
+    assert sorted(r.id for r in features_to_rows(docs).collect()) == ["a", "b"]
