@@ -305,3 +305,16 @@ def test_whole_file_feed_documents(spark, lake_root):
         fh.write('{\n  "type": "FeatureCollection",\n  "features": [\n    {"id": "a"},\n    {"id": "b"}\n  ]\n}\n')
     docs = read_feed(spark, os.path.join(lake_root, "feed"), "2014-01-01", "2014-01-02", whole_files=True)
     assert sorted(r.id for r in features_to_rows(docs).collect()) == ["a", "b"]
+
+
+def test_json_records_multiline_and_missing_source(spark, lake_root):
+    from latecomer.sources.records import read_records
+    path = os.path.join(lake_root, "records")
+    os.makedirs(path)
+    with open(os.path.join(path, "batch.json"), "w") as fh:
+        fh.write('[\n  {"cost_id": "A", "cost_period": "05", "cost_center": "X", "amount": 1.5},\n'
+                 '  {"cost_id": "B", "cost_period": "05", "cost_center": "Y", "amount": 2}\n]\n')
+    got = read_records(spark, path, SCHEMA, multi_line=True).collect()
+    assert sorted((r.cost_id, r.amount) for r in got) == [("A", 1.5), ("B", 2.0)]
+    none = read_records(spark, os.path.join(lake_root, "absent"), SCHEMA)
+    assert none.count() == 0 and none.schema == SCHEMA
