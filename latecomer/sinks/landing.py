@@ -30,8 +30,8 @@ def record_arrays(rows: DataFrame, json_col: str, day_col: str, seq_col: str,
 
 def land_text(docs: DataFrame, path: str, day_col: str, mode: str = "overwrite") -> None:
     """Write documents one per line under ``day_col=...`` folders."""
-    (docs.select("value", day_col).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy(day_col).text(path))
+    (docs.select("value", day_col).hint("rebalance", F.col(day_col)).write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic").partitionBy(day_col).text(path))
 
 
 def json_of(*cols: Column) -> Column:

@@ -6,6 +6,8 @@ types and an absent table or marker yields a typed empty frame, never a guess.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -18,7 +20,8 @@ LEVELS = ("keys", "partitions", "deleted_keys")
 
 # Above this many folders a group read lists the whole table and relies on dynamic
 # partition pruning instead of naming the folders.
-MAX_NAMED_FOLDERS = 20000
+MAX_NAMED_FOLDERS = 5000
+LISTING_THREADS = 32
 
 
 def table_exists(lake: Lake, ds: Dataset) -> bool:
@@ -87,7 +90,8 @@ def read_partitions(lake: Lake, ds: Dataset, groups: DataFrame, group_cols=None,
     millions of files that listing alone grows with the table. Here the distinct group
     tuples (a change set: bounded by the partition count, never rows) name the folders
     to read; group columns coarser than the partitioning become ``*`` in the pattern.
-    Beyond ``max_folders`` it falls back to the full read with dynamic pruning."""
+    Beyond ``max_folders`` (each named folder costs one metadata call) it falls back to the
+    full read with dynamic pruning."""
     cols = list(group_cols or ds.partition_by)
     pcols = list(ds.partition_by)
     if not pcols or not set(cols) <= set(pcols) or not table_exists(lake, ds):
@@ -96,13 +100,20 @@ def read_partitions(lake: Lake, ds: Dataset, groups: DataFrame, group_cols=None,
     if len(tuples) > max_folders:
         return read_groups(lake, ds, groups, cols)
     root = lake.path(ds)
-    folders: list[str] = []
+    patterns = []
     for t in tuples:
         values = dict(zip(cols, t))
         parts = [f"{c}={fs.escape(lake.spark, values[c])}" if c in values else f"{c}=*" for c in pcols]
-        pattern = "/".join([root.rstrip("/")] + parts)
-        folders.extend(fs.glob_dirs(lake.spark, pattern) if "*" in pattern else
-                       ([pattern] if fs.exists(lake.spark, pattern) else []))
+        patterns.append("/".join([root.rstrip("/")] + parts))
+
+    def resolve(pattern: str) -> list[str]:
+        if "*" in pattern:
+            return fs.glob_dirs(lake.spark, pattern)
+        return [pattern] if fs.exists(lake.spark, pattern) else []
+
+    # one metadata call per named folder; issued concurrently (object stores are slow per call)
+    with ThreadPoolExecutor(max_workers=min(LISTING_THREADS, max(1, len(patterns)))) as pool:
+        folders = [f for found in pool.map(resolve, patterns) for f in found]
     schema = StructType([ds.schema[c] for c in ds.storage_columns()])
     if not folders:
         return empty(lake, ds.schema)
