@@ -14,7 +14,7 @@ from ..operators.groups import replace_groups_result, rows_in_groups
 from ..operators.history import as_of, merge_with_tombstones, scd2
 from ..operators.merge import merge_result
 from ..operators.quality import quality_checks
-from ..session import scratch_root
+from ..session import fixed, scratch_root
 from ..sinks.maintenance import audited_upsert, compact
 from ..sinks.tables import write
 from ..sources.tables import read
@@ -91,7 +91,7 @@ def q26_ranged_backfill(spark, sf_dir):
     facts: only those groups take new values."""
     facts = _facts(spark, sf_dir)
     target = of.initial_load(facts)
-    merged = merge_result(target, dedup_latest(of.incremental_batch(facts), KEYS), KEYS)
+    merged = merge_result(target, fixed(dedup_latest(of.incremental_batch(facts), KEYS)), KEYS)
     gold_before = grouped_sum(target, GROUPS, "amount")
     groups = (merged.select(*GROUPS).distinct()
               .where(F.col("cost_period").between(BACKFILL_FROM, BACKFILL_TO)))
