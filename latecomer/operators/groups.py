@@ -1,8 +1,9 @@
 """Group-scoped reads and recompute (S3, J2, J5, P6, C4, C6, C9, K6 pure layer).
 
-Group sets are DataFrames, never driver-side lists: selecting the rows of a set of groups
-is a semi join, which Catalyst turns into dynamic partition pruning on a table
-partitioned by the group columns.
+Group sets are DataFrames: selecting the rows of a set of groups is a semi join, which
+Catalyst turns into dynamic partition pruning on a table partitioned by the group
+columns. Only where the apply layer names partition folders does a group set (bounded by
+the partition count, never rows) reach the driver.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _null_safe_on(cols, left: str, right: str) -> Column:
                   [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols])
 
 
-def rows_in_groups(df: DataFrame, groups: DataFrame, cols) -> DataFrame:
+def rows_in_groups(df: DataFrame, groups: DataFrame, cols, has_null: bool | None = None) -> DataFrame:
     """Rows of ``df`` whose ``cols`` tuple is one of ``groups`` (NULL matches NULL).
 
     Two disjoint branches (quirk X1 fixed, rule R1):
@@ -34,10 +35,13 @@ def rows_in_groups(df: DataFrame, groups: DataFrame, cols) -> DataFrame:
       dynamically from the (small) group set;
     * groups holding a NULL, by ``<=>``, on rows pre-filtered to ``c IS NULL`` -- a static
       filter that also prunes the ``__HIVE_DEFAULT_PARTITION__`` folders only.
+    ``has_null=False`` (the caller knows the set has no NULL) drops the second branch.
     """
     cols = list(cols)
     g = groups.select(*cols).distinct()
     plain = df.join(g.where(_all_not_null(cols)), cols, "left_semi")
+    if has_null is False:
+        return plain
     with_null = g.where(_any_null(cols)).alias("g")
     nullish = (df.where(_any_null(cols)).alias("t")
                .join(with_null, _null_safe_on(cols, "t", "g"), "left_semi")
@@ -86,7 +90,8 @@ def group_predicate(groups, cols) -> Column:
     return reduce(lambda a, b: a | b, ands)
 
 
-def recompute_groups(source: DataFrame, changed: DataFrame, group_cols, aggregate) -> tuple[DataFrame, DataFrame]:
+def recompute_groups(source: DataFrame, changed: DataFrame, group_cols, aggregate,
+                     has_null: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """C4 / C6 pure layer: groups = distinct projection of the change set onto
     ``group_cols`` (a subset of the source's partition grain); read *all* rows of those
     groups and apply the caller's aggregate. Returns ``(groups, new_rows)``."""
@@ -95,7 +100,7 @@ def recompute_groups(source: DataFrame, changed: DataFrame, group_cols, aggregat
     if missing:
         raise ValueError(f"group columns {missing} are not in the source's partition grain {changed.columns}")
     groups = changed.select(*cols).distinct()
-    facts = rows_in_groups(source, groups, cols)
+    facts = rows_in_groups(source, groups, cols, has_null=has_null)
     return groups, aggregate(facts)
 
 

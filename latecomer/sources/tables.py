@@ -118,4 +118,5 @@ def read_partitions(lake: Lake, ds: Dataset, groups: DataFrame, group_cols=None,
     if not folders:
         return empty(lake, ds.schema)
     df = lake.spark.read.schema(schema).option("basePath", root).parquet(*sorted(set(folders)))
-    return rows_in_groups(df.select(*ds.columns()), groups, cols)
+    has_null = any(v is None for t in tuples for v in t)
+    return rows_in_groups(df.select(*ds.columns()), groups, cols, has_null=has_null)
