@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def audited_upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = "incre
     """Upsert and append one audit record per run: rows in, changed keys, affected
     partitions and deleted keys. ``rows_in`` is observed while the batch is fixed, the
     rest are counts of this run's (small) change set. A retried run replaces its record."""
-    watched, obs = observed(batch, f"audit_{ds.table}_{lake.run.run_ts}")
+    watched, obs = observed(batch, f"audit_{ds.table}_{lake.run.run_ts}_{uuid.uuid4().hex[:8]}")
     upsert(lake, ds, watched, mode, order_cols=order_cols)
     rows_in = int(obs.get.get("rows", 0))
     counts = {lvl: affected(lake, ds, lvl).count() if (lvl != "partitions" or ds.partition_by) else 0
