@@ -44,9 +44,28 @@ def read(lake: Lake, ds: Dataset) -> DataFrame:
     return df.select(*ds.columns())
 
 
+def _run_folder(lake: Lake, root: str, schema: StructType, run: str) -> DataFrame | None:
+    """The rows of one ``run_ts=`` folder, listing only that folder (a table partitioned by
+    run keeps every run's history; listing all of it per run would grow with history)."""
+    folder = fs.partition_dir(lake.spark, root, (RUN_COL,), (run,))
+    if not fs.exists(lake.spark, folder):
+        return None
+    # The run filter is redundant after naming the folder, but it is what marks this side
+    # as selective, so a semi join from a target partitioned by the marker's columns gets
+    # dynamic partition pruning.
+    return (lake.spark.read.schema(schema).option("basePath", root).parquet(folder)
+            .where(F.col(RUN_COL) == F.lit(run)))
+
+
 def read_new(lake: Lake, ds: Dataset) -> DataFrame:
     """Only this run's slice; ``run_ts`` is the partition column, so the scan
-    reads one folder."""
+    lists and reads one folder."""
+    if tuple(ds.partition_by) == (RUN_COL,):
+        if not table_exists(lake, ds):
+            return empty(lake, ds.schema)
+        schema = StructType([ds.schema[c] for c in ds.storage_columns()])
+        got = _run_folder(lake, lake.path(ds), schema, lake.run.run_ts)
+        return empty(lake, ds.schema) if got is None else got.select(*ds.columns())
     return read(lake, ds).where(F.col(RUN_COL) == F.lit(lake.run.run_ts))
 
 
@@ -75,11 +94,8 @@ def affected(lake: Lake, ds: Dataset, level: str, run_ts: str | None = None) ->
     schema = marker_schema(ds, level)
     cols = [f.name for f in schema.fields if f.name != RUN_COL]
     path = lake.marker_path(ds, level)
-    if not fs.exists(lake.spark, path):
-        return empty(lake, schema).select(*cols)
-    run = run_ts or lake.run.run_ts
-    return (lake.spark.read.schema(schema).option("basePath", path).parquet(path)
-            .where(F.col(RUN_COL) == F.lit(run)).select(*cols))
+    got = None if not fs.exists(lake.spark, path) else _run_folder(lake, path, schema, run_ts or lake.run.run_ts)
+    return empty(lake, schema).select(*cols) if got is None else got.select(*cols)
 
 
 def read_partitions(lake: Lake, ds: Dataset, groups: DataFrame, group_cols=None,
