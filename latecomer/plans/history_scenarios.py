@@ -92,9 +92,9 @@ def q26_ranged_backfill(spark, sf_dir):
     facts = _facts(spark, sf_dir)
     target = of.initial_load(facts)
     merged = merge_result(target, fixed(dedup_latest(of.incremental_batch(facts), KEYS)), KEYS)
-    gold_before = grouped_sum(target, GROUPS, "amount")
-    groups = (merged.select(*GROUPS).distinct()
-              .where(F.col("cost_period").between(BACKFILL_FROM, BACKFILL_TO)))
+    gold_before = fixed(grouped_sum(target, GROUPS, "amount"))
+    groups = fixed(merged.select(*GROUPS).distinct()
+                   .where(F.col("cost_period").between(BACKFILL_FROM, BACKFILL_TO)))
     fresh = grouped_sum(rows_in_groups(merged, groups, GROUPS), GROUPS, "amount")
     return as_double(replace_groups_result(gold_before, fresh, groups, GROUPS), "amount")
 
