@@ -105,3 +105,28 @@ def release(path: str | None, spark) -> None:
     if path:
         from . import fs
         fs.delete(spark, path)
+
+
+def scale_conf(input_bytes: int, total_cores: int, executor_memory_gb: float = 16.0,
+               cores_per_executor: int = 4, target_partition_mb: int = 256) -> dict:
+    """Shuffle and scan sizing for a cluster and an input size.
+
+    * scan splits of ``target_partition_mb`` (fewer, larger tasks at 100 TB);
+    * shuffle partitions: enough that each holds about one split, never fewer than twice
+      the cores; AQE coalesces down at run time, so this is the upper bound;
+    * a partition must fit the execution memory one core gets (about half the heap split
+      across the executor's cores), so the target shrinks on small executors;
+    * skew: a partition five times the median and above the target is split by AQE.
+    """
+    per_core_mb = max(32, int(executor_memory_gb * 1024 * 0.5 / max(1, cores_per_executor)))
+    part_mb = max(32, min(target_partition_mb, per_core_mb // 2))
+    part_bytes = part_mb * 1024 * 1024
+    shuffle = max(2 * total_cores, -(-int(input_bytes) // part_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": f"{part_mb}m",
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{part_mb}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{part_mb}m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    }

@@ -318,3 +318,13 @@ def test_json_records_multiline_and_missing_source(spark, lake_root):
     assert sorted((r.cost_id, r.amount) for r in got) == [("A", 1.5), ("B", 2.0)]
     none = read_records(spark, os.path.join(lake_root, "absent"), SCHEMA)
     assert none.count() == 0 and none.schema == SCHEMA
+
+
+def test_scale_conf_sizes_partitions():
+    from latecomer.session import scale_conf
+    big = scale_conf(100 * 1024 ** 4, total_cores=4000, executor_memory_gb=16, cores_per_executor=4)
+    assert big["spark.sql.files.maxPartitionBytes"] == "256m"
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
+    small = scale_conf(10 * 1024 ** 2, total_cores=8, executor_memory_gb=2, cores_per_executor=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert small["spark.sql.files.maxPartitionBytes"] == "64m"
