@@ -91,16 +91,17 @@ def group_predicate(groups, cols) -> Column:
 
 
 def recompute_groups(source: DataFrame, changed: DataFrame, group_cols, aggregate,
-                     has_null: bool | None = None) -> tuple[DataFrame, DataFrame]:
+                     has_null: bool | None = None, scoped: bool = False) -> tuple[DataFrame, DataFrame]:
     """C4 / C6 pure layer: groups = distinct projection of the change set onto
     ``group_cols`` (a subset of the source's partition grain); read *all* rows of those
-    groups and apply the caller's aggregate. Returns ``(groups, new_rows)``."""
+    groups and apply the caller's aggregate. Returns ``(groups, new_rows)``.
+    ``scoped=True``: ``source`` already holds exactly the rows of those groups."""
     cols = list(group_cols)
     missing = [c for c in cols if c not in changed.columns]
     if missing:
         raise ValueError(f"group columns {missing} are not in the source's partition grain {changed.columns}")
     groups = changed.select(*cols).distinct()
-    facts = rows_in_groups(source, groups, cols, has_null=has_null)
+    facts = source if scoped else rows_in_groups(source, groups, cols, has_null=has_null)
     return groups, aggregate(facts)
 
 

@@ -22,7 +22,7 @@ def recompute(lake: Lake, source: Dataset, target: Dataset, group_cols,
     ``derive`` adds derived group columns (e.g. quarter from month) to both the change
     set and the source rows before grouping (D8)."""
     cols = list(group_cols)
-    has_null = None
+    has_null, scoped = None, False
     changed = affected(lake, source, "partitions")
     missing = [c for c in cols if c not in changed.columns]
     if derive is None and missing:
@@ -38,14 +38,15 @@ def recompute(lake: Lake, source: Dataset, target: Dataset, group_cols,
             changed = lake.spark.createDataFrame(tuples, changed.select(*cols).schema)
             has_null = any(v is None for t in tuples for v in t)
         rows = read_partitions(lake, source, changed, cols)
+        scoped = True                                   # already exactly the groups' rows
     else:
         if changed.isEmpty():
             return False
         rows = read(lake, source)
     if derive is not None:
         changed, rows = derive(changed), derive(rows)
-    groups, fresh = recompute_groups(rows, changed, cols, aggregate, has_null=has_null)
-    replace_groups(lake, target, fresh, groups, cols)
+    groups, fresh = recompute_groups(rows, changed, cols, aggregate, has_null=has_null, scoped=scoped)
+    replace_groups(lake, target, fresh, groups, cols, groups_checked=True)
     return True
 
 

@@ -246,16 +246,22 @@ def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode:
 # --------------------------------------------------------------------------- group replace
 
 def replace_groups(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFrame,
-                   group_cols=None) -> None:
+                   group_cols=None, groups_checked: bool = False) -> None:
     """K6: replace only ``groups`` of ``ds`` by ``new_rows``; other groups keep their files
     untouched; groups without new rows disappear. Emits the *requested* groups as this
-    dataset's change set, so an emptied group still reaches the next hop (quirk X3)."""
+    dataset's change set, so an emptied group still reaches the next hop (quirk X3).
+    ``groups_checked``: the caller already knows the group set is not empty."""
     cols = list(group_cols or ds.partition_by)
     pcols = list(ds.partition_by)
     missing = [c for c in pcols if c not in cols] if pcols else []
     if pcols and missing:
         raise ValueError(f"{ds.rel()}: partitions {pcols} must be covered by the group columns {cols}")
-    check_groups(groups, cols, ds.rel())
+    if groups_checked:
+        missing_cols = [c for c in cols if c not in groups.columns]
+        if missing_cols:
+            raise ValueError(f"{ds.rel()}: group columns {missing_cols} are not in the change grain")
+    else:
+        check_groups(groups, cols, ds.rel())
     new_rows, staged = stage(conform(new_rows, ds), "groups")     # computed once, lineage cut
     try:
         _replace_fixed(lake, ds, new_rows, groups, cols, pcols)
