@@ -328,3 +328,20 @@ def test_scale_conf_sizes_partitions():
     small = scale_conf(10 * 1024 ** 2, total_cores=8, executor_memory_gb=2, cores_per_executor=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
     assert small["spark.sql.files.maxPartitionBytes"] == "64m"
+
+
+def test_special_characters_in_partition_values(spark, lake_root):
+    """Escaped folder names survive rewrite, removal of emptied folders and named-folder
+    (globbed) reads."""
+    odd = "a/b:c*d{e},f g"
+    r1 = lk(spark, lake_root, "r1")
+    upsert(r1, SILVER, df(spark, [("A", odd, "X", 1.0), ("B", odd, "Y", 2.0), ("C", "06", odd, 3.0)]))
+    agg(r1)
+    assert gold(r1) == {(odd, "X"): 1.0, (odd, "Y"): 2.0, ("06", odd): 3.0}
+    r2 = lk(spark, lake_root, "r2")
+    upsert(r2, SILVER, df(spark, [("A", "06", odd, 5.0), ("B", "06", odd, 5.0)]))   # odd month empties
+    agg(r2)
+    assert gold(r2) == {("06", odd): 13.0}
+    assert {(r.cost_period, r.cost_center) for r in read(r2, SILVER).collect()} == {("06", odd)}
+    recompute(r2, GOLD, GOLD_P, ("cost_period",), lambda f: grouped_sum(f, ("cost_period",), "amount"))
+    assert gold(r2, GOLD_P) == {("06",): 13.0}
