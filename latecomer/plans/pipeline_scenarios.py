@@ -93,15 +93,47 @@ def q29_stream_propagation(spark, sf_dir):
     return as_double(read(lake, of.GOLD), "amount")
 
 
+# ------------------------------------------------------------------ q18b  A5 over the enriched feed
+
+def q18b_events_by_country(spark, sf_dir):
+    """The BI chart of the earthquake feed: enriched events counted by country code, most
+    frequent first (ties by code), top 1000 rows. Events without coordinates count
+    under a NULL country."""
+    from ..operators.aggregates import top_counts
+    from ..sources.geojson import features_to_rows, normalize_features, read_feed
+    events = of.table(spark, sf_dir, "events")
+    feed = land_event_feed(spark, events)
+    flat = normalize_features(features_to_rows(read_feed(spark, feed)))
+    enriched = earthquakes.enrich(flat, supplier_places(spark, sf_dir))
+    return top_counts(enriched, "country_code", 1000, "count")
+
+
 QUERIES = {
     "q17_costs_pipeline": q17_costs_pipeline,
     "q20_earthquakes_pipeline": q20_earthquakes_pipeline,
     "q29_stream_propagation": q29_stream_propagation,
+    "q18b_events_by_country": q18b_events_by_country,
 }
 
 _REV = f"(event_id % {REVISION_MOD} = {REVISION_REM} AND ts < TIMESTAMP '{SPLIT_DAY}')"
 
 ORACLE = {
+    "q18b_events_by_country": f"""WITH pts AS (SELECT event_id, radians({SQL_LAT}) AS la, radians({SQL_LON}) AS lo
+                FROM events WHERE event_type <> 'error'),
+pls AS (SELECT s_suppkey, n_name,
+               radians(CAST((s_suppkey * {PLACE_LAT_MULT}) % {PLACE_LAT_MOD} AS DOUBLE) / 100 - 80) AS la,
+               radians(CAST((s_suppkey * {PLACE_LON_MULT}) % {PLACE_LON_MOD} AS DOUBLE) / 100 - 179.99) AS lo
+        FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+d AS (SELECT p.event_id, s.n_name,
+             row_number() OVER (PARTITION BY p.event_id ORDER BY
+               power(cos(p.la) * cos(p.lo) - cos(s.la) * cos(s.lo), 2)
+             + power(cos(p.la) * sin(p.lo) - cos(s.la) * sin(s.lo), 2)
+             + power(sin(p.la) - sin(s.la), 2), s.s_suppkey) AS rn
+      FROM pts p CROSS JOIN pls s),
+c AS (SELECT e.event_id, d.n_name AS country_code FROM events e LEFT JOIN d ON d.event_id = e.event_id AND d.rn = 1)
+SELECT country_code, COUNT(*) AS count FROM c GROUP BY country_code
+ORDER BY count DESC, country_code ASC NULLS LAST LIMIT 1000""",
+
     "q29_stream_propagation": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_BATCH, SQL_MERGED)
     + "SELECT cost_period, cost_center, CAST(SUM(amount) AS DOUBLE) AS amount FROM merged GROUP BY 1, 2",
 
