@@ -47,14 +47,15 @@ AUDIT_SCHEMA = StructType([
     StructField("run_ts", StringType(), False),
     StructField("dataset", StringType(), False),
     StructField("rows_in", LongType(), True),
+    StructField("rows_written", LongType(), True),
     StructField("changed_keys", LongType(), True),
     StructField("affected_partitions", LongType(), True),
     StructField("deleted_keys", LongType(), True),
 ])
 
 
-def audit_row(spark: SparkSession, run_ts: str, dataset: str, rows_in: int, changed_keys: int,
-              affected_partitions: int, deleted_keys: int) -> DataFrame:
+def audit_row(spark: SparkSession, run_ts: str, dataset: str, rows_in: int, rows_written: int,
+              changed_keys: int, affected_partitions: int, deleted_keys: int) -> DataFrame:
     """One audit record (a handful of scalars from observed metrics, not rows)."""
-    return spark.createDataFrame([(run_ts, dataset, rows_in, changed_keys, affected_partitions, deleted_keys)],
-                                 AUDIT_SCHEMA)
+    return spark.createDataFrame(
+        [(run_ts, dataset, rows_in, rows_written, changed_keys, affected_partitions, deleted_keys)], AUDIT_SCHEMA)

@@ -171,16 +171,19 @@ UNION ALL SELECT 'duplicate_key', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (
   SELECT count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
   GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""",
 
-    "q25_audit": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_BATCH) + """
+    "q25_audit": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_BATCH, SQL_MERGED) + """,
+aff AS (SELECT cost_period, cost_center FROM initial i WHERE EXISTS (SELECT 1 FROM batch b WHERE b.cost_id = i.cost_id)
+        UNION SELECT cost_period, cost_center FROM batch)
 SELECT 'r1' AS run_ts, 'silver/costs/fact' AS dataset, (SELECT count(*) FROM initial) AS rows_in,
+       (SELECT count(*) FROM initial) AS rows_written,
        (SELECT count(DISTINCT cost_id) FROM initial) AS changed_keys,
        (SELECT count(*) FROM (SELECT DISTINCT cost_period, cost_center FROM initial)) AS affected_partitions,
        CAST(0 AS BIGINT) AS deleted_keys
 UNION ALL
-SELECT 'r2', 'silver/costs/fact', (SELECT count(*) FROM batch), (SELECT count(DISTINCT cost_id) FROM batch),
-       (SELECT count(*) FROM (
-          SELECT cost_period, cost_center FROM initial i WHERE EXISTS (SELECT 1 FROM batch b WHERE b.cost_id = i.cost_id)
-          UNION SELECT cost_period, cost_center FROM batch)),
+SELECT 'r2', 'silver/costs/fact', (SELECT count(*) FROM batch),
+       (SELECT count(*) FROM merged m WHERE EXISTS (SELECT 1 FROM aff a WHERE a.cost_period = m.cost_period
+                                                     AND a.cost_center = m.cost_center)),
+       (SELECT count(DISTINCT cost_id) FROM batch), (SELECT count(*) FROM aff),
        CAST(0 AS BIGINT)""",
 
     "q26_ranged_backfill": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_BATCH, SQL_MERGED) + f""",

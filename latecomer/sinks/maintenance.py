@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import fs
 from ..dataset import RUN_COL, Dataset, Lake
 from ..operators.groups import rows_in_groups
-from ..operators.quality import AUDIT_SCHEMA, observed
+from ..operators.quality import AUDIT_SCHEMA, audit_row, observed
 from ..sources.tables import LEVELS, affected, read
 from .tables import overwrite_partitions, upsert
 
@@ -48,17 +48,20 @@ AUDIT = Dataset("audit", "lake", "runs", AUDIT_SCHEMA, partition_by=())
 
 def audited_upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = "incremental",
                    order_cols=()) -> DataFrame:
-    """Upsert and append one audit record per run: rows in, changed keys, affected
-    partitions and deleted keys. ``rows_in`` is observed while the batch is fixed, the
-    rest are counts of this run's (small) change set. A retried run replaces its record."""
-    watched, obs = observed(batch, f"audit_{ds.table}_{lake.run.run_ts}_{uuid.uuid4().hex[:8]}")
-    upsert(lake, ds, watched, mode, order_cols=order_cols)
+    """Upsert and append one audit record per run: rows in, rows written, changed keys,
+    affected partitions and deleted keys. ``rows_in`` is observed while the batch is
+    fixed and ``rows_written`` by the rewrite job itself (no extra scans); the rest are
+    counts of this run's (small) change set. A retried run replaces its record."""
+    tag = f"audit_{ds.table}_{lake.run.run_ts}_{uuid.uuid4().hex[:8]}"
+    watched, obs = observed(batch, tag)
+    written = Observation(f"{tag}_written")
+    upsert(lake, ds, watched, mode, order_cols=order_cols, written=written)
     rows_in = int(obs.get.get("rows", 0))
+    rows_written = int(written.get.get("rows", 0))
     counts = {lvl: affected(lake, ds, lvl).count() if (lvl != "partitions" or ds.partition_by) else 0
               for lvl in LEVELS}
-    rec = lake.spark.createDataFrame(
-        [(lake.run.run_ts, ds.rel(), rows_in, counts["keys"], counts["partitions"], counts["deleted_keys"])],
-        AUDIT_SCHEMA)
+    rec = audit_row(lake.spark, lake.run.run_ts, ds.rel(), rows_in, rows_written, counts["keys"],
+                    counts["partitions"], counts["deleted_keys"])
     path = f"{lake.root.rstrip('/')}/_audit/runs"
     (rec.withColumn("audit_run", F.col("run_ts")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("audit_run", "dataset").parquet(path))
@@ -70,6 +73,6 @@ def read_audit(lake: Lake) -> DataFrame:
     path = f"{lake.root.rstrip('/')}/_audit/runs"
     if not fs.exists(lake.spark, path):
         return lake.spark.createDataFrame([], AUDIT_SCHEMA)
-    schema = "run_ts string, rows_in bigint, changed_keys bigint, affected_partitions bigint, " \
-             "deleted_keys bigint, audit_run string, dataset string"
+    schema = "run_ts string, rows_in bigint, rows_written bigint, changed_keys bigint, " \
+             "affected_partitions bigint, deleted_keys bigint, audit_run string, dataset string"
     return lake.spark.read.schema(schema).parquet(path).select(*[f.name for f in AUDIT_SCHEMA.fields])

@@ -13,7 +13,7 @@ emptied partition leaves that partition's old rows until the run is retried.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import fs
@@ -172,7 +172,8 @@ def record_affected(lake: Lake, ds: Dataset, keys: DataFrame | None = None,
 # --------------------------------------------------------------------------- upsert
 
 def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
-           order_cols=(), only_changed: bool = False, delete_keys: DataFrame | None = None) -> None:
+           order_cols=(), only_changed: bool = False, delete_keys: DataFrame | None = None,
+           written: Observation | None = None) -> None:
     """K3 / K4 / K5: keyed upsert of ``batch`` into ``ds``.
 
     * create the table on first write (everything affected);
@@ -182,6 +183,8 @@ def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
     The batch is deduplicated first (last row by ``order_cols``, full tie-break).
     ``delete_keys`` removes those keys as well (row-level deletes propagated from an
     upstream snapshot, quirk X2, or tombstones, D3).
+    ``written`` (an ``Observation``) receives ``rows``: the rows the rewrite job wrote,
+    counted by that job itself.
     """
     _check_mode(mode)
     if not ds.key:
@@ -191,15 +194,20 @@ def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
     # this upsert rewrites, and a lost executor must not recompute it from the new files.
     batch, staged = stage(dedup_latest(conform(batch, ds), keys, order_cols), "batch")
     try:
-        _upsert_fixed(lake, ds, batch, keys, pcols, mode, only_changed, delete_keys)
+        _upsert_fixed(lake, ds, batch, keys, pcols, mode, only_changed, delete_keys, written)
     finally:
         release(staged, lake.spark)
 
 
+def _counted(df: DataFrame, written: Observation | None) -> DataFrame:
+    return df if written is None else df.observe(written, F.count(F.lit(1)).alias("rows"))
+
+
 def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode: str,
-                  only_changed: bool, delete_keys: DataFrame | None) -> None:
+                  only_changed: bool, delete_keys: DataFrame | None,
+                  written: Observation | None = None) -> None:
     if not table_exists(lake, ds):
-        write(lake, ds, batch, "overwrite")
+        write(lake, ds, _counted(batch, written), "overwrite")
         record_affected(lake, ds, keys=changed_keys(batch, keys),
                         partitions=batch.select(*pcols) if pcols else None)
         return
@@ -228,7 +236,7 @@ def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode:
         merged = merge_result(target, batch, keys, mode)
         if delete_keys is not None:
             merged = anti_by_key(merged, delete_keys, keys)
-        _rewrite_whole(lake, ds, merged)
+        _rewrite_whole(lake, ds, _counted(merged, written))
         return
     committed = affected(lake, ds, "partitions")          # the change set as committed
     scope = rows_in_groups(target, committed, pcols)
@@ -239,7 +247,7 @@ def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode:
         # unchanged partitions are not rewritten: restrict the snapshot to the marked ones
         new_rows = rows_in_groups(new_rows, committed, pcols)
     gone = _emptied(committed, batch, new_rows, pcols)
-    overwrite_partitions(lake, ds, new_rows)
+    overwrite_partitions(lake, ds, _counted(new_rows, written))
     drop_partitions(lake, ds, gone)
 
 
