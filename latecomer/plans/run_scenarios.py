@@ -33,7 +33,7 @@ def _land_cost_records(spark, facts, path):
     docs.select("value").write.mode("overwrite").text(path)
 
 
-def q17_costs_pipeline(spark, sf_dir):
+def q17_costs_three_runs(spark, sf_dir):
     """Three snapshot runs: the first load; late rows, updates and moves (run twice: a
     retry in the middle); then removed rows. Gold holds the final per-group totals."""
     facts = of.cost_facts(of.table(spark, sf_dir, "orders"))
@@ -50,7 +50,7 @@ def q17_costs_pipeline(spark, sf_dir):
 
 # ------------------------------------------------------------------ q20  W2
 
-def q20_earthquakes_pipeline(spark, sf_dir):
+def q20_earthquakes_two_runs(spark, sf_dir):
     """Two runs over a landed feed: run 1 backfills the days before the split, run 2 the
     days after plus revisions of earlier events (bigger magnitude, later update time).
     Gold is enriched with the nearest place and the significance class."""
@@ -109,8 +109,8 @@ def q18b_events_by_country(spark, sf_dir):
 
 
 QUERIES = {
-    "q17_costs_pipeline": q17_costs_pipeline,
-    "q20_earthquakes_pipeline": q20_earthquakes_pipeline,
+    "q17_costs_three_runs": q17_costs_three_runs,
+    "q20_earthquakes_two_runs": q20_earthquakes_two_runs,
     "q29_stream_propagation": q29_stream_propagation,
     "q18b_events_by_country": q18b_events_by_country,
 }
@@ -137,10 +137,10 @@ ORDER BY count DESC, country_code ASC NULLS LAST LIMIT 1000""",
     "q29_stream_propagation": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_BATCH, SQL_MERGED)
     + "SELECT cost_period, cost_center, CAST(SUM(amount) AS DOUBLE) AS amount FROM merged GROUP BY 1, 2",
 
-    "q17_costs_pipeline": sql_with(SQL_FACTS, SQL_CORRECTED, SQL_SNAPSHOT)
+    "q17_costs_three_runs": sql_with(SQL_FACTS, SQL_CORRECTED, SQL_SNAPSHOT)
     + "SELECT cost_period, cost_center, CAST(SUM(amount) AS DOUBLE) AS amount FROM snap GROUP BY 1, 2",
 
-    "q20_earthquakes_pipeline": f"""WITH ev AS (
+    "q20_earthquakes_two_runs": f"""WITH ev AS (
   SELECT event_id, ts, user_id, event_type,
          CASE WHEN {_REV} THEN value + {REVISION_MAG} ELSE value END AS value,
          CASE WHEN {_REV} THEN {REVISION_DELAY_MS} ELSE 0 END AS off
