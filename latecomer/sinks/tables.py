@@ -147,8 +147,10 @@ def _write_marker(lake: Lake, ds: Dataset, level: str, rows: DataFrame) -> None:
     if fs.exists(lake.spark, path):
         # a retried run keeps what its first attempt recorded (quirk X6)
         fresh = fresh.unionByName(affected(lake, ds, level, run))
+    # the distinct's shuffle already spreads distinct tuples evenly (AQE sizes its output),
+    # so the files come straight from it, with no second shuffle
     out = fresh.distinct().withColumn(RUN_COL, F.lit(run)).select(*[f.name for f in schema.fields])
-    (out.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(RUN_COL).parquet(path))
     _refresh(lake, path)
 
