@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..session import fixed
 
 PLACES_PER_CELL = 8.0          # target density of the first level
+MAX_PLACES_PER_CELL = 512      # crowding bound of the first level (clustered places)
 MIN_CELL = 1e-4                # about 0.6 km: finer cells only multiply levels
 
 
@@ -52,6 +53,23 @@ def first_cell_size(n_places: int) -> float:
     return min(2.0, max(MIN_CELL, math.sqrt(4.0 * math.pi * PLACES_PER_CELL / n_places)))
 
 
+def _most_crowded(places: DataFrame, h: float) -> int:
+    """Places in the fullest cube of side ``h`` (one small aggregate over the places)."""
+    per_cell = places.groupBy(_cell(F.col("px"), h).alias("cx"), _cell(F.col("py"), h).alias("cy"),
+                              _cell(F.col("pz"), h).alias("cz")).count()
+    return int(per_cell.agg(F.max("count")).first()[0] or 0)
+
+
+def first_level(places: DataFrame, n_places: int) -> float:
+    """The uniform-density cube side, halved while one cube still holds more than
+    ``MAX_PLACES_PER_CELL`` places: points inside dense clusters then resolve at a fine
+    level with few candidates. Any side is exact; this only bounds the work."""
+    h = first_cell_size(n_places)
+    while h > MIN_CELL and _most_crowded(places, h) > MAX_PLACES_PER_CELL:
+        h = max(MIN_CELL, h / 2.0)
+    return h
+
+
 def _offsets() -> Column:
     r = [-1, 0, 1]
     return F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz"))
@@ -90,7 +108,7 @@ def nearest_place(points: DataFrame, places: DataFrame, point_id: str, place_id:
     if n_places == 0:
         return points.select(F.col(point_id), F.lit(None).cast(places.schema[place_id].dataType).alias(place_id),
                              F.lit(None).cast("double").alias("chord"))
-    h = cell if cell is not None else first_cell_size(n_places)
+    h = cell if cell is not None else first_level(pl, n_places)
     resolved = []
     pending = pts
     while True:

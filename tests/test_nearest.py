@@ -62,3 +62,18 @@ def test_enrich_cases(spark):
     pts = [(10, 34.05, -118.25), (11, 35.68, 139.69), (12, -13.09, 167.29)]
     got = nearest_place(spark.createDataFrame(pts, PTS), spark.createDataFrame(pls, PLS), "id", "pid").collect()
     assert {r.id: cc[r.pid] for r in got} == {10: "US", 11: "JP", 12: "VU"}
+
+
+def test_clustered_places_start_finer_and_stay_exact(spark):
+    from latecomer.operators.nearest import MAX_PLACES_PER_CELL, first_cell_size, first_level, unit_vector
+    rng = np.random.default_rng(3)
+    n = 3 * MAX_PLACES_PER_CELL
+    pls = [(i, f"c{i}", float(48.85 + rng.uniform(-0.05, 0.05)), float(2.35 + rng.uniform(-0.05, 0.05)))
+           for i in range(n)]
+    pls += [(n + 1, "far", -30.0, 100.0)]
+    places = spark.createDataFrame(pls, PLS)
+    pl = places.select("pid", *unit_vector("lat", "lon", "p"))
+    assert first_level(pl, len(pls)) < first_cell_size(len(pls))
+    pts = [(0, 48.851, 2.351), (1, -29.0, 101.0), (2, 48.0, 2.0)]
+    got = {r.id: r.pid for r in nearest_place(spark.createDataFrame(pts, PTS), places, "id", "pid").collect()}
+    assert got == brute(pts, pls)
