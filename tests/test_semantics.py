@@ -345,3 +345,20 @@ def test_special_characters_in_partition_values(spark, lake_root):
     assert {(r.cost_period, r.cost_center) for r in read(r2, SILVER).collect()} == {("06", odd)}
     recompute(r2, GOLD, GOLD_P, ("cost_period",), lambda f: grouped_sum(f, ("cost_period",), "amount"))
     assert gold(r2, GOLD_P) == {("06",): 13.0}
+
+
+def test_compaction_merges_files_per_partition(spark, lake_root):
+    from latecomer.sinks.maintenance import compact
+    from latecomer.sinks.tables import write
+    r1 = lk(spark, lake_root, "r1")
+    rows = [(f"k{i}", "05", "X", float(i)) for i in range(30)] + [(f"j{i}", "06", "Y", 1.0) for i in range(9)]
+    for part in range(3):
+        write(r1, SILVER, df(spark, rows[part::3]), "overwrite" if part == 0 else "append")
+    folder = os.path.join(local_path(r1.path(SILVER)), "cost_period=05", "cost_center=X")
+
+    def parquet_files():
+        return [n for n in os.listdir(folder) if n.endswith(".parquet")]
+    assert len(parquet_files()) == 3
+    compact(r1, SILVER, spark.createDataFrame([("05", "X")], "cost_period string, cost_center string"))
+    assert len(parquet_files()) == 1
+    assert sorted(tuple(r) for r in read(r1, SILVER).collect()) == sorted(rows)
