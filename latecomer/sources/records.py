@@ -19,6 +19,17 @@ def read_records(spark: SparkSession, path: str, schema: StructType, multi_line:
 
 
 def cast_to(df: DataFrame, schema: StructType) -> DataFrame:
-    """Select and cast to a declared schema. Under ANSI mode a value that does
-    not convert raises instead of turning into NULL."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Select and cast to a declared schema. A value that does not convert raises,
+    whatever the session's ANSI setting (a plain cast would turn it into NULL with ANSI
+    off): the cast is tried, and a non-NULL input with a NULL result is an error."""
+    cols = []
+    for f in schema.fields:
+        src = F.col(f.name)
+        if df.schema[f.name].dataType == f.dataType:
+            cols.append(src.alias(f.name))
+            continue
+        tried = src.try_cast(f.dataType)
+        bad = F.raise_error(F.concat(F.lit(f"cannot cast {f.name} to {f.dataType.simpleString()}: "),
+                                     src.cast("string")))
+        cols.append(F.when(src.isNotNull() & tried.isNull(), bad).otherwise(tried).alias(f.name))
+    return df.select(*cols)

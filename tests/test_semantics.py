@@ -362,3 +362,14 @@ def test_compaction_merges_files_per_partition(spark, lake_root):
     compact(r1, SILVER, spark.createDataFrame([("05", "X")], "cost_period string, cost_center string"))
     assert len(parquet_files()) == 1
     assert sorted(tuple(r) for r in read(r1, SILVER).collect()) == sorted(rows)
+
+
+def test_cast_to_schema_raises_on_bad_value(spark):
+    """A value that does not convert is an error (ANSI), not a silent NULL."""
+    from latecomer.sources.records import cast_to
+    raw = spark.createDataFrame([("A", "05", "X", "12.5"), ("B", "05", "X", "not a number")],
+                                "cost_id string, cost_period string, cost_center string, amount string")
+    with pytest.raises(Exception):
+        cast_to(raw, SCHEMA).collect()
+    ok = cast_to(raw.where("cost_id = 'A'"), SCHEMA).collect()
+    assert ok[0].amount == 12.5
