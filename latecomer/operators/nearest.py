@@ -65,6 +65,8 @@ def first_level(places: DataFrame, n_places: int) -> float:
     ``MAX_PLACES_PER_CELL`` places: points inside dense clusters then resolve at a fine
     level with few candidates. Any side is exact; this only bounds the work."""
     h = first_cell_size(n_places)
+    if n_places <= MAX_PLACES_PER_CELL:          # no cube can hold more than all of them
+        return h
     while h > MIN_CELL and _most_crowded(places, h) > MAX_PLACES_PER_CELL:
         h = max(MIN_CELL, h / 2.0)
     return h
