@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash, substring, tokens
+from . import bpe, decontaminate, quality, simhash, substring, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_token_output": tokens.op2_token_output,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_quality_rules": quality.OP8_SQL,
     "op9_substring_dedup": substring.OP9_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
 }
