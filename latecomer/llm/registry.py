@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, simhash, substring, tokens
+from . import bpe, decontaminate, html_text, quality, simhash, substring, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_token_output": tokens.op2_token_output,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substring.op9_substring_dedup,
