@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, quality, simhash, substring, tokens
+from . import bpe, decontaminate, html_text, lines, quality, simhash, substring, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_token_output": tokens.op2_token_output,
     "op4_html_extraction": html_text.op4_html_extraction,
+    "op6_line_dedup": lines.op6_line_dedup,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substring.op9_substring_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_line_dedup": lines.OP6_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_substring_dedup": substring.OP9_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
