@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, lines, quality, simhash, substring, tokens
+from . import bpe, decontaminate, html_text, licenses, lines, quality, simhash, substring, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_token_output": tokens.op2_token_output,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_html_extraction": html_text.op4_html_extraction,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
