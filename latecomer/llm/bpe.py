@@ -29,12 +29,14 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import arrow, table
 
 CACHE = 500_000
 LONG = 200
@@ -296,30 +298,41 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return source.mapInArrow(run, f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return arrow(source, run, f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
                   decoded_col: str = "decoded") -> DataFrame:
     """``docs`` with the ids and the decoded text of ``text_col`` as two more columns."""
     columns = [c for c in docs.columns if c not in (ids_col, decoded_col)]
-    source = docs.select(*columns)
+    source = docs.select(*[F.col(f"`{c}`") for c in columns])
     at = columns.index(text_col)
 
     def run(batches):
         tokenizer = load(path)
+        pieces = _Pieces(tokenizer)
         for batch in batches:
-            ids, out = [], []
-            for text in batch.column(at).to_pylist():
-                ids.append([i for piece in (text or "").replace("\n", " ").split(" ") for i in tokenizer.encode(piece)])
-                decoder = Decoder(tokenizer)
-                out.append(decoder.feed(ids[-1]) + decoder.close())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(out, pa.string())],
-                [*columns, ids_col, decoded_col])
-
-    fields = source.schema.add(ids_col, "array<int>").add(decoded_col, "string")
-    return source.mapInArrow(run, fields)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                ids, out = [], []
+                for text in part.column(at).to_pylist():
+                    if tokenizer.byte_level:              # decoded text depends on what stands around a piece
+                        found = tokenizer.encode(text or "")
+                        decoder = Decoder(tokenizer)
+                        ids.append(np.array(found, np.int32))
+                        out.append(decoder.feed(found) + decoder.close())
+                    else:
+                        got = [g for g in map(pieces.__getitem__, (text or "").replace("\n", " ").split(" ")) if g[0]]
+                        ids.append(np.array(b" ".join([g[1] for g in got]).split(), np.int32))
+                        out.append(b" ".join([g[2] for g in got]).decode())
+                ends = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(out, pa.string())],
+                                                 [*columns, ids_col, decoded_col])
+
+    fields = T.StructType([*source.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())),
+                           T.StructField(decoded_col, T.StringType())])
+    return arrow(source, run, fields)
 
 
 def word_tokenizer() -> str:

@@ -135,9 +135,9 @@ def messages_of(conversations: DataFrame) -> DataFrame:
 
 
 def op5_chat_tool_calls(spark, sf_dir: str) -> DataFrame:
-    """Every turn of every conversation as a linked, ordered and validated message."""
+    """Every turn of every conversation as a linked, ordered and validated message; a depth of -1 stands for none."""
     found = link(messages_of(table(spark, sf_dir, "conversations")), TOOLS)
-    return found.withColumn("errors", F.array_join("errors", ",")).withColumn("depth", F.col("depth").cast("long"))
+    return found.withColumn("errors", F.array_join("errors", ",")).withColumn("depth", F.coalesce("depth", F.lit(-1)).cast("long"))
 
 
 #: Depths by recursion instead of doubling; conversations hold a turn once.
@@ -148,7 +148,7 @@ u AS (SELECT * FROM m WHERE role = 'user'), a AS (SELECT * FROM m WHERE role = '
 e AS (SELECT u.id, p.id AS up FROM u LEFT JOIN u p ON p.conv_id = u.conv_id AND p.id = u.parent),
 deep(id, depth) AS (SELECT id, 0 FROM e WHERE up IS NULL UNION ALL SELECT e.id, depth + 1 FROM e JOIN deep ON e.up = deep.id)
 SELECT u.conv_id, u.turn, 'call' AS kind, u.id AS call_id, CASE WHEN a.id IS NULL THEN 'pending' ELSE 'linked' END AS status,
-    CAST(depth AS BIGINT) AS depth,
+    CAST(coalesce(depth, -1) AS BIGINT) AS depth,
     concat_ws(',', CASE WHEN u.text IS NULL THEN 'prompt: missing' END,
         CASE WHEN u.parent IS NOT NULL AND e.up IS NULL THEN 'parent: missing' END) AS errors,
     '{"arguments":{' || coalesce('"prompt":' || to_json(u.text) || ',', '') || '"turn":' || u.turn || '},"id":' || to_json(u.id)
@@ -156,11 +156,11 @@ SELECT u.conv_id, u.turn, 'call' AS kind, u.id AS call_id, CASE WHEN a.id IS NUL
         || coalesce(',"result":' || to_json(a.text), '') || ',"type":"call"}' AS json
 FROM u JOIN e ON e.id = u.id JOIN deep ON deep.id = u.id LEFT JOIN a ON a.before = u.id
 UNION ALL
-SELECT a.conv_id, a.turn, 'result', a.before, CASE WHEN u.id IS NULL THEN 'orphan' ELSE 'linked' END, CAST(depth AS BIGINT), '',
+SELECT a.conv_id, a.turn, 'result', a.before, CASE WHEN u.id IS NULL THEN 'orphan' ELSE 'linked' END, CAST(coalesce(depth, -1) AS BIGINT), '',
     '{' || coalesce('"content":' || to_json(a.text) || ',', '') || '"id":' || to_json(a.before) || ',"type":"result"}'
 FROM a LEFT JOIN u ON u.id = a.before LEFT JOIN deep ON deep.id = a.before
 UNION ALL
-SELECT conv_id, turn, 'text', NULL, 'text', NULL, '',
+SELECT conv_id, turn, 'text', NULL, 'text', CAST(-1 AS BIGINT), '',
     '{' || coalesce('"content":' || to_json(text) || ',', '') || coalesce('"name":' || to_json(role) || ',', '') || '"type":"text"}'
 FROM m WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """

@@ -34,8 +34,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the Python workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

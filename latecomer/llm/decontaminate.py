@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow, table
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -239,7 +239,7 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
                  pa.array(longest, pa.int64())],
                 ["id", "n_words", "n_hit", "items", "spans", "longest"])
 
-    return source.mapInArrow(run, f"id {id_type}, n_words bigint, n_hit bigint, items array<string>, "
+    return arrow(source, run, f"id {id_type}, n_words bigint, n_hit bigint, items array<string>, "
                                   "spans array<struct<start:bigint,end:bigint>>, longest bigint")
 
 
@@ -276,7 +276,7 @@ def remove(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
             keep = pa.array([x <= max_coverage for x in share], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
 
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow, table
 
 SIGMA = 1.5
 THRESHOLD = 0.3
@@ -223,7 +223,7 @@ def extract(pages: DataFrame, html_col: str = "html", carry: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(text, pa.string())], [*carry, "__text"])
 
     fields = source.drop("__html").schema.add("__text", "string")
-    return source.mapInArrow(run, fields)
+    return arrow(source, run, fields)
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:

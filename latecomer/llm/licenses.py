@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow, table
 from .decontaminate import words
 from .license_templates import TEMPLATES
 
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
                     for t, n, a, b in index.matches(body, min_coverage, band)] for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, match)], ["id", "matches"])
 
-    return source.mapInArrow(run, f"id {id_type}, matches array<struct<license:string,matched:int,words:int,"
+    return arrow(source, run, f"id {id_type}, matches array<struct<license:string,matched:int,words:int,"
                                   "first:bigint,end:bigint>>")
 
 

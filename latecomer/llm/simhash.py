@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_key
+from .common import arrow, staged, table, text_key
 from .components import components
 
 SHINGLE = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp], ["id", "text_hash", "fp"])
 
-    return source.mapInArrow(run, f"id {id_type}, text_hash bigint, fp bigint")
+    return arrow(source, run, f"id {id_type}, text_hash bigint, fp bigint")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(flat.size), pa.int32()), pa.array(flat, pa.int64())],
                                          ["cell", "n"])
 
-    rows = distinct.select("fp").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = arrow(distinct.select("fp"), run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     flat = np.zeros(64 * 64 + 1, dtype=np.int64)
     for row in rows.collect():                      # 4,097 rows, whatever the input
         flat[row.cell] = row.n
@@ -157,7 +157,7 @@ def histogram(distinct: DataFrame, groups: list[list[int]]) -> np.ndarray:
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at], pa.int64())], ["cell", "n"])
 
-    rows = distinct.select("fp").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = arrow(distinct.select("fp"), run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(len(groups) * _FOLD, dtype=np.int64)
     for row in rows.toLocalIterator():              # at most parts * 65,536 rows, whatever the input
         out[row.cell] = row.n
@@ -242,8 +242,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS, cro
     groups = group_bits(total, pairs, parts)
     counts = spark.sparkContext.broadcast(histogram(distinct, groups))
     fps = distinct.select("fp")
-    index = staged(fps.mapInArrow(_keys(groups, counts, max_bits, False), "key bigint, fp bigint"), "gph-index")
-    probes = staged(fps.mapInArrow(_keys(groups, counts, max_bits, True), "key bigint, fp bigint"), "gph-probe")
+    index = staged(arrow(fps, _keys(groups, counts, max_bits, False), "key bigint, fp bigint"), "gph-index")
+    probes = staged(arrow(fps, _keys(groups, counts, max_bits, True), "key bigint, fp bigint"), "gph-probe")
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     met_index, met_probes = index, probes
     if crowded:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_key
+from .common import arrow, staged, table, text_key
 
 LENGTH = 35
 GRAM = 12
@@ -142,7 +142,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 seeds = Seeds(words, length, gram)
                 yield seeds.hashes, key, seeds.places
 
-    lone_seeds = _once(source.mapInArrow(lambda batches: _emit(seeds_of, batches), place))
+    lone_seeds = _once(arrow(source, lambda batches: _emit(seeds_of, batches), place))
     copies = source.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
     seeds = staged(copies.join(lone_seeds.withColumnRenamed("places", "once"), "key", "left"), "substring-seeds")
 
@@ -154,7 +154,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                                              ["id", "key", "body"])
 
     # compressed texts: they are the bulk of what the two joins below move
-    texts = source.mapInArrow(packed, f"id {id_type}, key bigint, body binary")
+    texts = arrow(source, packed, f"id {id_type}, key bigint, body binary")
 
     def runs_of(batch):
         unpress = zstandard.ZstdDecompressor()
@@ -167,7 +167,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     yield seeds.runs(starts), key, starts
 
     known = (texts.join(seeds, "key").where(F.col("id").eqNullSafe(F.col("first_id"))).select("key", "body", "once"))
-    lone_runs = staged(_once(known.mapInArrow(lambda batches: _emit(runs_of, batches), place)), "substring-runs")
+    lone_runs = staged(_once(arrow(known, lambda batches: _emit(runs_of, batches), place)), "substring-runs")
     facts = seeds.select("key", "copies", "once").join(lone_runs.withColumnRenamed("places", "lone"), "key", "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -199,9 +199,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span),
                  pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "spans", "kept"])
 
-    return (texts.join(facts, "key").select("id", "body", "copies", "once", "lone")
-            .mapInArrow(finish, f"id {id_type}, n_words bigint, n_removed bigint, "
-                                "spans array<struct<start:bigint,end:bigint>>, kept string"))
+    return arrow(texts.join(facts, "key").select("id", "body", "copies", "once", "lone"), finish,
+                 f"id {id_type}, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept string")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_root
-from .common import table, text_key
+from .common import arrow, table, text_key
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
@@ -226,7 +226,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         if held:
             yield segment()
 
-    ordered.mapInArrow(run, f"part int, seq bigint, ids array<{id_type}>, lens array<bigint>, image binary").write.mode(
+    arrow(ordered, run, f"part int, seq bigint, ids array<{id_type}>, lens array<bigint>, image binary").write.mode(
         "overwrite").parquet(out)
     return out
 
@@ -266,8 +266,8 @@ def read_documents(spark, folder: str) -> DataFrame:
                      pa.array([image.token_at(int(e) - 1) for e in ends], pa.int64())],
                     ["part", "seq", "id", "local", "n_tokens", "ids_crc32", "last_id"])
 
-    decoded = rows.select("part", "seq", "ids", "lens", "image").mapInArrow(
-        run, f"part int, seq bigint, id {id_type}, local bigint, n_tokens bigint, ids_crc32 bigint, last_id bigint")
+    decoded = arrow(
+        rows.select("part", "seq", "ids", "lens", "image"), run, f"part int, seq bigint, id {id_type}, local bigint, n_tokens bigint, ids_crc32 bigint, last_id bigint")
     places = _segments(spark, folder).select("part", "seq", "first")
     return decoded.join(places, ["part", "seq"]).select(
         "id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "last_id")
@@ -292,7 +292,7 @@ def read_tokens(spark, folder: str, positions: DataFrame, position_col: str = "p
                     [pa.array(at, pa.int64()), pa.array([image.token_at(p - first) for p in at], pa.int64())],
                     ["position", "token"])
 
-    return rows.select("first", "image", "at").mapInArrow(run, "position bigint, token bigint")
+    return arrow(rows.select("first", "image", "at"), run, "position bigint, token bigint")
 
 
 def byte_tokenizer() -> str:
