@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, table, text_key, words_of
+from .common import SPACE, staged, table, text_key, words_of
 
 THRESHOLD = 0.8
 CROWDED = 64
@@ -42,7 +42,7 @@ _MAP_WORDS = 1 << 18
 
 def rarity(docs: DataFrame, text_col: str) -> list[int]:
     """Rank (0 is rarest) of each word length up to 63, from all words."""
-    words = docs.select(F.explode(words_of(F.col(text_col))).alias("w"))
+    words = docs.select(F.explode_outer(words_of(F.col(text_col))).alias("w")).where("w IS NOT NULL")
     rows = words.groupBy(F.least(F.length("w"), F.lit(63)).alias("size")).agg(
         F.count("*").alias("n"), F.approx_count_distinct("w").alias("different")).collect()      # 63 rows at most
     mean = {r["size"]: r["n"] / max(1, r["different"]) for r in rows}
@@ -58,8 +58,12 @@ def _tokens(line: Column, ranks: list[int]) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"),
-                       F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    # the key first, else every line would carry its whole text
+    split = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"),
+                        F.split(F.col(text_col), "\n").alias("lines"))
+    # the outer form: the inner one would evaluate the split again in a filter of its own
+    lines = split.select("id", "key", F.posexplode_outer("lines").alias("line_no", "line"))
+    return lines.where(F.col("line").rlike(f"[^{SPACE}]"))
 
 
 def _overlap(n: Column, m: Column, t: float) -> Column:
@@ -111,7 +115,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     t = threshold
     ranks = rarity(docs, text_col)
     coded = (_lines(docs, id_col, text_col).withColumn("tokens", _tokens(F.col("line"), ranks))
-             .withColumn("n", F.size("tokens")).where("n > 0"))
+             .withColumn("n", F.size("tokens")))
     lines = staged(coded.select("id", "key", "line_no", F.xxhash64("tokens").alias("sig"), "n", F.transform(
         F.slice(F.col("tokens"), F.lit(1), _prefix(F.col("n"), t)), lambda v: F.hash(v)).alias("prefix")), "lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

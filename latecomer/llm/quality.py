@@ -43,11 +43,13 @@ def _length_without(text: Column, letters: str) -> Column:
 
 def word_references(docs: DataFrame, lang_col: str, text_col: str, top: int = TOP_WORDS) -> DataFrame:
     """(lang, common, shares): the commonest words of each language and their shares, then the share of the rest."""
-    words = docs.select(F.col(lang_col).alias("lang"), F.explode(words_of(F.col(text_col))).alias("word"))
+    # the outer form: the inner one would evaluate the split again in a filter of its own
+    words = docs.select(F.col(lang_col).alias("lang"), F.explode_outer(words_of(F.col(text_col))).alias("word")).where(
+        "word IS NOT NULL")
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= top)
-    totals = words.groupBy("lang").agg(F.count("*").alias("total"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rows = (ranked.join(totals, ranked.lang.eqNullSafe(totals.lang)).groupBy(ranked.lang, "total")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("best")))     # ``top`` at most
     return rows.select("lang", F.col("best.word").alias("common"), F.concat(
