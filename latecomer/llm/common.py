@@ -7,8 +7,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stage
 
@@ -34,10 +36,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the Python workers."""
+def arrow(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the Python workers and any column names.
+
+    The columns go by position, so names with dots or of any other kind don't matter.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    fields = schema if isinstance(schema, T.StructType) else T.DataType.fromDDL(schema)
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(fields)])
+
+    def run(batches):
+        for batch in function(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, plain.names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain).toDF(*fields.names)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
