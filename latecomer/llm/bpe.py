@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import arrow, table
 
-CACHE = 500_000
+CACHE = 1_000_000
 LONG = 200
 BLOCK = 4096
 
@@ -82,14 +82,19 @@ class Merges:
         """All merges of ``parts``, the lowest rank first, leftmost on ties."""
         if len(parts) > 24:
             return self._merge_long(parts)
-        rank, inf = self.rank, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank.get(p, inf) for p in zip(parts, parts[1:])]
+        get, inf = self.rank.get, len(self.rank)
+        ranks = [get(p, inf) for p in zip(parts, parts[1:])]
+        while ranks:
             least = min(ranks)
             if least == inf:
                 break
             at = ranks.index(least)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get((parts[at], parts[at + 1]), inf)
+            if at:
+                ranks[at - 1] = get((parts[at - 1], parts[at]), inf)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -155,6 +160,7 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) \
             if self.special else None
+        self._starts = {t[0] for t in self.special}
         steps = spec["normalizer"]["normalizers"] if (spec["normalizer"] or {}).get("type") == "Sequence" else \
             [spec["normalizer"]] if spec["normalizer"] else []
         self.steps = [s["type"] for s in steps]
@@ -194,7 +200,7 @@ class Tokenizer:
     def encode(self, text: str) -> list[int]:
         """Ids of a text; texts may be cut at white space and the ids joined."""
         out, at = [], 0
-        for m in self._special.finditer(text) if self._special else ():
+        for m in self._special.finditer(text) if any(c in text for c in self._starts) else ():
             out += self._plain(text[at:m.start()])
             out.append(self.special[m[0]])
             at = m.end()
@@ -217,7 +223,7 @@ class Decoder:
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokens, self.byte_level = tokenizer.tokens, tokenizer.byte_level
-        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+        self.state = codecs.getincrementaldecoder("utf-8")("replace") if self.byte_level else None
         self.first = True
 
     _BYTE = {c: b for b, c in enumerate(_LETTERS)}
