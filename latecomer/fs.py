@@ -1,22 +1,17 @@
 """Hadoop FileSystem helpers (work on HDFS, object stores and local disks alike).
 
-Only metadata calls on a short list of paths go through here; no rows do.
+Only metadata calls on a few paths go through here; no rows do. Partition folders are never
+named by hand: their paths come from the files Spark itself lists.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
-
-def _jvm(spark: SparkSession):
-    return spark.sparkContext._jvm
-
-
-def _fs_and_path(spark: SparkSession, uri: str):
-    jvm = _jvm(spark)
-    p = jvm.org.apache.hadoop.fs.Path(uri)
+def _fs_and_path(spark: SparkSession, uri: str, encoded: bool = False):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri) if encoded else uri)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs, p
 
@@ -28,33 +23,14 @@ def exists(spark: SparkSession, uri: str) -> bool:
     return bool(fs.exists(p))
 
 
-def delete(spark: SparkSession, uri: str) -> bool:
-    fs, p = _fs_and_path(spark, uri)
+def delete(spark: SparkSession, uri: str, encoded: bool = False) -> bool:
+    """Remove a folder; ``encoded`` paths are URIs as ``_metadata.file_path`` gives them."""
+    fs, p = _fs_and_path(spark, uri, encoded)
     return bool(fs.delete(p, True))
 
 
-def list_names(spark: SparkSession, uri: str) -> list[str]:
-    fs, p = _fs_and_path(spark, uri)
-    if not fs.exists(p):
-        return []
-    return [s.getPath().getName() for s in fs.listStatus(p)]
-
-
-def escape(spark: SparkSession, value) -> str:
-    """Directory name Spark writes for a partition value."""
-    if value is None:
-        return NULL_PARTITION
-    utils = _jvm(spark).org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    return utils.escapePathName(str(value))
-
-
-def partition_dir(spark: SparkSession, table_uri: str, cols, values) -> str:
-    parts = [f"{c}={escape(spark, v)}" for c, v in zip(cols, values)]
-    return "/".join([table_uri.rstrip("/")] + parts)
-
-
-def glob_dirs(spark: SparkSession, pattern: str) -> list[str]:
-    """Folders matching a glob (escaped partition values never contain glob characters)."""
-    fs_, p = _fs_and_path(spark, pattern)
-    found = fs_.globStatus(p)
-    return [str(st.getPath().toString()) for st in (found or []) if st.isDirectory()]
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    fs, p = _fs_and_path(spark, source)
+    _, q = _fs_and_path(spark, target)
+    if not fs.rename(p, q):
+        raise OSError(f"cannot rename {source} to {target}")

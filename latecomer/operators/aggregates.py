@@ -12,21 +12,6 @@ def grouped_sum(facts: DataFrame, group_cols, measure: str, alias: str | None =
     return facts.groupBy(*group_cols).agg(F.coalesce(F.sum(measure), zero).alias(alias or measure))
 
 
-def group_stats(facts: DataFrame, group_cols, measure: str, distinct_col: str | None = None) -> DataFrame:
-    """The usual user aggregates over *whole* groups (groups are recomputed,
-    never patched, so non-additive ones such as AVG and COUNT DISTINCT stay exact)."""
-    aggs = [
-        F.coalesce(F.sum(measure), F.lit(0).cast(facts.schema[measure].dataType)).alias("total"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.avg(measure).alias("mean"),
-        F.min(measure).alias("lowest"),
-        F.max(measure).alias("highest"),
-    ]
-    if distinct_col:
-        aggs.append(F.countDistinct(distinct_col).alias(f"n_{distinct_col}"))
-    return facts.groupBy(*group_cols).agg(*aggs)
-
-
 def top_counts(df: DataFrame, col: str, limit: int = 1000, count_alias: str = "count") -> DataFrame:
     """A5 / O1 / O2: COUNT(*) by ``col``, most frequent first (ties by value), top ``limit``.
     Planned as a partial count then TakeOrderedAndProject: only ``limit`` rows per task

@@ -109,9 +109,11 @@ def changed_partitions_only(target: DataFrame, batch: DataFrame, keys, partition
     t = target.select(*cols, F.lit(True).alias("_in_t")).alias("t")
     b = batch.select(*cols, F.lit(True).alias("_in_b")).alias("b")
     key_eq = reduce(lambda a, c: a & c, [F.col(f"t.{k}") == F.col(f"b.{k}") for k in keys])
-    j = t.join(b, key_eq, "full_outer")
+    # NULL keys never match: they bypass the join instead of hashing to one task
+    has_key = reduce(lambda a, c: a & c, [F.col(k).isNotNull() for k in keys])
+    loose = target.where(~has_key).select(*pcols).unionByName(batch.where(~has_key).select(*pcols))
+    j = t.where(has_key).alias("t").join(b.where(has_key).alias("b"), key_eq, "full_outer")
     same = F.col("t._in_t").isNotNull() & F.col("b._in_b").isNotNull() & null_safe_row_equal(cols)
     pre = j.where(F.col("t._in_t").isNotNull() & ~same).select(*[F.col(f"t.{c}").alias(c) for c in pcols])
     post = j.where(F.col("b._in_b").isNotNull() & ~same).select(*[F.col(f"b.{c}").alias(c) for c in pcols])
-    # rows whose key is NULL never match: they are inserted (post) or deleted (pre)
-    return pre.unionByName(post).distinct()
+    return pre.unionByName(post).unionByName(loose).distinct()

@@ -12,16 +12,20 @@ from .changes import (INCREMENTAL, SNAPSHOT, _check_mode, anti_by_key, dedup_lat
 
 
 def as_of(bronze: DataFrame, keys, run_ts: str, mode: str = INCREMENTAL, order_cols=(),
-          run_col: str = RUN_COL) -> DataFrame:
+          run_col: str = RUN_COL, runs: DataFrame | None = None) -> DataFrame:
     """The table as it stood after run ``run_ts``.
 
     * incremental sources: the latest row per key over all runs ``<= run_ts``;
-    * snapshot sources: the newest slice ``<= run_ts``, deduplicated.
+    * snapshot sources: the newest slice ``<= run_ts``, deduplicated. ``runs`` (a column of
+      all run ids, such as the audit table) names runs that delivered nothing: after an
+      empty snapshot the table is empty.
     Run ids must sort in run order (timestamps do)."""
     _check_mode(mode)
     upto = bronze.where(F.col(run_col) <= F.lit(run_ts))
     if mode == SNAPSHOT:
-        newest = upto.agg(F.max(run_col).alias(run_col))        # one row: a proven size bound
+        known = upto.select(run_col) if runs is None else upto.select(run_col).union(
+            runs.select(run_col).where(F.col(run_col) <= F.lit(run_ts)))
+        newest = known.agg(F.max(run_col).alias(run_col))       # one row: a proven size bound
         upto = upto.join(F.broadcast(newest), run_col, "left_semi")
     return dedup_latest(upto, keys, [run_col, *order_cols]).drop(run_col)
 

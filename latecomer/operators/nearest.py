@@ -13,7 +13,7 @@ Grid form (scales with both sides):
   Ties break on the smaller place id;
 * unresolved points go to the next level with ``2h``; at ``h >= 2`` (the sphere's
   diameter) every place is a candidate, so every point resolves. Points without
-  coordinates get no place (NULL, quirk X11 fixed).
+  coordinates (NULL or NaN) get no place (quirk X11 fixed).
 
 The per-point choice is ``min(struct(chord², place_id))`` grouped by point: combined
 map-side, so only one row per point and task is shuffled.
@@ -90,8 +90,11 @@ def _level(points: DataFrame, places: DataFrame, h: float) -> DataFrame:
                       (_cell(F.col("pz"), h) + F.col("o.dz")).alias("cz")))
     d2 = ((F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2
           + (F.col("qz") - F.col("pz")) ** 2)
-    cand = (pts.join(spread, ["cx", "cy", "cz"]).select("pid", "place_id", d2.alias("d2"))
-            .where(F.col("d2") <= F.lit(h * h)))
+    cand = pts.join(spread, ["cx", "cy", "cz"]).select("pid", "place_id", d2.alias("d2"))
+    if h < 2.0:
+        cand = cand.where(F.col("d2") <= F.lit(h * h))
+    # at the last level every place is a candidate: nothing is filtered (rounding may put the
+    # squared chord of antipodes a little above 4)
     best = cand.groupBy("pid").agg(F.min(F.struct("d2", "place_id")).alias("b"))
     return best.select("pid", F.col("b.place_id").alias("place_id"), F.col("b.d2").alias("d2"))
 
@@ -102,10 +105,16 @@ def nearest_place(points: DataFrame, places: DataFrame, point_id: str, place_id:
                   cell: float | None = None) -> DataFrame:
     """``(point_id, place_id, chord)`` for every point; ``place_id``/``chord`` are NULL
     for a point without coordinates or when there are no places."""
-    pl = (places.where(F.col(place_lat).isNotNull() & F.col(place_lon).isNotNull())
+    def located(lat: str, lon: str) -> Column:
+        return (F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(F.col(lat).cast("double"))
+                & ~F.isnan(F.col(lon).cast("double")))
+
+    pl = (places.where(located(place_lat, place_lon))
           .select(F.col(place_id).alias("place_id"), *unit_vector(place_lat, place_lon, "p")))
-    has_xy = F.col(point_lat).isNotNull() & F.col(point_lon).isNotNull()
-    pts = points.where(has_xy).select(F.col(point_id).alias("pid"), *unit_vector(point_lat, point_lon, "q"))
+    # a row number of our own (fixed by the write): point ids may be NULL or repeat
+    points = fixed(points.select(point_id, point_lat, point_lon).withColumn("_row", F.monotonically_increasing_id()))
+    has_xy = located(point_lat, point_lon)
+    pts = points.where(has_xy).select(F.col("_row").alias("pid"), *unit_vector(point_lat, point_lon, "q"))
     n_places = pl.count()
     if n_places == 0:
         return points.select(F.col(point_id), F.lit(None).cast(places.schema[place_id].dataType).alias(place_id),
@@ -127,8 +136,6 @@ def nearest_place(points: DataFrame, places: DataFrame, point_id: str, place_id:
             break
         h = min(2.0, h * 2.0)
     found = reduce(DataFrame.unionByName, resolved).select(
-        F.col("pid").alias(point_id), F.col("place_id").alias(place_id), F.sqrt("d2").alias("chord"))
-    no_xy = points.where(~has_xy).select(
-        F.col(point_id), F.lit(None).cast(places.schema[place_id].dataType).alias(place_id),
-        F.lit(None).cast("double").alias("chord"))
-    return found.unionByName(no_xy)
+        F.col("pid").alias("_row"), F.col("place_id").alias("_place"), F.sqrt("d2").alias("chord"))
+    # one row for each input row; those without coordinates find nothing
+    return points.join(found, "_row", "left").select(F.col(point_id), F.col("_place").alias(place_id), "chord")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset, Lake
 from ..sinks.tables import replace_groups
-from ..sources.tables import MAX_NAMED_FOLDERS, affected, read, read_partitions
+from ..sources.tables import affected, read, table_exists
 from .groups import group_predicate, recompute_groups, rows_in_groups
 
 
@@ -22,30 +22,23 @@ def recompute(lake: Lake, source: Dataset, target: Dataset, group_cols,
     ``derive`` adds derived group columns (e.g. quarter from month) to both the change
     set and the source rows before grouping (D8)."""
     cols = list(group_cols)
-    has_null, scoped = None, False
     changed = affected(lake, source, "partitions")
     missing = [c for c in cols if c not in changed.columns]
     if derive is None and missing:
         raise ValueError(f"group columns {missing} are not in the source's partition grain {changed.columns}")
-    if derive is None and set(cols) <= set(source.partition_by):
-        # One bounded collect of the affected group tuples (a change set, at most the
-        # partition count) decides the no-op, names the folders to list and read, and
-        # serves every later join as a small local relation.
-        tuples = changed.select(*cols).distinct().limit(MAX_NAMED_FOLDERS + 1).collect()
-        if not tuples:
-            return False
-        if len(tuples) <= MAX_NAMED_FOLDERS:
-            changed = lake.spark.createDataFrame(tuples, changed.select(*cols).schema)
-            has_null = any(v is None for t in tuples for v in t)
-        rows = read_partitions(lake, source, changed, cols)
-        scoped = True                                   # already exactly the groups' rows
-    else:
-        if changed.isEmpty():
-            return False
-        rows = read(lake, source)
+    if changed.isEmpty():
+        return False
+    rows = read(lake, source)
     if derive is not None:
-        changed, rows = derive(changed), derive(rows)
-    groups, fresh = recompute_groups(rows, changed, cols, aggregate, has_null=has_null, scoped=scoped)
+        # the source partitions of the changed derived groups, derived from the (few) distinct
+        # partition tuples; the semi join on them prunes the scan before rows are derived
+        changed = derive(changed)
+        grain = [c for c in source.partition_by]
+        wanted = rows_in_groups(derive(rows.select(*grain).distinct()), changed, cols).select(*grain)
+        rows = derive(rows_in_groups(rows, wanted, grain))
+    # the marker table itself is the selective side of the semi join: Spark prunes the
+    # source's partitions from it at run time, whatever the types of the group columns
+    groups, fresh = recompute_groups(rows, changed, cols, aggregate)
     replace_groups(lake, target, fresh, groups, cols, groups_checked=True)
     return True
 
@@ -58,15 +51,22 @@ def backfill(lake: Lake, source: Dataset, target: Dataset, group_cols,
     (``named_groups``: tuples; a literal OR-of-ANDs predicate, P6/P7, that prunes
     partitions statically). The groups are then replaced in the target."""
     cols = list(group_cols)
-    rows = read(lake, source)
-    if named_groups is not None:
-        rows = rows.where(group_predicate(named_groups, cols))
-    groups = rows.select(*cols).distinct()
-    if on is not None:
-        if lower is not None:
-            groups = groups.where(F.col(on) >= F.lit(lower))
-        if upper is not None:
-            groups = groups.where(F.col(on) <= F.lit(upper))
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        if named_groups is not None:
+            rows = rows.where(group_predicate(named_groups, cols))
+        if on is not None and lower is not None:
+            rows = rows.where(F.col(on) >= F.lit(lower))
+        if on is not None and upper is not None:
+            rows = rows.where(F.col(on) <= F.lit(upper))
+        return rows
+
+    rows = chosen(read(lake, source))
+    groups = rows.select(*cols)
+    if table_exists(lake, target):
+        # a group that has left the source is replaced by nothing
+        groups = groups.unionByName(chosen(read(lake, target)).select(*cols))
+    groups = groups.distinct()
     if groups.isEmpty():
         return False
     fresh = aggregate(rows_in_groups(rows, groups, cols))

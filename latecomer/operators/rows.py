@@ -30,7 +30,9 @@ def map_changed(lake: Lake, source: Dataset, target: Dataset,
     deleted = affected(lake, source, "deleted_keys")
     if keys.isEmpty() and deleted.isEmpty():
         return False
-    rows = read_keys(lake, source, keys).transform(transform)
+    # every changed row lies in a partition of the change set: prune to those before the key join
+    within = affected(lake, source, "partitions") if source.partition_by else None
+    rows = read_keys(lake, source, keys, within).transform(transform)
     upsert(lake, target, rows, "incremental", order_cols=order_cols,
            delete_keys=None if deleted.isEmpty() else deleted)
     return True

@@ -48,7 +48,7 @@ def _lake(spark: SparkSession, run_ts: str = "r1") -> Lake:
 
 def q01_scan(spark, sf_dir):
     lake = _lake(spark)
-    write(lake, of.SILVER, of.initial_load(_facts(spark, sf_dir)), "overwrite")
+    write(lake, of.SILVER, _facts(spark, sf_dir), "overwrite")
     return as_double(read(lake, of.SILVER), "amount")
 
 
@@ -154,7 +154,7 @@ def q10_recompute_groups(spark, sf_dir):
 def q11_null_groups(spark, sf_dir):
     """Rows of a group set that contains NULL centers: NULL matches NULL. The group set
     is the pre-image of the moved rows; the J5 guard checks the rows stay inside it."""
-    facts = of.with_null_center(of.initial_load(_facts(spark, sf_dir)))
+    facts = of.with_null_center(_facts(spark, sf_dir))
     groups = facts.where((F.col("cost_id") % of.MOVE_MOD) == of.MOVE_REM).select(*GROUPS).distinct()
     rows = rows_in_groups(facts, groups, GROUPS)
     check_within_groups(rows, groups, GROUPS)
@@ -295,8 +295,8 @@ _LI_COLS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discou
 _QUARTER_SQL = "substr(cost_period, 1, 4) || '-Q' || CAST((CAST(substr(cost_period, 6, 2) AS INTEGER) + 2) // 3 AS VARCHAR)"
 
 ORACLE = {
-    "q01_scan": sql_with(SQL_FACTS, SQL_INITIAL)
-    + "SELECT cost_id, cost_period, cost_center, CAST(amount AS DOUBLE) AS amount FROM initial",
+    "q01_scan": sql_with(SQL_FACTS)
+    + "SELECT cost_id, cost_period, cost_center, CAST(amount AS DOUBLE) AS amount FROM facts",
 
     "q02_bronze_retry": sql_with(SQL_FACTS)
     + "SELECT cost_id, cost_period, cost_center, CAST(amount AS DOUBLE) AS amount, "
@@ -326,8 +326,8 @@ ORACLE = {
     "q10_recompute_groups": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_BATCH, SQL_MERGED)
     + "SELECT cost_period, cost_center, CAST(SUM(amount) AS DOUBLE) AS amount FROM merged GROUP BY 1, 2",
 
-    "q11_null_groups": sql_with(SQL_FACTS, SQL_INITIAL)
-    + """, nf AS (SELECT cost_id, cost_period, CASE WHEN cost_center = '5-LOW' THEN NULL ELSE cost_center END AS cost_center, amount FROM initial),
+    "q11_null_groups": sql_with(SQL_FACTS)
+    + """, nf AS (SELECT cost_id, cost_period, CASE WHEN cost_center = '5-LOW' THEN NULL ELSE cost_center END AS cost_center, amount FROM facts),
 g AS (SELECT DISTINCT cost_period, cost_center FROM nf WHERE cost_id % 50 = 0)
 SELECT cost_id, cost_period, cost_center, CAST(amount AS DOUBLE) AS amount FROM nf
 WHERE EXISTS (SELECT 1 FROM g WHERE g.cost_period IS NOT DISTINCT FROM nf.cost_period

@@ -35,7 +35,7 @@ def supplier_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema, a fixed bound, so it is broadcast."""
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation")
-    return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey, "left")
+    return (s.join(n, s.s_nationkey == n.n_nationkey, "left")
             .select(F.col("s_suppkey").alias("place_id"), F.col("s_name").alias("name"),
                     F.col("n_name").alias("cc"),
                     (((F.col("s_suppkey") * PLACE_LAT_MULT) % PLACE_LAT_MOD).cast("double") / 100.0 - 80.0).alias("lat"),
@@ -56,7 +56,7 @@ def q16_nearest_place(spark, sf_dir):
 def q18_top_countries(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
-    rows = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left").select(F.col("n_name").alias("country_code"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey, "left").select(F.col("n_name").alias("country_code"))
     return top_counts(rows, "country_code", BI_ROW_LIMIT, "count")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql.types import DecimalType, LongType, StringType, StructField, St
 from ..dataset import Dataset, bronze_schema
 
 AMOUNT = DecimalType(18, 2)
+ARRIVAL = "arrival"
 KEYS = ("cost_id",)
 GROUPS = ("cost_period", "cost_center")
 

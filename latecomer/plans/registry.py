@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import cost_scenarios, event_scenarios, geo_scenarios, history_scenarios, run_scenarios
+from . import (cost_scenarios, event_scenarios, geo_scenarios, history_scenarios, proof_scenarios,
+               run_scenarios)
 
 
 def _modules():
-    mods = [cost_scenarios, event_scenarios, geo_scenarios, run_scenarios, history_scenarios]
+    mods = [cost_scenarios, event_scenarios, geo_scenarios, run_scenarios, history_scenarios, proof_scenarios]
     return mods
 
 

@@ -5,7 +5,8 @@ starts from a copy of these three functions with its own names and source."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..dataset import Dataset, Lake, bronze_schema
 from ..operators.aggregates import grouped_sum
@@ -19,14 +20,18 @@ CLEAN = StructType([StructField("id", StringType(), True), StructField("period",
 
 
 def datasets(name: str, mode_key=("id",)):
-    bronze = Dataset("bronze", name, "raw", bronze_schema(CLEAN), partition_by=("run_ts",))
+    landed = StructType([*CLEAN.fields, StructField("arrival", LongType(), True)])
+    bronze = Dataset("bronze", name, "raw", bronze_schema(landed), partition_by=("run_ts",))
     silver = Dataset("silver", name, "fact", CLEAN, key=mode_key, partition_by=("period",))
     gold = Dataset("gold", name, "by_period", StructType([CLEAN["period"], CLEAN["amount"]]), partition_by=("period",))
     return bronze, silver, gold
 
 
-def run(lake: Lake, name: str, raw: DataFrame, mode: str = "snapshot") -> None:
+def run(lake: Lake, name: str, raw: DataFrame, mode: str = "snapshot", arrival_col: str | None = None) -> None:
+    """``arrival_col`` of ``raw`` orders several rows of one id within a run: the last one wins."""
     bronze, silver, gold = datasets(name)
-    write_bronze(lake, bronze, cast_to(raw, CLEAN))
-    upsert(lake, silver, read_new(lake, bronze).transform(lambda d: cast_to(d, CLEAN)), mode)
+    number = F.col(arrival_col).cast("bigint") if arrival_col else F.lit(None).cast("bigint")
+    write_bronze(lake, bronze, cast_to(raw.withColumn("arrival", number), CLEAN, ["arrival"]))
+    upsert(lake, silver, read_new(lake, bronze).transform(lambda d: cast_to(d, CLEAN, ["arrival"])), mode,
+           order_cols=("arrival",))
     recompute(lake, silver, gold, ("period",), lambda f: grouped_sum(f, ("period",), "amount"))

@@ -7,7 +7,6 @@ built by someone else.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -56,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="latecomer-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -77,13 +78,6 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default
-
-
 def stage(df, label: str = "staged"):
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back:
     lineage is cut (later stages and retries after a lost executor read exactly these

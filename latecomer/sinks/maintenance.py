@@ -11,7 +11,7 @@ from .. import fs
 from ..dataset import RUN_COL, Dataset, Lake
 from ..operators.groups import rows_in_groups
 from ..operators.quality import AUDIT_SCHEMA, audit_row, observed
-from ..sources.tables import LEVELS, affected, read
+from ..sources.tables import LEVELS, affected, marker_schema, read
 from .tables import overwrite_partitions, upsert
 
 
@@ -25,25 +25,29 @@ def compact(lake: Lake, ds: Dataset, partitions: DataFrame | None = None) -> Non
 
 
 def expire_markers(lake: Lake, ds: Dataset, before_run: str) -> list[str]:
-    """Drop change-set partitions of runs older than ``before_run`` (folder names
-    only; run ids sort in run order)."""
-    utils = lake.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    """Drop change-set partitions of runs older than ``before_run`` (one folder a run and
+    level; run ids sort in run order)."""
     removed = []
     for level in LEVELS:
         path = lake.marker_path(ds, level)
-        for name in fs.list_names(lake.spark, path):
-            if not name.startswith(f"{RUN_COL}="):
-                continue
-            run = utils.unescapePathName(name.split("=", 1)[1])
-            if run < before_run:
-                fs.delete(lake.spark, f"{path}/{name}")
-                removed.append(f"{level}/{run}")
-    for level in LEVELS:
-        lake.spark.catalog.refreshByPath(lake.marker_path(ds, level))
+        if not fs.exists(lake.spark, path):
+            continue
+        rows = lake.spark.read.schema(marker_schema(ds, level)).option("basePath", path).parquet(path)
+        old = rows.where(F.col(RUN_COL) < F.lit(before_run)).select(
+            RUN_COL, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+        for run, folder in old.toLocalIterator():
+            fs.delete(lake.spark, folder, encoded=True)
+            removed.append(f"{level}/{run}")
+        lake.spark.catalog.refreshByPath(path)
     return removed
 
 
-AUDIT = Dataset("audit", "lake", "runs", AUDIT_SCHEMA, partition_by=())
+def _rows(seen: Observation) -> int:
+    """Observed rows; an optimized-away (empty) input reports none."""
+    try:
+        return int(seen.get.get("rows", 0))
+    except AssertionError:
+        return 0
 
 
 def audited_upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = "incremental",
@@ -56,8 +60,7 @@ def audited_upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = "incre
     watched, obs = observed(batch, tag)
     written = Observation(f"{tag}_written")
     upsert(lake, ds, watched, mode, order_cols=order_cols, written=written)
-    rows_in = int(obs.get.get("rows", 0))
-    rows_written = int(written.get.get("rows", 0))
+    rows_in, rows_written = _rows(obs), _rows(written)
     counts = {lvl: affected(lake, ds, lvl).count() if (lvl != "partitions" or ds.partition_by) else 0
               for lvl in LEVELS}
     rec = audit_row(lake.spark, lake.run.run_ts, ds.rel(), rows_in, rows_written, counts["keys"],

@@ -13,27 +13,36 @@ emptied partition leaves that partition's old rows until the run is retried.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import fs
 from ..functions.scalar import utc_now_iso
 from ..session import release, stage
 from ..dataset import INGESTED_COL, RUN_COL, Dataset, Lake
 from ..operators.changes import (INCREMENTAL, SNAPSHOT, _check_mode, affected_partitions, anti_by_key,
-                                 changed_keys, changed_partitions_only, dedup_latest)
+                                 changed_partitions_only, dedup_latest)
 from ..operators.groups import (check_groups, check_within_groups, rows_in_groups,
                                 rows_outside_groups)
 from ..operators.merge import merge_partitions, merge_result
-from ..sources.tables import affected, marker_schema, read, table_exists
+from ..sources.records import cast_to
+from ..sources.tables import affected, marker_schema, read, read_with_folders, table_exists
+
 
+def conform(df: DataFrame, ds: Dataset, also=()) -> DataFrame:
+    """Select and cast to the declared schema, in declared order; a value that doesn't convert raises.
+    Columns of ``also`` are kept as they are.
 
-def conform(df: DataFrame, ds: Dataset) -> DataFrame:
-    """Select and cast to the declared schema, in declared order."""
+    An empty string in a partition column becomes NULL: a partition folder can't tell the two apart."""
     missing = [c for c in ds.columns() if c not in df.columns]
     if missing:
         raise ValueError(f"{ds.rel()}: missing columns {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ds.schema.fields])
+    out = cast_to(df, ds.schema, also)
+    texts = [c for c in ds.partition_by if isinstance(ds.schema[c].dataType, StringType)]
+    return out.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in texts}) if texts else out
 
 
 def _layout(df: DataFrame, ds: Dataset) -> DataFrame:
@@ -41,10 +50,11 @@ def _layout(df: DataFrame, ds: Dataset) -> DataFrame:
 
     ``REBALANCE`` on the partition columns makes each folder come from few tasks (no
     small-file explosion), while AQE still splits a folder that holds a third of all rows
-    into several evenly sized tasks.
+    into several evenly sized tasks. A landing of one run goes to one folder anyway and is
+    written as it comes.
     """
     out = df.select(*ds.storage_columns())
-    if ds.partition_by:
+    if ds.partition_by and tuple(ds.partition_by) != (RUN_COL,):
         out = out.hint("rebalance", *[F.col(c) for c in ds.partition_by])
     return out
 
@@ -75,41 +85,50 @@ def overwrite_partitions(lake: Lake, ds: Dataset, df: DataFrame, path: str | Non
     _refresh(lake, path)
 
 
-def drop_partitions(lake: Lake, ds: Dataset, partitions: list[tuple], path: str | None = None) -> int:
-    """Remove partition folders (a short list of names, never rows)."""
-    path = path or lake.path(ds)
-    n = 0
-    for values in partitions:
-        n += fs.delete(lake.spark, fs.partition_dir(lake.spark, path, ds.partition_by, values))
-    _refresh(lake, path)
+def drop_folders(lake: Lake, ds: Dataset, folders: DataFrame | None) -> int:
+    """Remove the listed partition folders (paths only, streamed; never rows)."""
+    if folders is None:
+        return 0
+    n = sum(fs.delete(lake.spark, r[0], encoded=True) for r in folders.toLocalIterator())
+    _refresh(lake, lake.path(ds))
     return n
 
 
-def _emptied(affected_parts: DataFrame, incoming: DataFrame, kept: DataFrame, cols) -> list[tuple]:
-    """Affected partitions left without rows, to remove after the rewrite (a dynamic
-    overwrite leaves a partition that gets no rows in place).
+def _emptied(lake: Lake, ds: Dataset, affected_parts: DataFrame, incoming: DataFrame, kept: DataFrame) -> DataFrame | None:
+    """Folders of affected partitions left without rows, to remove after the rewrite (a
+    dynamic overwrite leaves a partition that gets no rows in place).
 
     Only affected partitions that receive no incoming rows can empty; usually there are
-    none and no further job runs. For the few candidates, the kept rows decide.
-    Bounded by the partition count, never rows."""
-    cols = list(cols)
+    none and no further job runs. For the few candidates, the kept rows decide. The folders
+    are those of the files that hold the partitions' rows now, so partition values of any type
+    are found. The list is fixed before the rewrite."""
+    cols = list(ds.partition_by)
     cand = rows_outside_groups(affected_parts.select(*cols).distinct(), incoming.select(*cols), cols)
-    candidates = [tuple(r) for r in cand.collect()]
-    if not candidates:
-        return []
-    cand_df = kept.sparkSession.createDataFrame(candidates, affected_parts.select(*cols).schema)
-    still = {tuple(r) for r in rows_in_groups(kept.select(*cols), cand_df, cols).distinct().collect()}
-    return [c for c in candidates if c not in still]
+    if cand.isEmpty():
+        return None
+    gone = rows_outside_groups(cand, rows_in_groups(kept.select(*cols), cand, cols), cols)
+    return stage(rows_in_groups(read_with_folders(lake, ds, cols), gone, cols).select("_folder").distinct(), "emptied")[0]
 
 
 def _rewrite_whole(lake: Lake, ds: Dataset, rows: DataFrame) -> None:
-    """Replace an unpartitioned table by rows computed from it: staged first (a static
-    overwrite deletes the folder it would read from), then written, then released."""
-    fixed_rows, staged = stage(rows, "rewrite")
+    """Replace an unpartitioned table by rows computed from it: written beside it, then swapped
+    in by two renames. The old folder stays until the new one is in place, so a failed write
+    leaves the table as it was."""
+    path, tag = lake.path(ds), uuid.uuid4().hex[:12]
+    new, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
     try:
-        write(lake, ds, fixed_rows, "overwrite")
-    finally:
-        release(staged, lake.spark)
+        _layout(conform(rows, ds), ds).write.mode("errorifexists").parquet(new)
+    except BaseException:
+        release(new, lake.spark)
+        raise
+    fs.rename(lake.spark, path, old)
+    try:
+        fs.rename(lake.spark, new, path)
+    except BaseException:
+        fs.rename(lake.spark, old, path)
+        raise
+    release(old, lake.spark)
+    _refresh(lake, path)
 
 
 # --------------------------------------------------------------------------- bronze
@@ -131,7 +150,8 @@ def write_bronze(lake: Lake, ds: Dataset, df: DataFrame) -> None:
         write(lake, ds, stamped, "overwrite")
         return
     if stamped.isEmpty():
-        drop_partitions(lake, ds, [(lake.run.run_ts,)])
+        left = read_with_folders(lake, ds, [RUN_COL]).where(F.col(RUN_COL) == F.lit(lake.run.run_ts))
+        drop_folders(lake, ds, left.select("_folder").distinct())
         return
     overwrite_partitions(lake, ds, conform(stamped, ds))
 
@@ -192,9 +212,17 @@ def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
     if not ds.key:
         raise ValueError(f"{ds.rel()}: upsert requires a key")
     keys, pcols = list(ds.key), list(ds.partition_by)
+    extra = [c for c in order_cols if c not in ds.columns()]       # e.g. an arrival number
+    latest = dedup_latest(conform(batch, ds, extra), keys, order_cols).drop(*extra)
+    if not table_exists(lake, ds):
+        # nothing to read before the write: no staging; the change set comes from the table
+        write(lake, ds, _counted(latest, written), "overwrite")
+        made = read(lake, ds)
+        record_affected(lake, ds, keys=made.select(*keys), partitions=made.select(*pcols) if pcols else None)
+        return
     # Fixed once, in the shared checkpoint dir: the batch may be derived from the very table
     # this upsert rewrites, and a lost executor must not recompute it from the new files.
-    batch, staged = stage(dedup_latest(conform(batch, ds), keys, order_cols), "batch")
+    batch, staged = stage(latest, "batch")
     try:
         _upsert_fixed(lake, ds, batch, keys, pcols, mode, only_changed, delete_keys, written)
     finally:
@@ -208,14 +236,9 @@ def _counted(df: DataFrame, written: Observation | None) -> DataFrame:
 def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode: str,
                   only_changed: bool, delete_keys: DataFrame | None,
                   written: Observation | None = None) -> None:
-    if not table_exists(lake, ds):
-        write(lake, ds, _counted(batch, written), "overwrite")
-        record_affected(lake, ds, keys=changed_keys(batch, keys),
-                        partitions=batch.select(*pcols) if pcols else None)
-        return
     target = read(lake, ds)
     tk = target.select(*keys, *[c for c in pcols if c not in keys])      # P4: narrow scan
-    batch_keys = batch.select(*keys).distinct()
+    batch_keys = batch.select(*keys)                                     # one row a key already
     dropped = None
     if delete_keys is not None:
         dropped = tk.join(delete_keys.select(*keys).distinct(), keys, "left_semi")
@@ -248,9 +271,9 @@ def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode:
     if mode == SNAPSHOT and only_changed:
         # unchanged partitions are not rewritten: restrict the snapshot to the marked ones
         new_rows = rows_in_groups(new_rows, committed, pcols)
-    gone = _emptied(committed, batch, new_rows, pcols)
+    gone = _emptied(lake, ds, committed, batch, new_rows)
     overwrite_partitions(lake, ds, _counted(new_rows, written))
-    drop_partitions(lake, ds, gone)
+    drop_folders(lake, ds, gone)
 
 
 # --------------------------------------------------------------------------- group replace
@@ -259,13 +282,13 @@ def replace_groups(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFra
                    group_cols=None, groups_checked: bool = False) -> None:
     """K6: replace only ``groups`` of ``ds`` by ``new_rows``; other groups keep their files
     untouched; groups without new rows disappear. Emits the *requested* groups as this
-    dataset's change set, so an emptied group still reaches the next hop (quirk X3).
-    ``groups_checked``: the caller already knows the group set is not empty."""
+    dataset's change set, so an emptied group still reaches the next hop (quirk X3), and, for
+    a keyed dataset, the keys of the new rows and the keys that the replaced groups lose.
+
+    Group columns may be coarser than the partitions: every partition that holds rows of a
+    group is rewritten. ``groups_checked``: the caller already knows the group set is not empty."""
     cols = list(group_cols or ds.partition_by)
     pcols = list(ds.partition_by)
-    missing = [c for c in pcols if c not in cols] if pcols else []
-    if pcols and missing:
-        raise ValueError(f"{ds.rel()}: partitions {pcols} must be covered by the group columns {cols}")
     if groups_checked:
         missing_cols = [c for c in cols if c not in groups.columns]
         if missing_cols:
@@ -282,19 +305,31 @@ def replace_groups(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFra
 def _replace_fixed(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFrame, cols, pcols) -> None:
     check_within_groups(new_rows, groups, cols, ds.rel())
     groups = groups.select(*cols).distinct()
+    keys = list(ds.key)
+    covered = set(pcols) <= set(cols)
     if not table_exists(lake, ds):
         write(lake, ds, new_rows, "overwrite")
-        record_affected(lake, ds, partitions=groups.select(*pcols) if pcols else None)
+        touched = groups.select(*pcols) if covered else new_rows.select(*pcols)
+        record_affected(lake, ds, keys=new_rows.select(*keys) if keys else None, partitions=touched if pcols else None)
         return
     target = read(lake, ds)
+    lost = None
+    if keys:
+        lost = anti_by_key(rows_in_groups(target, groups, cols).select(*keys), new_rows.select(*keys), keys)
     if not pcols:
+        record_affected(lake, ds, keys=new_rows.select(*keys) if keys else None, deleted=lost)
         _rewrite_whole(lake, ds, rows_outside_groups(target, groups, cols).unionByName(new_rows))
         return
-    touched = groups.select(*pcols).distinct()
-    record_affected(lake, ds, partitions=touched)
+    if covered:
+        touched = groups.select(*pcols).distinct()
+    else:
+        # coarser groups: the partitions that hold their rows now, and those of the new rows
+        touched = rows_in_groups(target.select(*dict.fromkeys([*pcols, *cols])), groups, cols).select(*pcols).union(
+            new_rows.select(*pcols)).distinct()
+    record_affected(lake, ds, keys=new_rows.select(*keys) if keys else None, partitions=touched, deleted=lost)
     committed = affected(lake, ds, "partitions")
     scope = rows_in_groups(target, committed, pcols)
     rest = rows_outside_groups(scope, groups, cols)
-    gone = _emptied(committed, new_rows, rest, pcols)
+    gone = _emptied(lake, ds, committed, new_rows, rest)
     overwrite_partitions(lake, ds, rest.unionByName(new_rows))
-    drop_partitions(lake, ds, gone)
+    drop_folders(lake, ds, gone)

@@ -9,7 +9,7 @@ JSON text whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, StringType, StructField,
                                StructType)
@@ -21,7 +21,7 @@ BRONZE_PAYLOAD = StructType([StructField("id", StringType(), True), StructField(
 
 _COLLECTION = StructType([StructField("features", ArrayType(StringType()), True)])
 
-# only the fields the analysis needs; extra feed fields are ignored
+# fixed contract of the feed: the fields the analysis needs (extra ones are ignored)
 FEATURE_SCHEMA = StructType([
     StructField("id", StringType(), True),
     StructField("properties", StructType([
@@ -41,25 +41,26 @@ FEATURE_SCHEMA = StructType([
 _ID_ONLY = StructType([StructField("id", StringType(), True)])
 
 
-def read_feed(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
+def read_feed(spark: SparkSession, path: str, start: Column | str | None = None, end: Column | str | None = None,
               whole_files: bool = False) -> DataFrame:
     """Landed documents of the days in ``[start, end)`` (all days when unbounded).
     ``event_date`` is a string partition column whatever the session's inference says."""
     reader = spark.read.schema("value string, event_date string").option("basePath", path)
     # text() has its own wholetext argument (default False) that would override an option
     docs = reader.text(path, wholetext=whole_files)
+    day = lambda d: F.lit(d) if isinstance(d, str) else F.date_format(d, "yyyy-MM-dd")
     if start is not None:
-        docs = docs.where(F.col("event_date") >= F.lit(start))
+        docs = docs.where(F.col("event_date") >= day(start))
     if end is not None:
-        docs = docs.where(F.col("event_date") < F.lit(end))
+        docs = docs.where(F.col("event_date") < day(end))
     return docs
 
 
 def features_to_rows(docs: DataFrame, text_col: str = "value") -> DataFrame:
     """One row per feature, ``id`` plus the feature's JSON kept whole. A document
-    without (or with null) ``features`` gives no rows."""
-    feats = docs.select(F.explode(F.from_json(F.col(text_col), _COLLECTION).features).alias("raw"))
-    return feats.select(F.from_json("raw", _ID_ONLY).id.alias("id"), "raw")
+    without (or with null) ``features`` gives no rows; one that is not JSON raises."""
+    feats = docs.select(F.explode(parse_json_strict(text_col, _COLLECTION).features).alias("raw"))
+    return feats.select(parse_json_strict("raw", _ID_ONLY).id.alias("id"), "raw")
 
 
 def normalize_features(raw: DataFrame) -> DataFrame:

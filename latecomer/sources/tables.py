@@ -6,8 +6,6 @@ types and an absent table or marker yields a typed empty frame, never a guess.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -18,11 +16,6 @@ from ..operators.groups import rows_in_groups
 
 LEVELS = ("keys", "partitions", "deleted_keys")
 
-# Above this many folders a group read lists the whole table and relies on dynamic
-# partition pruning instead of naming the folders.
-MAX_NAMED_FOLDERS = 5000
-LISTING_THREADS = 32
-
 
 def table_exists(lake: Lake, ds: Dataset) -> bool:
     """Create-or-merge decision. Only "not there" means missing; any other error
@@ -44,28 +37,19 @@ def read(lake: Lake, ds: Dataset) -> DataFrame:
     return df.select(*ds.columns())
 
 
-def _run_folder(lake: Lake, root: str, schema: StructType, run: str) -> DataFrame | None:
-    """The rows of one ``run_ts=`` folder, listing only that folder (a table partitioned by
-    run keeps every run's history; listing all of it per run would grow with history)."""
-    folder = fs.partition_dir(lake.spark, root, (RUN_COL,), (run,))
-    if not fs.exists(lake.spark, folder):
-        return None
-    # The run filter is redundant after naming the folder, but it is what marks this side
-    # as selective, so a semi join from a target partitioned by the marker's columns gets
-    # dynamic partition pruning.
-    return (lake.spark.read.schema(schema).option("basePath", root).parquet(folder)
-            .where(F.col(RUN_COL) == F.lit(run)))
+def read_with_folders(lake: Lake, ds: Dataset, cols) -> DataFrame:
+    """``cols`` of the dataset's rows and the folder (encoded URI) each row lies in."""
+    if not table_exists(lake, ds):
+        return empty(lake, ds.sub_schema(cols)).withColumn("_folder", F.lit(None).cast("string"))
+    path = lake.path(ds)
+    df = (lake.spark.read.schema(StructType([ds.schema[c] for c in ds.storage_columns()]))
+          .option("basePath", path).parquet(path))
+    return df.select(*cols, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
 
 
 def read_new(lake: Lake, ds: Dataset) -> DataFrame:
     """Only this run's slice; ``run_ts`` is the partition column, so the scan
-    lists and reads one folder."""
-    if tuple(ds.partition_by) == (RUN_COL,):
-        if not table_exists(lake, ds):
-            return empty(lake, ds.schema)
-        schema = StructType([ds.schema[c] for c in ds.storage_columns()])
-        got = _run_folder(lake, lake.path(ds), schema, lake.run.run_ts)
-        return empty(lake, ds.schema) if got is None else got.select(*ds.columns())
+    reads one folder."""
     return read(lake, ds).where(F.col(RUN_COL) == F.lit(lake.run.run_ts))
 
 
@@ -75,10 +59,12 @@ def read_groups(lake: Lake, ds: Dataset, groups: DataFrame, group_cols=None) ->
     return rows_in_groups(read(lake, ds), groups, cols)
 
 
-def read_keys(lake: Lake, ds: Dataset, keys: DataFrame) -> DataFrame:
-    """Current rows of the given keys."""
+def read_keys(lake: Lake, ds: Dataset, keys: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Current rows of the given keys. ``within`` (partition tuples that hold them, such
+    as a run's change set) prunes the scan to those partitions first."""
     k = list(ds.key)
-    return read(lake, ds).join(keys.select(*k).distinct(), k, "left_semi")
+    rows = read(lake, ds) if within is None else read_groups(lake, ds, within)
+    return rows.join(keys.select(*k).distinct(), k, "left_semi")
 
 
 def marker_schema(ds: Dataset, level: str) -> StructType:
@@ -94,45 +80,8 @@ def affected(lake: Lake, ds: Dataset, level: str, run_ts: str | None = None) ->
     schema = marker_schema(ds, level)
     cols = [f.name for f in schema.fields if f.name != RUN_COL]
     path = lake.marker_path(ds, level)
-    got = None if not fs.exists(lake.spark, path) else _run_folder(lake, path, schema, run_ts or lake.run.run_ts)
-    return empty(lake, schema).select(*cols) if got is None else got.select(*cols)
-
-
-def read_partitions(lake: Lake, ds: Dataset, groups: DataFrame, group_cols=None,
-                    max_folders: int = MAX_NAMED_FOLDERS) -> DataFrame:
-    """Rows of the given groups, listing only their partition folders.
-
-    A plain read lists every file of the table before pruning; on an object store with
-    millions of files that listing alone grows with the table. Here the distinct group
-    tuples (a change set: bounded by the partition count, never rows) name the folders
-    to read; group columns coarser than the partitioning become ``*`` in the pattern.
-    Beyond ``max_folders`` (each named folder costs one metadata call) it falls back to the
-    full read with dynamic pruning."""
-    cols = list(group_cols or ds.partition_by)
-    pcols = list(ds.partition_by)
-    if not pcols or not set(cols) <= set(pcols) or not table_exists(lake, ds):
-        return read_groups(lake, ds, groups, cols)
-    tuples = groups.select(*cols).distinct().limit(max_folders + 1).collect()
-    if len(tuples) > max_folders:
-        return read_groups(lake, ds, groups, cols)
-    root = lake.path(ds)
-    patterns = []
-    for t in tuples:
-        values = dict(zip(cols, t))
-        parts = [f"{c}={fs.escape(lake.spark, values[c])}" if c in values else f"{c}=*" for c in pcols]
-        patterns.append("/".join([root.rstrip("/")] + parts))
-
-    def resolve(pattern: str) -> list[str]:
-        if "*" in pattern:
-            return fs.glob_dirs(lake.spark, pattern)
-        return [pattern] if fs.exists(lake.spark, pattern) else []
-
-    # one metadata call per named folder; issued concurrently (object stores are slow per call)
-    with ThreadPoolExecutor(max_workers=min(LISTING_THREADS, max(1, len(patterns)))) as pool:
-        folders = [f for found in pool.map(resolve, patterns) for f in found]
-    schema = StructType([ds.schema[c] for c in ds.storage_columns()])
-    if not folders:
-        return empty(lake, ds.schema)
-    df = lake.spark.read.schema(schema).option("basePath", root).parquet(*sorted(set(folders)))
-    has_null = any(v is None for t in tuples for v in t)
-    return rows_in_groups(df.select(*ds.columns()), groups, cols, has_null=has_null)
+    if not fs.exists(lake.spark, path):
+        return empty(lake, schema).select(*cols)
+    # the run filter prunes to one folder, and makes this side selective for dynamic pruning
+    return (lake.spark.read.schema(schema).option("basePath", path).parquet(path)
+            .where(F.col(RUN_COL) == F.lit(run_ts or lake.run.run_ts)).select(*cols))

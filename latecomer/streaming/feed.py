@@ -12,6 +12,7 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -29,6 +30,8 @@ def propagate_batch(lake: Lake, silver: Dataset, gold: Dataset, group_cols,
                     order_cols=()) -> Callable[[DataFrame, int], None]:
     def apply(batch: DataFrame, batch_id: int) -> None:
         run = lake.at(run_id(batch_id))
+        if "_place" in order_cols:
+            batch = batch.withColumn("_place", F.monotonically_increasing_id())
         upsert(run, silver, batch, mode, order_cols=order_cols)
         recompute(run, silver, gold, group_cols, aggregate)
     return apply
@@ -42,8 +45,12 @@ def start_file_stream(spark: SparkSession, source_path: str, schema: StructType,
     """Start the stream; with ``available_now`` it processes what has landed and stops
     (a scheduled run), otherwise it keeps polling every ``processing_time``."""
     ckpt = checkpoint_path or f"{lake.root.rstrip('/')}/_streams/{silver.pipeline}_{silver.table}"
-    src = spark.readStream.schema(schema).format(fmt).load(source_path)
-    w = (src.writeStream.foreachBatch(propagate_batch(lake, silver, gold, group_cols, aggregate, mode, order_cols))
+    # rows of one key within a micro-batch: ``order_cols``, then the file's time and the place in it
+    src = spark.readStream.schema(schema).format(fmt).load(source_path).select(
+        "*", F.col("_metadata.file_modification_time").alias("_landed"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"))
+    order = (*order_cols, "_landed", "_file", "_block", "_place")
+    w = (src.writeStream.foreachBatch(propagate_batch(lake, silver, gold, group_cols, aggregate, mode, order))
          .option("checkpointLocation", ckpt))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()

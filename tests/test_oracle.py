@@ -5,14 +5,14 @@ import duckdb
 import pandas as pd
 import pytest
 
-import __spark_entry__ as E
+from latecomer.plans.registry import all_oracles, all_queries
 
 from .conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = all_queries()
+ORACLE = all_oracles()
 
 
 @pytest.fixture(scope="module")

@@ -236,20 +236,6 @@ def test_feed_without_features_and_bad_json(spark, lake_root):
         normalize_features(broken).collect()
 
 
-def test_read_partitions_names_only_affected_folders(spark, lake_root):
-    from latecomer.sources.tables import read_partitions
-    r1 = lk(spark, lake_root, "r1")
-    upsert(r1, SILVER, df(spark, [("A", "05", "X", 1.0), ("B", "05", "Y", 2.0), ("C", "06", "X", 3.0),
-                                  ("D", "06", None, 4.0)]))
-    months = spark.createDataFrame([("05",), ("07",)], "cost_period string")
-    got = read_partitions(r1, SILVER, months, ["cost_period"])
-    assert sorted(r.cost_id for r in got.collect()) == ["A", "B"]
-    assert all("cost_period=05" in f for f in got.inputFiles())
-    groups = spark.createDataFrame([("06", None)], "cost_period string, cost_center string")
-    assert [r.cost_id for r in read_partitions(r1, SILVER, groups).collect()] == ["D"]
-    assert read_partitions(r1, SILVER, groups, max_folders=0).count() == 1      # fallback path
-
-
 def test_snapshot_only_changed_marks_and_rewrites_changed_partitions(spark, lake_root):
     """Quirk X7 option: a snapshot marks only partitions where a row was inserted,
     updated, moved or deleted; the others keep their files."""
@@ -295,6 +281,10 @@ def test_backfill_full_ranged_and_named(spark, lake_root):
     assert backfill(r1, SILVER, GOLD, G, summed, named_groups=[("07", None)])
     assert gold(r1) == {("05", "X"): 1.0, ("06", "X"): 20.0, ("07", None): 30.0}
     assert not backfill(r1, SILVER, GOLD, G, summed, lower="09", on="cost_period")
+    # a group that left the source leaves the target too
+    upsert(lk(spark, lake_root, "r3"), SILVER, df(spark, [("A", "05", "X", 10.0)]), "snapshot")
+    assert backfill(r1, SILVER, GOLD, G, summed, lower="06", upper="06", on="cost_period")
+    assert gold(r1) == {("05", "X"): 1.0, ("07", None): 30.0}
 
 
 def test_whole_file_feed_documents(spark, lake_root):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latecomer.operators.changes import dedup_latest
+from latecomer.operators.groups import rows_in_groups
 from latecomer.operators.nearest import nearest_place
 
 SKEW_CONF = {
@@ -42,7 +43,7 @@ def test_hot_group_join_is_split_and_exact(skew_session):
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("g"),   # g = 0 holds 1/3
         F.col("id").alias("v"))
     groups = spark.range(0, n, 7).select(F.col("id").alias("g"))
-    joined = rows.join(groups, "g", "left_semi")
+    joined = rows_in_groups(rows, groups, ["g"], has_null=False)
     plan = _final_plan(joined)
     assert "isSkewJoin=true" in plan or "skew=true" in plan
     expected = rows.where((F.col("g") % 7) == 0).count()
