@@ -3,14 +3,14 @@
 A line is the set of its words. It is removed if an earlier line (by document id, text hash and line number) has
 a Jaccard similarity of ``THRESHOLD`` or more. Lines without words stay. Matches are judged on the input.
 
-1. **Order.** Words are ordered by rarity: occurrences per different word among words of the same length, counted
-   over all documents (a table of 64 rows), then by hash. The join is exact under any one order; a rare word first makes
-   it fast.
+1. **Order.** Words are ordered by rarity: occurrences counted over all documents in a table of ``CELLS`` hash cells (a
+   rare word seems as frequent as the words of its cell), then by hash. The join is exact under any one order; rare words
+   first make it fast.
 2. **Distinct sets.** Equal sets meet in one aggregate; the first line stands for the set, the others are removed.
    Sets are numbered in the order of their first lines.
 3. **Prefix, length and positional filters.** Two sets of sizes ``n`` and ``m`` with ``n >= m`` match only if ``m >= t*n``, if
-   they share a word among their first ``n - ceil(t*n) + 1``, and if what is left after the shared word is long enough.
-   Pairs are then counted, and the number of shared prefix words is checked against the least overlap.
+   they share a word among their first ``n - ceil(t*n) + 1`` (fewer for sets of like size), and if what is left around the
+   shared word is long enough. Parities of 64 word classes bound the number of different words from below.
 4. **Verify.** The words of the remaining lines are read again (a fixed-size bitmap leaves most lines out of that
    shuffle; it doesn't decide) and the Jaccard similarity is computed.
 
@@ -27,6 +27,8 @@ gets the same lines removed); NULL ids come first; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,27 +36,40 @@ from pyspark.sql.window import Window
 from .common import SPACE, staged, table, text_key, words_of
 
 THRESHOLD = 0.8
-CROWDED = 64
+CROWDED = 256
 LEADERS = 8
+#: Cells of the frequency table.
+CELLS = 1 << 18
 #: Words of the bitmap; 64 lines share a word.
 _MAP_WORDS = 1 << 18
 
 
-def rarity(docs: DataFrame, text_col: str) -> list[int]:
-    """Rank (0 is rarest) of each word length up to 63, from all words."""
+def rarity(docs: DataFrame, text_col: str) -> bytes:
+    """Frequency level (0 is rarest, quarter powers of two) of each hash cell, counted over all words."""
     words = docs.select(F.explode_outer(words_of(F.col(text_col))).alias("w")).where("w IS NOT NULL")
-    rows = words.groupBy(F.least(F.length("w"), F.lit(63)).alias("size")).agg(
-        F.count("*").alias("n"), F.approx_count_distinct("w").alias("different")).collect()      # 63 rows at most
-    mean = {r["size"]: r["n"] / max(1, r["different"]) for r in rows}
-    order = sorted(range(64), key=lambda s: (mean.get(s, 0.0), -s))
-    return [order.index(s) for s in range(64)]
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    levels = bytearray(CELLS)
+    for row in counts.toLocalIterator():                    # at most CELLS rows, whatever the input
+        levels[row["cell"]] = min(127, int(4 * math.log2(row["n"])))
+    return bytes(levels)
+
+
+def _tokens(line: Column, levels: bytes) -> Column:
+    """Sorted set of word codes: 7 bits of frequency, then 56 bits of hash."""
+    table = F.lit(levels)
+
+    def code(h):
+        level = F.ascii(F.substring(table, (F.pmod(h, F.lit(CELLS)) + 1).cast("int"), F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, code)))
 
 
-def _tokens(line: Column, ranks: list[int]) -> Column:
-    """Sorted set of word codes: 7 bits of rarity, then 56 bits of hash."""
-    table = F.array(*[F.lit(r).cast("long") for r in ranks])
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), lambda w: F.shiftleft(
-        F.element_at(table, F.least(F.length(w), F.lit(63)) + 1), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8)))))
+def _parity(tokens: Column) -> Column:
+    """64 parity bits of a set: two sets differ in at least as many words as their parities in bits."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,19 +91,19 @@ def _prefix(n: Column, t: float) -> Column:
 
 
 def _pairs(probe: DataFrame, index: DataFrame, t: float) -> DataFrame:
-    """(x, y) pairs, y earlier, that pass the length, positional and shared-prefix filters."""
-    x = probe.select("tok", F.col("no").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"))
-    y = index.select("tok", F.col("no").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"))
+    """(x, y) rows, y earlier, that pass the length, positional and parity filters (a row for each shared word)."""
+    x = probe.select("tok", F.col("no").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"), F.col("bits").alias("xb"))
+    y = index.select("tok", F.col("no").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("bits").alias("yb"))
     xn, yn, need = F.col("xn"), F.col("yn"), _overlap(F.col("xn"), F.col("yn"), t)
-    bound = F.least("xi", "yi") + 1 + F.least(xn - F.col("xi"), yn - F.col("yi")) - 1
-    met = x.join(y, (x.tok == y.tok) & (F.col("y") < F.col("x")) & (F.least(xn, yn) >= F.lit(t) * F.greatest(xn, yn))
-                 & (bound >= need))
-    counted = met.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("xn").alias("xn"), F.first("yn").alias("yn"))
-    rest = F.greatest(xn - _prefix(xn, t), yn - _prefix(yn, t))
-    return counted.where(F.col("shared") + rest >= need).select("x", "y")
+    # both sets have at most ``need`` words after their pair's prefixes
+    in_prefix = (F.col("xi") <= xn - need) & (F.col("yi") <= yn - need)
+    bound = F.least("xi", "yi") + F.least(xn - F.col("xi"), yn - F.col("yi"))
+    differ = F.bit_count(F.col("xb").bitwiseXOR(F.col("yb")))
+    return x.join(y, (x.tok == y.tok) & (F.col("y") < F.col("x")) & (F.least(xn, yn) >= F.lit(t) * F.greatest(xn, yn))
+                  & in_prefix & (bound >= need) & (differ <= xn + yn - 2 * need)).select("x", "y")
 
 
-def _verify(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, ranks: list[int],
+def _verify(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, levels: bytes,
             t: float) -> DataFrame:
     """The numbers of the sets x that match an earlier set y."""
     wanted = staged(pairs.select(F.col("x").alias("no")).union(pairs.select(F.col("y").alias("no"))).distinct()
@@ -101,7 +116,7 @@ def _verify(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs:
             .join(F.broadcast(bitmap), "cell")              # 2**18 rows at most
             .where(F.expr("getbit(bits, bit) = 1")).select("id", "key", "line_no", "line"))
     found = near.join(wanted, near.id.eqNullSafe(wanted.id) & (near.key == wanted.key)
-                      & (near.line_no == wanted.line_no)).select("no", _tokens(F.col("line"), ranks).alias("tokens"))
+                      & (near.line_no == wanted.line_no)).select("no", _tokens(F.col("line"), levels).alias("tokens"))
     tokens = staged(found, "lines-tokens")
     both = (pairs.join(tokens.select(F.col("no").alias("x"), F.col("tokens").alias("xt")), "x")
             .join(tokens.select(F.col("no").alias("y"), F.col("tokens").alias("yt")), "y"))
@@ -113,10 +128,11 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   crowded: int = CROWDED, leaders: int = LEADERS) -> DataFrame:
     """(id, key, removed): for documents that lose lines, the sorted numbers (from 0) of those lines."""
     t = threshold
-    ranks = rarity(docs, text_col)
-    coded = (_lines(docs, id_col, text_col).withColumn("tokens", _tokens(F.col("line"), ranks))
+    levels = rarity(docs, text_col)
+    coded = (_lines(docs, id_col, text_col).withColumn("tokens", _tokens(F.col("line"), levels))
              .withColumn("n", F.size("tokens")))
-    lines = staged(coded.select("id", "key", "line_no", F.xxhash64("tokens").alias("sig"), "n", F.transform(
+    lines = staged(coded.select("id", "key", "line_no", F.xxhash64("tokens").alias("sig"), "n",
+                                _parity(F.col("tokens")).alias("bits"), F.transform(
         F.slice(F.col("tokens"), F.lit(1), _prefix(F.col("n"), t)), lambda v: F.hash(v)).alias("prefix")), "lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     firsts = lines.groupBy("sig").agg(F.min(F.struct("id", "key", "line_no")).alias("at"))
@@ -127,18 +143,24 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     f = sets.select("sig", F.col("id").alias("f_id"), F.col("key").alias("f_key"), F.col("line_no").alias("f_line"), "no")
     first = lines.join(f, "sig").where(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key"))
                                        & (F.col("line_no") == F.col("f_line")))
-    rows = first.select("no", "n", F.posexplode("prefix").alias("i", "tok"))
+    rows = first.select("no", "n", "bits", F.posexplode("prefix").alias("i", "tok"))
     word = Window.partitionBy("tok")
-    met = rows.withColumn("met", F.count("*").over(word)).withColumn("rank", F.row_number().over(word.orderBy("no")))
-    rows = staged(met.where("met > 1"), "lines-prefix")
+    rows = (rows.withColumn("met", F.count("*").over(word)).withColumn("rank", F.row_number().over(word.orderBy("no")))
+            .where("met > 1"))
     is_crowded = F.col("met") > crowded
-    pairs = staged(_pairs(rows, rows.where(~is_crowded | (F.col("rank") <= leaders)), t), "lines-pairs")
-    removed = staged(_verify(docs, id_col, text_col, sets, pairs, ranks, t), "lines-removed")
-    open_sets = (rows.where(is_crowded & (F.col("rank") > leaders)).select("no").distinct()
-                 .join(removed.withColumnRenamed("x", "no"), "no", "left_anti"))
-    rest = _pairs(rows.join(open_sets, "no"), rows, t).join(pairs, ["x", "y"], "left_anti")
-    rest = staged(rest, "lines-rest")
-    removed = removed.union(_verify(docs, id_col, text_col, sets, rest, ranks, t)).distinct()
+    # one job: pairs, and the rows of crowded words (they have a token, pairs don't)
+    held = [F.lit(None).cast(kind).alias(name) for name, kind in
+            (("tok", "int"), ("n", "int"), ("i", "int"), ("bits", "long"), ("rank", "int"))]
+    found = staged(_pairs(rows, rows.where(~is_crowded | (F.col("rank") <= leaders)), t).distinct().select("x", "y", *held)
+                   .union(rows.where(is_crowded).select("no", F.lit(None), "tok", "n", "i", "bits", "rank")), "lines-pairs")
+    pairs = found.where("tok IS NULL").select("x", "y")
+    removed = staged(_verify(docs, id_col, text_col, sets, pairs, levels, t), "lines-removed")
+    crowd = found.where("tok IS NOT NULL").withColumnRenamed("x", "no")
+    unsettled = staged(crowd.where(F.col("rank") > leaders).join(removed.withColumnRenamed("x", "no"), "no", "left_anti"),
+                       "lines-unsettled")
+    if not unsettled.isEmpty():
+        rest = staged(_pairs(unsettled, crowd, t).distinct().join(pairs, ["x", "y"], "left_anti"), "lines-rest")
+        removed = removed.union(_verify(docs, id_col, text_col, sets, rest, levels, t)).distinct()
     return _by_document(lines, f, removed)
 
 
