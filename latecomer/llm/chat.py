@@ -93,10 +93,11 @@ def link(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) ->
                        & (keyed.call_id == F.col("d_call")), "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     called = F.col("d_call").isNotNull()
-    status = (F.when(F.col("kind") == "text", "text").when(F.col("call_id").isNull(), "no id")
+    status = (F.when(F.col("kind") == "text", "text").when(~F.coalesce(call | result, F.lit(False)), "unknown kind")
+              .when(F.col("call_id").isNull(), "no id")
               .when(~F.col("is_head"), "duplicate")
               .when(call, F.when(F.col("answered"), "linked").otherwise("pending"))
-              .when(result, F.when(called, "linked").otherwise("orphan")).otherwise("unknown kind"))
+              .otherwise(F.when(called, "linked").otherwise("orphan")))
     parsed = F.try_parse_json("arguments")
     order_errors = F.array_compact(F.array(F.when(F.col("lost"), F.lit("parent: missing")), F.when(
         called & F.col("depth").isNull(), F.lit("parent: cycle"))))
