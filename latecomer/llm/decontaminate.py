@@ -247,7 +247,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """``text`` without the words of ``spans`` and without what stands between words of one span."""
     if not spans:
         return text
-    at = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    at = [(m.start(), m.end()) for m in WORD.finditer(text.lower())]
     out, last = [], 0
     for a, b in spans:
         out.append(text[last:at[a][0]])

@@ -61,6 +61,14 @@ def test_decontamination_edge_cases(spark, frame, block_words):
     assert {r.n_hit for r in decontaminate.scan(df, bench.limit(0)).collect()} == {0}
 
 
+def test_cut_keeps_the_rest_byte_for_byte():
+    text = "Ünder THE Old, old\tTree (it Stood) — so. END".encode()
+    ws = decontaminate.words(text)
+    assert [w.decode() for w in ws] == ["Ünder", "the", "old", "old", "tree", "it", "stood", "—", "so", "end"]
+    assert decontaminate.cut(text, [(1, 4), (6, 7)]).decode() == "Ünder \tTree (it ) — so. END"
+    assert decontaminate.cut(text, [(0, len(ws))]) == b"" and decontaminate.cut(text, []) == text
+
+
 # ---- token files ----
 
 def test_images_give_any_token():
