@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import arrow, table
 
-CACHE = 1_000_000
+CACHE = 600_000
 LONG = 200
 BLOCK = 4096
 
