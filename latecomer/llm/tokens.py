@@ -36,9 +36,14 @@ CHUNK_BITS = 8
 RANK_BLOCK = 512
 SEGMENT_TOKENS = 1 << 18
 END_ID = 0
-#: Remembered pieces of text a worker.
-CACHE = 600_000
+#: Pieces of text that a worker remembers, and the longest one in characters.
+CACHE = 1_200_000
 LONG = 200
+#: Texts are encoded in groups of about this many characters.
+GROUP = 1 << 21
+#: Marks a piece that can't be encoded alone; no vocabulary has this id.
+_NO_ID = 2**32 - 1
+_UNSAFE = _NO_ID.to_bytes(4, "little")
 
 
 # ---- file format ----------------------------------------------------------------------------------
@@ -145,46 +150,77 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.pieces = load(path)
-        self.cut = _by_space(self.tokenizer)
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.cut = _by_space(self.tokenizer) and len(feed) == 1
+        self.feed = feed[0] if feed else 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces) -> None:
+        """Encode pieces and remember them; those that are safe alone go 64 to a text, between line feeds."""
+        known, safe, rest = self.pieces, [], []
+        for p in pieces:
+            (safe if p and p[0] != "\n" and not p[-1].isspace() else rest).append(p)
+        blocks = [safe[at:at + 64] for at in range(0, len(safe), 64)]
+        texts = [" " + "\n ".join(block) for block in blocks]
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            raw, start = ids.tobytes(), 0
+            cuts = np.flatnonzero(ids == self.feed).tolist()
+            if len(cuts) != len(block) - 1:
+                rest += block
+                continue
+            for p, cut in zip(block, [*cuts, len(ids)]):
+                known[p] = raw[4 * start:4 * cut]
+                start = cut + 1
+        known.update(zip(rest, self._encode([p if p[:1] == "\n" else " " + p for p in rest])))
+        known.update((p, _UNSAFE) for p in rest if not p or p[-1].isspace())
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Arrays of unsigned 32-bit ids."""
         if not self.cut:
             return [np.frombuffer(b, "<u4") for b in self._encode(texts)]
         known = self.pieces
-        out = []
-        for text in texts:
-            first, *rest = text.replace("\n", " \n").split(" ")
-            parts = []
-            for at in range(0, len(rest), 1 << 15):
-                block = rest[at:at + (1 << 15)]
-                new = list({p for p in block if p not in known})
-                if new:
-                    if len(known) + len(new) > CACHE:
-                        known.clear()
-                        new = list(set(block))
-                    known.update(zip(new, self._encode([p if p[:1] == "\n" else " " + p for p in new])))
-                    for p in new:
-                        if not p or p[-1].isspace():
-                            known[p] = None
-                got = [known[p] for p in block]
-                if len(block) != len(rest) or new:
-                    for p in block:
-                        if len(p) > LONG:
-                            known.pop(p, None)
-                parts += got
-            if None in parts or (rest and first and first[-1].isspace()):
-                parts = self._encode([text])
-            elif first:
-                parts = self._encode([first]) + parts
-            out.append(np.frombuffer(b"".join(parts), "<u4"))
+        split = [text.replace("\n", " \n").split(" ") for text in texts]
+        firsts = [pieces[0] for pieces in split]
+        for pieces in split:
+            del pieces[0]                               # the first piece has no space before it
+        seen = set().union(*split)
+        new = seen - known.keys()
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = seen
+        if new:
+            self._learn(new)
+        out, whole = [], []
+        for i, (pieces, first) in enumerate(zip(split, self._encode(firsts))):
+            ids = np.frombuffer(first + b"".join(map(known.__getitem__, pieces)), "<u4")
+            if (pieces and firsts[i] and firsts[i][-1].isspace()) or (len(ids) and ids.max() == _NO_ID):
+                whole.append(i)
+            out.append(ids)
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]) if whole else ()):
+            out[i] = np.frombuffer(ids, "<u4")
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
         return out
 
 
+def _groups(body: pa.Array):
+    """(first row, texts) of about ``GROUP`` characters each."""
+    at, texts, size = 0, [], 0
+    for i, text in enumerate(body.to_pylist()):
+        if texts and size + len(text) > GROUP:
+            yield at, texts
+            at, texts, size = i, [], 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield at, texts
+
+
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID,
           out: str | None = None, segment_tokens: int = SEGMENT_TOKENS) -> str:
     """Encode ``docs`` and write their segments in ascending id order; returns the folder."""
@@ -213,9 +249,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             id_arrow = batch.column(0).type
             ids = batch.column(0).to_pylist()
             body = batch.column(2)
-            for at in range(0, len(ids), 512):
-                texts = body.slice(at, 512).to_pylist()
-                for owner, tokens in zip(ids[at:at + 512], encoder.batch(texts)):
+            for at, texts in _groups(body):
+                for owner, tokens in zip(ids[at:], encoder.batch(texts)):
                     if held and size + len(tokens) + 1 > segment_tokens:
                         yield segment()
                         seq += 1
