@@ -57,14 +57,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame, label: str = "llm") -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read back (lineage cut)."""
-    return stage(df, label)[0]
+    """``df`` written once to the shared checkpoint folder and read back (lineage cut).
+
+    Nothing reads the write's shuffle files again. Spark deletes them when the driver collects their owners, which
+    with a large heap may take hours; the collection asked for here keeps the disk to what is in use.
+    """
+    out = stage(df, label)[0]
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def words_of(text: Column) -> Column:
-    """Array of the words ``[^\\x20\\x09-\\x0D]+``; empty for NULL."""
-    return F.coalesce(F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != ""),
-                      F.array().cast("array<string>"))
+    """Array of the words ``[^\\x20\\x09-\\x0D]+``; empty for NULL.
+
+    Most texts hold spaces and line feeds only; a split at one character needs no regular expression.
+    """
+    plain = F.replace(text, F.lit("\n"), F.lit(" "))
+    parts = F.when(plain.rlike("[\\t-\\r]"), F.split(plain, f"[{SPACE}]+")).otherwise(F.split(plain, " "))
+    return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 
 def text_key(text: Column) -> Column:
