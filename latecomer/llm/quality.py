@@ -1,11 +1,12 @@
 """Quality rules: counts on words and lines, and divergence from language references.
 
-References, by ``lang`` and over all documents: the shares of character classes (lower and upper letters,
-digits, white space, sentence marks, symbols, the rest) and the shares of the ``TOP_WORDS`` commonest words and of all
-others. A document is compared to its language by the Jensen-Shannon distance (square root of the divergence in
+References, by ``lang``: over the documents that pass the base rules, the shares of character classes (lower and upper
+letters, digits, white space, sentence marks, symbols, the rest) and the shares of the ``TOP_WORDS`` commonest words and
+of all others. A group of copies or near copies weighs as much as ``GROUP_SHARE`` of its language's documents at most, so
+that no hot group becomes the reference. A document is compared to its language by the Jensen-Shannon distance (square root of the divergence in
 bits). Short documents vary by chance, so a test counts from a minimum number of words only.
 
-Everything is DataFrame expressions: one aggregate over all words, one pass that turns every text into counts, and
+Everything is DataFrame expressions: counts of copies, one aggregate over all words, one pass that turns every text into counts, and
 joins with tables of one row a language.
 
 Cases: NULL text has no words and fails the base rules (fewer than 50 words); NULL ``lang`` is a language of its own;
@@ -28,6 +29,11 @@ MAX_REPEATED = 0.5
 #: Largest distances of characters and of common words, and the words from which each holds.
 CHAR_DISTANCE, CHAR_MIN_WORDS = 0.30, 50
 WORD_DISTANCE = ((100, 0.36), (200, 0.30))
+#: Largest share of a language's documents that one group of copies weighs in its references (one document at least).
+GROUP_SHARE = 0.001
+#: Weights are whole numbers of this unit, so that no order of rows changes a reference (a long holds 10^14 characters
+#: of a language).
+UNIT = 1 << 16
 #: Fixed by the contract.
 SYMBOLS = "#*$%&|<>"
 #: Sentence marks of the character classes.
@@ -41,12 +47,54 @@ def _length_without(text: Column, letters: str) -> Column:
     return F.length(F.translate(text, letters, ""))
 
 
-def word_references(docs: DataFrame, lang_col: str, text_col: str, top: int = TOP_WORDS) -> DataFrame:
+def _windows(words: Column, n: Column) -> Column:
+    """Hashes of the 3-word windows."""
+    size = F.greatest(n - 2, F.lit(0))
+    return F.transform(
+        F.arrays_zip(F.slice(words, 1, size).alias("a"), F.slice(words, F.lit(2), size).alias("b"),
+                     F.slice(words, F.lit(3), size).alias("c")), lambda z: F.xxhash64(z["a"], z["b"], z["c"]))
+
+
+def crowded_groups(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """(lang, group, weight) of the groups of copies that would weigh more than a ``GROUP_SHARE`` of their language.
+
+    A group is the documents of one smallest 3-word window: exact copies share it, near copies nearly always. There are
+    at most 1 / ``GROUP_SHARE`` such groups a language, few enough to hand to every task.
+    """
+    words = docs.select(F.col(lang_col).alias("lang"), words_of(F.col(text_col)).alias("w"))
+    groups = words.select("lang", F.when(F.size("w") >= MIN_WORDS, F.array_min(_windows(F.col("w"), F.size("w"))))
+                          .alias("group"))
+    counts = groups.groupBy("lang", "group").agg(F.count("*").alias("n")).where("group IS NOT NULL")
+    totals = counts.groupBy("lang").agg(F.greatest(F.sum("n") * GROUP_SHARE, F.lit(1.0)).alias("most")).select(
+        F.col("lang").alias("__total"), "most")
+    return (counts.join(F.broadcast(totals), counts["lang"].eqNullSafe(totals["__total"])).where("n > most")
+            .select(F.col("lang").alias("__crowd"), F.col("group").alias("__crowd_group"),
+                    (F.col("most") / F.col("n")).alias("__weight")))
+
+
+def _weighted(frame: DataFrame, crowded: DataFrame, lang: str, group: str) -> DataFrame:
+    """``frame`` with the weight of every document in ``UNIT``s; the rows of ``crowded`` are few."""
+    return (frame.join(F.broadcast(crowded), frame[lang].eqNullSafe(crowded["__crowd"])
+                       & (frame[group] == crowded["__crowd_group"]), "left")
+            .withColumn("__units", F.round(F.coalesce("__weight", F.lit(1.0)) * UNIT).cast("long"))
+            .drop("__crowd", "__crowd_group", "__weight"))
+
+
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (n_repeat_words > MAX_REPEATED * n_words)
+
+
+def word_references(docs: DataFrame, crowded: DataFrame, lang_col: str, text_col: str,
+                    top: int = TOP_WORDS) -> DataFrame:
     """(lang, common, shares): the commonest words of each language and their shares, then the share of the rest."""
-    # the outer form: the inner one would evaluate the split again in a filter of its own
-    words = docs.select(F.col(lang_col).alias("lang"), F.explode_outer(words_of(F.col(text_col))).alias("word")).where(
-        "word IS NOT NULL")
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    frame = docs.select(F.col(lang_col).alias("lang"), words_of(F.col(text_col)).alias("w"))
+    frame = repeated_words(F.col("w"), F.size("w"), frame, "__repeat", "__group")
+    frame = _weighted(frame, crowded, "lang", "__group")
+    # no filter and the outer form: a filter, also the one of the inner form, would evaluate the split and windows again
+    used = F.when(~base_failed(F.size("w"), F.col("__repeat")), F.col("w"))
+    words = frame.select("lang", F.col("__units").alias("units"),
+                         F.explode_outer(used).alias("word")).where("word IS NOT NULL")
+    counts = words.groupBy("lang", "word").agg(F.sum("units").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= top)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -58,12 +106,9 @@ def word_references(docs: DataFrame, lang_col: str, text_col: str, top: int = TO
     ).alias("shares"))
 
 
-def repeated_words(words: Column, n: Column, frame: DataFrame, out: str) -> DataFrame:
-    """``frame`` with the number of words in 3-word windows found twice or more in the text."""
-    size = F.greatest(n - 2, F.lit(0))
-    frame = frame.withColumn("__windows", F.transform(
-        F.arrays_zip(F.slice(words, 1, size).alias("a"), F.slice(words, F.lit(2), size).alias("b"),
-                     F.slice(words, F.lit(3), size).alias("c")), lambda z: F.xxhash64(z["a"], z["b"], z["c"])))
+def repeated_words(words: Column, n: Column, frame: DataFrame, out: str, group: str) -> DataFrame:
+    """``frame`` with the number of words in 3-word windows found twice or more in the text, and the smallest window."""
+    frame = frame.withColumn("__windows", _windows(words, n))
     frame = frame.withColumn("__sorted", F.sort_array("__windows"))
     less = F.greatest(F.size("__sorted") - 1, F.lit(0))
     frame = frame.withColumn("__twice", F.array_distinct(F.transform(F.filter(
@@ -78,7 +123,7 @@ def repeated_words(words: Column, n: Column, frame: DataFrame, out: str) -> Data
     starts = F.when(F.size("__twice") <= _FEW, by_search).otherwise(by_sort)
     covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
     return (frame.withColumn(out, F.when(F.size("__twice") == 0, 0).otherwise(covered).cast("long"))
-            .drop("__windows", "__sorted", "__twice"))
+            .withColumn(group, F.array_min("__windows")).drop("__windows", "__sorted", "__twice"))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -95,9 +140,9 @@ def _shares(counts: Column) -> Column:
     return F.transform(counts, lambda n: F.when(total > 0, n / total).otherwise(F.lit(0.0)))
 
 
-def _measured(docs: DataFrame, lang_col: str, text_col: str, carry: list[str]) -> DataFrame:
+def _measured(docs: DataFrame, crowded: DataFrame, lang_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """Counts of every document, next to the columns ``carry``."""
-    words = staged(word_references(docs, lang_col, text_col), "quality-words")
+    words = staged(word_references(docs, crowded, lang_col, text_col), "quality-words")
     words = words.select(F.col("lang").alias("__lang"), F.col("common").alias("__common"),
                          F.col("shares").alias("__word_shares"))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -123,24 +168,27 @@ def _measured(docs: DataFrame, lang_col: str, text_col: str, carry: list[str]) -
         "__classes": F.array(*[x.cast("long") for x in (
             letters - F.col("__upper"), F.col("__upper"), digits, white, marks, symbols, rest)]),
         "__counts": F.concat(counts, F.array(F.col("n_words") - F.size("__met"))).cast("array<bigint>")})
-    frame = repeated_words(ws, F.col("n_words").cast("int"), frame, "n_repeat_words")
+    frame = repeated_words(ws, F.col("n_words").cast("int"), frame, "n_repeat_words", "__group")
     return frame.withColumn("word_distance", F.when(F.col("n_words") > 0, _distance(
         _shares(F.col("__counts")), F.col("__word_shares")))).select(
-        *carry, "__of", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__classes",
+        *carry, "__of", "__group", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__classes",
         "word_distance")
 
 
 def measure(docs: DataFrame, carry: list[str], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``carry`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance,
     base_failed and kept for every document."""
-    counts = staged(_measured(docs, lang_col, text_col, carry), "quality-counts")
+    crowded = staged(crowded_groups(docs, lang_col, text_col), "quality-groups")
+    counts = staged(_measured(docs, crowded, lang_col, text_col, carry), "quality-counts")
     size = 7
-    sums = counts.groupBy("__of").agg(*[F.sum(F.col("__classes")[i]).alias(f"s{i}") for i in range(size)])
+    n = F.col("n_words")
+    failed = base_failed(n, F.col("n_repeat_words"))
+    good = _weighted(counts.where(~failed), crowded, "__of", "__group")
+    sums = good.groupBy("__of").agg(*[F.sum(F.col("__classes")[i] * F.col("__units")).alias(f"s{i}")
+                                      for i in range(size)])
     refs = sums.select(F.col("__of").alias("__ref"),
                        _shares(F.array(*[F.col(f"s{i}") for i in range(size)])).alias("__class_shares"))
     joined = counts.join(staged(refs, "quality-chars"), F.col("__of").eqNullSafe(F.col("__ref")), "left")
-    n = F.col("n_words")
-    failed = (n < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * n)
     odd = (n >= CHAR_MIN_WORDS) & (F.col("char_distance") > CHAR_DISTANCE)
     for least, most in WORD_DISTANCE:
         odd = odd | ((n >= least) & (F.col("word_distance") > most))
