@@ -33,8 +33,8 @@ THRESHOLD = 0.3
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small "
                     "span strike strong sub sup time tt u var wbr".split())
-_SILENT = frozenset("script style noscript template head title svg math iframe object select option datalist "
-                    "textarea canvas audio video".split())
+_SILENT = frozenset("script style noscript template head title svg iframe object select option datalist "
+                    "textarea canvas audio video annotation annotation-xml".split())
 #: Silent elements that don't end the line around them.
 _QUIET = frozenset("script style noscript template".split())
 _BOILER = frozenset("nav header footer aside form menu button dialog fieldset".split())
@@ -43,6 +43,8 @@ _BOILER_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|header|masthead|"
     r"footer|sidebar|aside|widget|related|share|sharing|social|comments?|disqus|replies|respond|cookies?|consent|"
     r"notice|gdpr|popup|modal|newsletter|subscribe|signup|login|search|pagination|pager)(?:$|[\s_-])", re.I)
+#: Elements of a head; any other one ends an open head (its end tag may be left out).
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 #: A new element of these closes an open one of the same kind (end tags may be left out).
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
            "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -58,6 +60,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.names, self.parents = ["#page"], [-1]
         self.open = [0]                      # numbers of the open elements
+        self.head = False                    # whether a head was opened
         self.silent = self.boiler = 0        # open elements without text, or with boilerplate
         self.kind = [""]                     # of each open element: 's'ilent, 'b'oilerplate or ''
         self.lines: list[tuple[str, int, int, bool]] = []
@@ -98,6 +101,9 @@ class _Lines(HTMLParser):
         elif tag == "br":
             self.text.append(" ")
         self.tags += 1
+        if self.head and tag not in _HEAD and self.names[self.open[-1]] == "head":
+            self._pop(len(self.open) - 1)
+            self.head = False
         if tag in _VOID:
             return
         if tag in _CLOSES and tag != "p":
@@ -114,6 +120,7 @@ class _Lines(HTMLParser):
             words = f"{at.get('class') or ''} {at.get('id') or ''}"
             if at.get("role") in _ROLES or "hidden" in at or (words != " " and _BOILER_WORD.search(words)):
                 kind = "b"
+        self.head |= tag == "head"
         self.silent += kind == "s"
         self.boiler += kind == "b"
         self.names.append(tag)
@@ -140,6 +147,9 @@ class _Lines(HTMLParser):
                 return                       # a stray inline end tag closes no block
 
     def handle_data(self, data):
+        if self.head and self.names[self.open[-1]] == "head" and not data.isspace():
+            self._pop(len(self.open) - 1)    # text ends a head, too
+            self.head = False
         if not self.silent:
             self.text.append(data)
 
