@@ -2,7 +2,8 @@
 
 The standard library's parser streams events into **lines**: a line is the text between two block tags, with the
 number of tags met, and the chain of open elements. A line inside boilerplate elements (menus, headers,
-footers, sidebars, notices, adverts, forms, comments: by tag, ARIA role, or class or id word) has no content.
+footers, sidebars, notices, adverts, forms, comments: by tag, ARIA role, or class or id word; within an article or main
+by whole classes, not by ids or parts of names) has no content.
 
 1. The text-to-tag ratio of a line is its letters over the tags in it (one at least).
 2. Ratios are smoothed with a Gaussian kernel (``SIGMA`` lines), so that short lines between long ones count.
@@ -39,10 +40,14 @@ _SILENT = frozenset("script style noscript template head title svg iframe object
 _QUIET = frozenset("script style noscript template".split())
 _BOILER = frozenset("nav header footer aside form menu button dialog fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_BOILER_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|header|masthead|"
-    r"footer|sidebar|aside|widget|related|share|sharing|social|comments?|disqus|replies|respond|cookies?|consent|"
-    r"notice|gdpr|popup|modal|newsletter|subscribe|signup|login|search|pagination|pager)(?:$|[\s_-])", re.I)
+_NAMES = (r"ads?|adverts?|advertisements?|advertising|advertorial|sponsors?|sponsored|promos?|banner|nav|navbar|navigation|"
+          r"menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|related|share|sharing|social|comments?|disqus|"
+          r"replies|respond|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|search|pagination|"
+          r"pager")
+_BOILER_WORD = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-])", re.I)
+#: Within an article or main a whole class has to name boilerplate; ids come from titles there, and so do those of headings.
+_BOILER_CLASS = re.compile(rf"(?:^|\s)(?:{_NAMES})(?:$|\s)", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of a head; any other one ends an open head (its end tag may be left out).
 _HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 #: A new element of these closes an open one of the same kind (end tags may be left out).
@@ -118,8 +123,11 @@ class _Lines(HTMLParser):
         elif attrs and tag not in ("html", "body", "article", "main"):
             at = dict(attrs)
             words = f"{at.get('class') or ''} {at.get('id') or ''}"
-            if at.get("role") in _ROLES or "hidden" in at or (words != " " and _BOILER_WORD.search(words)):
+            if at.get("role") in _ROLES or "hidden" in at:
                 kind = "b"
+            elif words != " " and tag not in _HEADINGS and _BOILER_WORD.search(words):
+                inside = any(self.names[n] in ("article", "main") for n in self.open)
+                kind = "b" if not inside or _BOILER_CLASS.search(at.get("class") or "") else ""
         self.head |= tag == "head"
         self.silent += kind == "s"
         self.boiler += kind == "b"
