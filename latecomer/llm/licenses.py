@@ -4,18 +4,22 @@ Templates and documents are sequences of lower-cased words. Winnowing keeps, of
 grams, the one with the smallest hash; two texts that share ``GRAM + WINDOW - 1`` words in a row share a fingerprint.
 An inverted index maps fingerprints to (template, position). Hits of a template on nearby diagonals (document
 position less template position) are one candidate, which is aligned in a band around its diagonal: the most
-template words matched in order. A match covers ``MIN_COVERAGE`` of the template and of its own span at least.
+template words matched in order. Blocks of inserted or left-out words move the diagonal out of the band; so the hits
+within all diagonals that one match can have (:func:`reach`) are candidates too, aligned without a band in the window
+that holds every such match, unless its words can't cover the template in any order. A match covers ``MIN_COVERAGE`` of the template and of its own span at least.
 
 The templates are a parameter of at most ``MAX_TEMPLATE_WORDS`` words; the documents aren't shuffled. Only grams of
 template words can be fingerprints of the index, so other grams aren't hashed.
 
 Cases: NULL and empty texts have no match; a template is reported for each place where it matches; where candidates of a
-template overlap, the best one stays (the first on ties); repeated rows are equal; an empty table gives an
+template overlap, the best one stays (the shortest, then the first on ties); repeated rows are equal; an empty table gives an
 empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +64,41 @@ def _better(cell: tuple[int, int, int]):
     return cell[0], cell[1] - cell[2]                              # most words, then the shortest span
 
 
+def reach(words: int, min_coverage: float = MIN_COVERAGE) -> int:
+    """How far the diagonals within one match can lie apart: text words inserted or template words left out at most."""
+    return max(math.ceil(words * (1 / min_coverage - 1)), math.ceil(words * (1 - min_coverage)))
+
+
+def align_window(template: np.ndarray, text: np.ndarray, min_coverage: float) -> tuple[int, int, int]:
+    """Most template words matched in order anywhere in ``text``, cut to the longest part that covers enough.
+
+    (matched, first word, end word), or zeros where no part covers ``min_coverage`` of the template and of its span.
+    """
+    size, least = len(text), min_coverage * len(template)
+    table = np.zeros((len(template) + 1, size + 1), np.int32)
+    for i, word in enumerate(template):
+        np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (text == word)), out=table[i + 1, 1:])
+    if table[-1, -1] < least:
+        return 0, 0, 0
+    i, j = len(template), int(np.searchsorted(table[-1], table[-1, -1]))
+    at = []
+    while table[i, j]:
+        if text[j - 1] == template[i - 1] and table[i, j] == table[i - 1, j - 1] + 1:
+            i, j = i - 1, j - 1
+            at.append(j)
+        elif table[i - 1, j] == table[i, j]:
+            i -= 1
+        else:
+            j -= 1
+    place = np.array(at[::-1])
+    for n in range(len(place), max(1, math.ceil(least)) - 1, -1):
+        span = place[n - 1:] - place[:len(place) - n + 1] + 1
+        k = int(span.argmin())
+        if n >= least and n >= min_coverage * span[k]:
+            return n, int(place[k]), int(place[k + n - 1]) + 1
+    return 0, 0, 0
+
+
 class Index:
     """Inverted index of the templates' winnowed fingerprints."""
 
@@ -72,6 +111,8 @@ class Index:
             self.coded.append([self.number.setdefault(w, len(self.number) + 1) for w in words(text.encode())])
         if sum(map(len, self.coded)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
+        # of every word (0: unknown) in each template
+        self.counts = [np.bincount(ids, minlength=len(self.number) + 1) for ids in self.coded]
         self.places: dict[int, list[tuple[int, int]]] = {}
         for t, ids in enumerate(self.coded):
             for at, value in self.fingerprints(np.array(ids, dtype=np.uint64)):
@@ -104,30 +145,47 @@ class Index:
         for at, value in self.fingerprints(np.array(ids, dtype=np.uint64)):
             for t, place in self.places.get(value, ()):
                 hits.setdefault(t, []).append((at - place, at))
-        found = []
+        found, whole = [], np.array(ids, dtype=np.int64)
         for t, at in hits.items():
-            template, near = self.coded[t], []
+            template = self.coded[t]
             diagonals = sorted({d for d, _ in at})
-            group = [diagonals[0]]
-            for d in [*diagonals[1:], None]:
-                if d is not None and d - group[0] <= band:
-                    group.append(d)
-                    continue
-                near.append(group[len(group) // 2])
-                group = [d]
             best = []
-            for diagonal in near:
-                n, a, b = align(template, ids, diagonal, band)
+            for group in _groups(diagonals, band):
+                n, a, b = align(template, ids, group[len(group) // 2], band)
                 if n >= min_coverage * max(len(template), b - a):
                     best.append((n, a, b))
+            far = reach(len(template), min_coverage)
+            for group in _groups(diagonals, far) if far else ():
+                # every match with a seed of the group lies in this window
+                start, end = max(0, group[0] - far), min(len(ids), group[-1] + len(template) + far)
+                window = whole[start:end]
+                if np.minimum(self.counts[t], np.bincount(window, minlength=len(self.number) + 1)).sum() \
+                        < min_coverage * len(template):
+                    continue
+                if any(n == len(template) and start <= a and b <= end for n, a, b in best) and len(group) == 1:
+                    continue                                       # nothing can match more
+                n, a, b = align_window(np.array(template), window, min_coverage)
+                if n:
+                    best.append((n, start + a, start + b))
             taken: list[tuple[int, int]] = []
-            for n, a, b in sorted(best, key=lambda x: (-x[0], x[1], x[2])):
+            for n, a, b in sorted(best, key=lambda x: (-x[0], x[2] - x[1], x[1])):
                 if all(b <= c or a >= d for c, d in taken):
                     taken.append((a, b))
                     found.append((t, n, a, b))
         return sorted(found, key=lambda x: (x[2], x[3], x[0]))
 
 
+def _groups(diagonals: list[int], spread: int):
+    """Sorted diagonals in groups of at most ``spread`` between the first and the last."""
+    group = [diagonals[0]]
+    for d in diagonals[1:]:
+        if d - group[0] > spread:
+            yield group
+            group = []
+        group.append(d)
+    yield group
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text",
          min_coverage: float = MIN_COVERAGE, band: int = BAND) -> DataFrame:
     """(id, matches): ``matches`` is a list of (license, matched, words, first, end), ``end`` exclusive."""
