@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, licenses, lines, quality, simhash, substring, tokens
+from . import bpe, chat, decontaminate, html_text, licenses, lines, merkle, quality, simhash, substring, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLE: dict[str, str] = {
     "op8_quality_rules": quality.OP8_SQL,
     "op9_substring_dedup": substring.OP9_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }

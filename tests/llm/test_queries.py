@@ -24,7 +24,7 @@ def _rows(pdf):
 
 def test_all_are_registered():
     names = E.queries()
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 1 + len(registry.QUERIES))}
     assert set(registry.QUERIES) | {"pipeline"} <= set(names)
     assert set(registry.ORACLE) <= set(registry.QUERIES)
 
