@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, licenses, lines, merkle, quality, simhash, substring, tokens
+from . import bpe, chat, decontaminate, html_text, licenses, lines, merkle, quality, simhash, spelling, substring, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLE: dict[str, str] = {
     "op9_substring_dedup": substring.OP9_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }
