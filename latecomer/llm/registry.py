@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, licenses, lines, merkle, quality, simhash, spelling, substring, tokens
+from . import bpe, chat, decontaminate, html_text, licenses, lines, merkle, pii, quality, simhash, spelling, substring, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_pii": pii.op12_pii,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
