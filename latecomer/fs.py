@@ -29,6 +29,11 @@ def delete(spark: SparkSession, uri: str, encoded: bool = False) -> bool:
     return bool(fs.delete(p, True))
 
 
+def mkdirs(spark: SparkSession, uri: str) -> None:
+    fs, p = _fs_and_path(spark, uri)
+    fs.mkdirs(p)
+
+
 def rename(spark: SparkSession, source: str, target: str) -> None:
     fs, p = _fs_and_path(spark, source)
     _, q = _fs_and_path(spark, target)

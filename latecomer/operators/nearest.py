@@ -1,37 +1,45 @@
 """Nearest-place join (J7): for each point the closest place on the sphere, exact.
 
 Both sides become unit vectors; the chord between two unit vectors grows with the great
-circle distance, so the nearest by chord is the nearest on the sphere.
-
-Grid form (scales with both sides):
-* cut 3-D space into cubes of side ``h``; every place is copied into the 27 cubes around
-  its own (the place side is the small one), and each point joins on its own cube: a
-  plain equi-join, which Spark can shuffle, broadcast (AQE, by measured size) or split
-  when a cube is hot;
-* a point whose best candidate lies within chord ``h`` is resolved: any place closer than
-  that is within ``h`` on every axis, hence in one of the 27 cubes, hence a candidate.
-  Ties break on the smaller place id;
-* unresolved points go to the next level with ``2h``; at ``h >= 2`` (the sphere's
-  diameter) every place is a candidate, so every point resolves. Points without
-  coordinates (NULL or NaN) get no place (quirk X11 fixed).
-
-The per-point choice is ``min(struct(chord², place_id))`` grouped by point: combined
+circle distance, so the nearest by chord is the nearest on the sphere. Two structures:
+
+**Grid.** 3-D space is cut into cubes of side ``h``; every place is copied into the 27 cubes
+around its own, and each point joins on its own cube: one plain equi-join, which Spark can
+shuffle, broadcast (AQE, by measured size) or split when a cube is hot. A point whose best
+candidate lies within chord ``h`` is resolved: any place closer than that is in one of the
+27 cubes. Points near places, usually almost all, end here.
+
+**Pyramid.** Cells of ``LEVELS`` levels, each a fourth of the side of the level above, with the
+number of places in them, the box around those places and one of them as a representative; one
+aggregate over the places builds all levels. A point the grid left open goes down from the root: its
+cells are joined with their occupied children; the nearest representative so far bounds its
+distance from above, and only children whose box lies within that bound go on. Places are
+compared at the finest level only. Every level is one equi-join, so points far from all places
+and places crowded in one spot cost ``LEVELS`` joins, not a search that doubles its radius.
+
+Cells a point keeps at a level all meet the shell between its nearest distance and that plus a cell's
+diagonal: at most ``CHILDREN`` times the cells of the level above, and, as cells shrink, those along
+a line of equal distance through the places. Places at one spot count once.
+
+Ties break on the smaller place id. Points without coordinates (NULL or NaN) get no place (quirk
+X11 fixed). The choice is ``min(struct(chord², place_id))`` grouped by point: combined
 map-side, so only one row per point and task is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fixed
 
 PLACES_PER_CELL = 8.0          # target density of the first level
 MAX_PLACES_PER_CELL = 512      # crowding bound of the first level (clustered places)
-MIN_CELL = 1e-4                # about 0.6 km: finer cells only multiply levels
+MIN_CELL = 1e-4                # about 0.6 km
+FACTOR, LEVELS = 4, 7          # pyramid: cells of the last level are about 0.8 km wide
+CHILDREN = FACTOR ** 3
 
 
 def unit_vector(lat: str | Column, lon: str | Column, prefix: str) -> list[Column]:
@@ -53,25 +61,72 @@ def first_cell_size(n_places: int) -> float:
     return min(2.0, max(MIN_CELL, math.sqrt(4.0 * math.pi * PLACES_PER_CELL / n_places)))
 
 
-def _most_crowded(places: DataFrame, h: float) -> int:
-    """Places in the fullest cube of side ``h`` (one small aggregate over the places)."""
-    per_cell = places.groupBy(_cell(F.col("px"), h).alias("cx"), _cell(F.col("py"), h).alias("cy"),
-                              _cell(F.col("pz"), h).alias("cz")).count()
-    return int(per_cell.agg(F.max("count")).first()[0] or 0)
+def _axis(c: Column, level: int) -> Column:
+    """Number of the cell along one axis at a pyramid level; ``FACTOR ** level`` cells span [-1, 1]."""
+    n = FACTOR ** level
+    return F.least(F.floor((c + F.lit(1.0)) * F.lit(n / 2.0)), F.lit(n - 1)).cast("bigint")
 
 
-def first_level(places: DataFrame, n_places: int) -> float:
-    """The uniform-density cube side, halved while one cube still holds more than
-    ``MAX_PLACES_PER_CELL`` places: points inside dense clusters then resolve at a fine
-    level with few candidates. Any side is exact; this only bounds the work."""
+def pyramid(places: DataFrame) -> DataFrame:
+    """(level, cx, cy, cz, n, box, representative): the occupied cells of every level, by one aggregate."""
+    cells = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), *[_axis(F.col(f"p{a}"), level).alias(f"c{a}") for a in "xyz"])
+                                for level in range(1, LEVELS + 1)]))
+    return (places.select("place_id", "px", "py", "pz", cells.alias("c")).groupBy("c").agg(
+        F.count("*").alias("n"), *[f(f"p{a}").alias(f"{name}{a}") for a in "xyz" for name, f in (("lo", F.min), ("hi", F.max))],
+        F.min(F.struct("place_id", "px", "py", "pz")).alias("rep")).select("c.*", "n", "lox", "loy", "loz", "hix", "hiy", "hiz", "rep"))
+
+
+def grid_side(cells: DataFrame, n_places: int) -> float:
+    """The cube side of the grid: even density, or finer while one cell of about that size holds more than
+    ``MAX_PLACES_PER_CELL`` places. Any side is exact; this only bounds the work."""
     h = first_cell_size(n_places)
     if n_places <= MAX_PLACES_PER_CELL:          # no cube can hold more than all of them
         return h
-    while h > MIN_CELL and _most_crowded(places, h) > MAX_PLACES_PER_CELL:
-        h = max(MIN_CELL, h / 2.0)
+    crowds = {r.level: r.most for r in cells.groupBy("level").agg(F.max("n").alias("most")).collect()}   # LEVELS rows
+    for level in range(1, LEVELS + 1):
+        side = 2.0 / FACTOR ** level
+        if side < h and crowds[level - 1 if level > 1 else 1] > MAX_PLACES_PER_CELL:
+            h = max(MIN_CELL, side)
     return h
 
 
+def _squared(kind: str) -> Column:
+    """Squared chord from a point to a cell's representative, or the least one to its box. Rounding is monotone, so the
+    latter is never above the squared chord to a place in the box as computed here."""
+    def axis(a: str) -> Column:
+        q = F.col(f"q{a}")
+        if kind == "rep":
+            return (q - F.col(f"rep.p{a}")) ** 2
+        return F.greatest(F.lit(0.0), F.col(f"lo{a}") - q, q - F.col(f"hi{a}")) ** 2
+    return axis("x") + axis("y") + axis("z")
+
+
+def descend(points: DataFrame, places: DataFrame, cells: DataFrame) -> DataFrame:
+    """(pid, place_id, d2) of points (pid, qx, qy, qz) by the pyramid."""
+    point = ["pid", "qx", "qy", "qz"]
+    now = points.select(*point, F.lit(5.0).alias("bound"), *[F.lit(0).cast("bigint").alias(f"u{a}") for a in "xyz"])
+    for level in range(1, LEVELS + 1):
+        children = cells.where(F.col("level") == level).select(
+            *[F.floor(F.col(f"c{a}") / FACTOR).cast("bigint").alias(f"u{a}") for a in "xyz"], "cx", "cy", "cz",
+            "lox", "loy", "loz", "hix", "hiy", "hiz", "rep")
+        if level == 1:
+            children = F.broadcast(children)     # FACTOR ** 3 rows at most
+        met = now.join(children, ["ux", "uy", "uz"]).select(
+            *point, "bound", "cx", "cy", "cz", _squared("box").alias("least"), _squared("rep").alias("reached"))
+        bound = F.min(F.least("bound", "reached")).over(Window.partitionBy("pid"))    # a point's cells: see the bound above
+        kept = met.withColumn("bound", bound).where(F.col("least") <= F.col("bound"))
+        # written to the checkpoint dir: each level plans over its own input only, and survives lost executors
+        now = fixed(kept.select(*point, "bound", *[F.col(f"c{a}").alias(f"u{a}") for a in "xyz"]))
+    last = places.select("place_id", "px", "py", "pz", *[_axis(F.col(f"p{a}"), LEVELS).alias(f"u{a}") for a in "xyz"])
+    d2 = ((F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2 + (F.col("qz") - F.col("pz")) ** 2)
+    return _best(now.join(last, ["ux", "uy", "uz"]).select("pid", "place_id", d2.alias("d2")))
+
+
+def _best(candidates: DataFrame) -> DataFrame:
+    best = candidates.groupBy("pid").agg(F.min(F.struct("d2", "place_id")).alias("b"))
+    return best.select("pid", F.col("b.place_id").alias("place_id"), F.col("b.d2").alias("d2"))
+
+
 def _offsets() -> Column:
     r = [-1, 0, 1]
     return F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz"))
@@ -91,51 +146,54 @@ def _level(points: DataFrame, places: DataFrame, h: float) -> DataFrame:
     d2 = ((F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2
           + (F.col("qz") - F.col("pz")) ** 2)
     cand = pts.join(spread, ["cx", "cy", "cz"]).select("pid", "place_id", d2.alias("d2"))
-    if h < 2.0:
-        cand = cand.where(F.col("d2") <= F.lit(h * h))
-    # at the last level every place is a candidate: nothing is filtered (rounding may put the
-    # squared chord of antipodes a little above 4)
-    best = cand.groupBy("pid").agg(F.min(F.struct("d2", "place_id")).alias("b"))
-    return best.select("pid", F.col("b.place_id").alias("place_id"), F.col("b.d2").alias("d2"))
+    return _best(cand.where(F.col("d2") <= F.lit(h * h)))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, point_id: str, place_id: str,
-                  point_lat: str = "lat", point_lon: str = "lon",
-                  place_lat: str = "lat", place_lon: str = "lon",
-                  cell: float | None = None) -> DataFrame:
-    """``(point_id, place_id, chord)`` for every point; ``place_id``/``chord`` are NULL
-    for a point without coordinates or when there are no places."""
+def with_nearest(points: DataFrame, places: DataFrame, place_id: str, take: dict[str, str],
+                 point_lat: str = "lat", point_lon: str = "lon", place_lat: str = "lat", place_lon: str = "lon",
+                 chord: str | None = None, cell: float | None = None) -> DataFrame:
+    """Every row of ``points``, whatever its other columns hold, with columns of its nearest place: ``take`` maps columns of
+    ``places`` to their new names; they are NULL for a point without coordinates or when there are no places.
+    ``chord`` names a column for the chord to it. Place ids that repeat count once (the smallest row)."""
     def located(lat: str, lon: str) -> Column:
         return (F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(F.col(lat).cast("double"))
                 & ~F.isnan(F.col(lon).cast("double")))
 
     pl = (places.where(located(place_lat, place_lon))
           .select(F.col(place_id).alias("place_id"), *unit_vector(place_lat, place_lon, "p")))
+    # places at one spot: the smallest id stands for all (it would win their ties)
+    pl = fixed(pl.groupBy("px", "py", "pz").agg(F.min("place_id").alias("place_id")))
     # a row number of our own (fixed by the write): point ids may be NULL or repeat
-    points = fixed(points.select(point_id, point_lat, point_lon).withColumn("_row", F.monotonically_increasing_id()))
-    has_xy = located(point_lat, point_lon)
-    pts = points.where(has_xy).select(F.col("_row").alias("pid"), *unit_vector(point_lat, point_lon, "q"))
+    own = [f"_c{i}" for i in range(len(points.columns))]
+    rows = fixed(points.toDF(*own).withColumn("_row", F.monotonically_increasing_id()))
+    lat, lon = (own[points.columns.index(c)] for c in (point_lat, point_lon))
+    pts = rows.where(located(lat, lon)).select(F.col("_row").alias("pid"), *unit_vector(lat, lon, "q"))
+    fields = [F.col(place_id).alias("_place"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(take)]]
+    named = places.select(F.struct(*fields).alias("_p")).groupBy(F.col("_p._place").alias("_place")).agg(F.min("_p").alias("_p"))
     n_places = pl.count()
     if n_places == 0:
-        return points.select(F.col(point_id), F.lit(None).cast(places.schema[place_id].dataType).alias(place_id),
-                             F.lit(None).cast("double").alias("chord"))
-    h = cell if cell is not None else first_level(pl, n_places)
-    resolved = []
-    pending = pts
-    while True:
-        got = _level(pending, pl, h)
-        if h >= 2.0:
-            resolved.append(got)
-            break
-        # each level is written to the checkpoint dir, so level k plans only over its own
-        # unresolved points (no lineage that doubles per level), and survives lost executors
-        got = fixed(got)
-        resolved.append(got)
-        pending = fixed(pending.join(got.select("pid"), "pid", "left_anti"))
-        if pending.isEmpty():
-            break
-        h = min(2.0, h * 2.0)
-    found = reduce(DataFrame.unionByName, resolved).select(
-        F.col("pid").alias("_row"), F.col("place_id").alias("_place"), F.sqrt("d2").alias("chord"))
-    # one row for each input row; those without coordinates find nothing
-    return points.join(found, "_row", "left").select(F.col(point_id), F.col("_place").alias(place_id), "chord")
+        found = rows.withColumn("_p", F.lit(None).cast(named.schema["_p"].dataType)).withColumn("_d", F.lit(None).cast("double"))
+    else:
+        cells = fixed(pyramid(pl))
+        h = cell if cell is not None else grid_side(cells, n_places)
+        near = fixed(_level(pts, pl, h))
+        open_points = fixed(pts.join(near.select("pid"), "pid", "left_anti"))
+        if not open_points.isEmpty():
+            near = near.unionByName(descend(open_points, pl, cells))
+        near = near.select(F.col("pid").alias("_row"), F.col("place_id").alias("_place"), F.sqrt("d2").alias("_d"))
+        # one row for each input row; those without coordinates find nothing
+        found = rows.join(near, "_row", "left").join(named, "_place", "left")
+    out = [F.col(o).alias(c) for o, c in zip(own, points.columns)]
+    out += [F.col(f"_p._t{i}").alias(name) for i, name in enumerate(take.values())]
+    return found.select(*out, *([F.col("_d").alias(chord)] if chord else []))
+
+
+def nearest_place(points: DataFrame, places: DataFrame, point_id: str, place_id: str,
+                  point_lat: str = "lat", point_lon: str = "lon",
+                  place_lat: str = "lat", place_lon: str = "lon",
+                  cell: float | None = None) -> DataFrame:
+    """``(point_id, place_id, chord)`` for every point; ``place_id``/``chord`` are NULL
+    for a point without coordinates or when there are no places."""
+    narrow = points.select(F.col(point_id).alias("id"), F.col(point_lat).alias("lat"), F.col(point_lon).alias("lon"))
+    out = with_nearest(narrow, places, place_id, {place_id: "place"}, "lat", "lon", place_lat, place_lon, "chord", cell)
+    return out.select(F.col("id").alias(point_id), F.col("place").alias(place_id), "chord")

@@ -9,37 +9,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset, Lake
+from ..sinks.cursor import consume, pending
 from ..sinks.tables import replace_groups
-from ..sources.tables import affected, read, table_exists
+from ..sources.tables import affected, read, read_changed_groups, table_exists
 from .groups import group_predicate, recompute_groups, rows_in_groups
 
 
 def recompute(lake: Lake, source: Dataset, target: Dataset, group_cols,
               aggregate: Callable[[DataFrame], DataFrame],
               derive: Callable[[DataFrame], DataFrame] | None = None) -> bool:
-    """No-op (returns False) when the source changed nothing in this run.
+    """Recompute the groups that the source changed since ``target`` last took its changes in (runs whose hop was
+    skipped included). No-op (returns False) when there are none.
 
     ``derive`` adds derived group columns (e.g. quarter from month) to both the change
     set and the source rows before grouping (D8)."""
     cols = list(group_cols)
-    changed = affected(lake, source, "partitions")
+    runs, taken = pending(lake, source, target)
+    # a source with group_by names the exact groups it changed, others the partitions
+    grain = list(source.group_by or source.partition_by)
+    changed = affected(lake, source, "groups" if source.group_by else "partitions", runs)
     missing = [c for c in cols if c not in changed.columns]
     if derive is None and missing:
         raise ValueError(f"group columns {missing} are not in the source's partition grain {changed.columns}")
     if changed.isEmpty():
+        consume(lake, source, target, taken)
         return False
     rows = read(lake, source)
     if derive is not None:
         # the source partitions of the changed derived groups, derived from the (few) distinct
         # partition tuples; the semi join on them prunes the scan before rows are derived
         changed = derive(changed)
-        grain = [c for c in source.partition_by]
         wanted = rows_in_groups(derive(rows.select(*grain).distinct()), changed, cols).select(*grain)
         rows = derive(rows_in_groups(rows, wanted, grain))
     # the marker table itself is the selective side of the semi join: Spark prunes the
     # source's partitions from it at run time, whatever the types of the group columns
-    groups, fresh = recompute_groups(rows, changed, cols, aggregate)
+    scoped = derive is None and bool(source.group_by) and set(cols) == set(grain)
+    if scoped:
+        rows = read_changed_groups(lake, source, changed)
+    groups, fresh = recompute_groups(rows, changed, cols, aggregate, scoped=scoped)
     replace_groups(lake, target, fresh, groups, cols, groups_checked=True)
+    consume(lake, source, target, taken)
     return True
 
 

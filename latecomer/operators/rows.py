@@ -9,8 +9,10 @@ from typing import Callable
 from pyspark.sql import DataFrame
 
 from ..dataset import Dataset, Lake
+from ..sinks.cursor import consume, pending
 from ..sinks.tables import upsert
 from ..sources.tables import affected, read_keys
+from .changes import anti_by_key
 
 
 def map_changed_result(source_rows: DataFrame, keys_df: DataFrame, keys,
@@ -23,16 +25,23 @@ def map_changed_result(source_rows: DataFrame, keys_df: DataFrame, keys,
 
 def map_changed(lake: Lake, source: Dataset, target: Dataset,
                 transform: Callable[[DataFrame], DataFrame], order_cols=()) -> bool:
-    """Apply layer: read the source's changed keys of this run, transform their current
-    rows, upsert them into ``target`` and delete the keys the source deleted.
-    Returns False (and writes nothing) when the run changed nothing."""
-    keys = affected(lake, source, "keys")
-    deleted = affected(lake, source, "deleted_keys")
-    if keys.isEmpty() and deleted.isEmpty():
+    """Apply layer: read the keys that the source changed since ``target`` last took its changes in, transform their
+    current rows, upsert them into ``target`` and delete the keys the source deleted (those that have come back since
+    are kept). Returns False (and writes nothing) when nothing changed."""
+    runs, taken = pending(lake, source, target)
+    keys = affected(lake, source, "keys", runs)
+    deleted = affected(lake, source, "deleted_keys", runs)
+    none_deleted = deleted.isEmpty()
+    if none_deleted and keys.isEmpty():
+        consume(lake, source, target, taken)
         return False
     # every changed row lies in a partition of the change set: prune to those before the key join
-    within = affected(lake, source, "partitions") if source.partition_by else None
-    rows = read_keys(lake, source, keys, within).transform(transform)
-    upsert(lake, target, rows, "incremental", order_cols=order_cols,
-           delete_keys=None if deleted.isEmpty() else deleted)
+    within = affected(lake, source, "partitions", runs) if source.partition_by else None
+    now = read_keys(lake, source, keys, within)
+    gone = None
+    if not none_deleted:
+        # one run's deleted keys aren't in its batch; over several runs a key may have come back
+        gone = deleted if len(runs) == 1 else anti_by_key(deleted, now, source.key)
+    upsert(lake, target, now.transform(transform), "incremental", order_cols=order_cols, delete_keys=gone)
+    consume(lake, source, target, taken)
     return True

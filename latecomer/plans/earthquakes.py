@@ -19,7 +19,7 @@ from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, St
 
 from ..dataset import Dataset, Lake, bronze_schema
 from ..functions.scalar import day_window, sig_class
-from ..operators.nearest import nearest_place
+from ..operators.nearest import with_nearest
 from ..operators.rows import map_changed
 from ..sinks.serving import publish_files, publish_jdbc
 from ..sinks.tables import upsert, write_bronze
@@ -72,11 +72,9 @@ def normalize(lake: Lake) -> None:
 
 def enrich(rows: DataFrame, places: DataFrame) -> DataFrame:
     """Country code and city of the nearest place, and the significance class. Rows
-    without coordinates get NULL place columns (no failure)."""
-    near = nearest_place(rows, places, "id", "place_id", point_lat="latitude", point_lon="longitude")
-    named = (near.join(places.select("place_id", "cc", "name"), "place_id", "left")
-             .select("id", F.col("cc").alias("country_code"), F.col("name").alias("city")))
-    return rows.join(named, "id", "left").withColumn("sig_class", sig_class("sig"))
+    without coordinates get NULL place columns (no failure); the rows' ids may be NULL or repeat."""
+    return with_nearest(rows, places, "place_id", {"cc": "country_code", "name": "city"}, "latitude", "longitude").withColumn(
+        "sig_class", sig_class("sig"))
 
 
 def enrich_changed(lake: Lake, places: DataFrame) -> bool:

@@ -11,7 +11,8 @@ from .. import fs
 from ..dataset import RUN_COL, Dataset, Lake
 from ..operators.groups import rows_in_groups
 from ..operators.quality import AUDIT_SCHEMA, audit_row, observed
-from ..sources.tables import LEVELS, affected, marker_schema, read
+from ..sources.tables import LEVELS, affected, levels_of, marker_schema, read
+from .cursor import forget, unread_before
 from .tables import overwrite_partitions, upsert
 
 
@@ -26,9 +27,12 @@ def compact(lake: Lake, ds: Dataset, partitions: DataFrame | None = None) -> Non
 
 def expire_markers(lake: Lake, ds: Dataset, before_run: str) -> list[str]:
     """Drop change-set partitions of runs older than ``before_run`` (one folder a run and
-    level; run ids sort in run order)."""
+    level; run ids sort in run order). Refuses while a subscribed reader hasn't consumed one of them."""
+    waiting = unread_before(lake, ds, before_run)
+    if waiting:
+        raise ValueError(f"{ds.rel()}: changes that readers still need: {waiting}")
     removed = []
-    for level in LEVELS:
+    for level in levels_of(ds):
         path = lake.marker_path(ds, level)
         if not fs.exists(lake.spark, path):
             continue
@@ -39,6 +43,7 @@ def expire_markers(lake: Lake, ds: Dataset, before_run: str) -> list[str]:
             fs.delete(lake.spark, folder, encoded=True)
             removed.append(f"{level}/{run}")
         lake.spark.catalog.refreshByPath(path)
+    forget(lake, ds, before_run)
     return removed
 
 

@@ -22,13 +22,15 @@ from pyspark.sql.types import StringType
 from .. import fs
 from ..functions.scalar import utc_now_iso
 from ..session import release, stage
-from ..dataset import INGESTED_COL, RUN_COL, Dataset, Lake
+from ..dataset import BUCKET_COL, INGESTED_COL, RUN_COL, Dataset, Lake
 from ..operators.changes import (INCREMENTAL, SNAPSHOT, _check_mode, affected_partitions, anti_by_key,
                                  changed_partitions_only, dedup_latest)
 from ..operators.groups import (check_groups, check_within_groups, rows_in_groups,
                                 rows_outside_groups)
 from ..operators.merge import merge_partitions, merge_result
 from ..sources.records import cast_to
+from . import index
+from .cursor import COMMITS
 from ..sources.tables import affected, marker_schema, read, read_with_folders, table_exists
 
 
@@ -37,10 +39,14 @@ def conform(df: DataFrame, ds: Dataset, also=()) -> DataFrame:
     Columns of ``also`` are kept as they are.
 
     An empty string in a partition column becomes NULL: a partition folder can't tell the two apart."""
+    if ds.buckets and BUCKET_COL not in df.columns:
+        df = df.withColumn(BUCKET_COL, F.lit(0))
     missing = [c for c in ds.columns() if c not in df.columns]
     if missing:
         raise ValueError(f"{ds.rel()}: missing columns {missing}")
     out = cast_to(df, ds.schema, also)
+    if ds.buckets:
+        out = out.withColumn(BUCKET_COL, ds.bucket())
     texts = [c for c in ds.partition_by if isinstance(ds.schema[c].dataType, StringType)]
     return out.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in texts}) if texts else out
 
@@ -71,6 +77,7 @@ def write(lake: Lake, ds: Dataset, df: DataFrame, mode: str = "overwrite") -> No
     w = _layout(conform(df, ds), ds).write.mode(mode).option("partitionOverwriteMode", "static")
     if ds.partition_by:
         w = w.partitionBy(*ds.partition_by)
+    index.behind(lake, ds)
     w.parquet(path)
     _refresh(lake, path)
 
@@ -176,19 +183,30 @@ def _write_marker(lake: Lake, ds: Dataset, level: str, rows: DataFrame) -> None:
 
 
 def record_affected(lake: Lake, ds: Dataset, keys: DataFrame | None = None,
-                    partitions: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
-    """K7: distinct changed keys / affected partitions / deleted keys of this run,
+                    partitions: DataFrame | None = None, deleted: DataFrame | None = None,
+                    groups: DataFrame | None = None) -> None:
+    """K7: distinct changed keys / affected partitions / deleted keys / exact groups of this run,
     overwritten per run; nothing is written for an empty set (quirk X13)."""
-    for level, rows in (("keys", keys), ("partitions", partitions), ("deleted_keys", deleted)):
+    for level, rows in (("keys", keys), ("partitions", partitions), ("deleted_keys", deleted), ("groups", groups)):
         if rows is None:
             continue
         if level == "partitions" and not ds.partition_by:
             continue
-        if level != "partitions" and not ds.key:
+        if level in ("keys", "deleted_keys") and not ds.key:
             continue
         # an empty set writes no partition: the marker stays absent (or, on a retry, keeps
         # what the earlier attempt recorded); no separate emptiness job is needed
         _write_marker(lake, ds, level, rows)
+    _write_commit(lake, ds)
+
+
+def _write_commit(lake: Lake, ds: Dataset) -> None:
+    """A new commit id for this run's change set: readers that consumed an earlier attempt's take it in again."""
+    path = lake.marker_path(ds, "commits")
+    row = lake.spark.createDataFrame([(uuid.uuid4().hex, lake.run.run_ts)], COMMITS)
+    (row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(RUN_COL).parquet(path))
+    _refresh(lake, path)
 
 
 # --------------------------------------------------------------------------- upsert
@@ -218,7 +236,10 @@ def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
         # nothing to read before the write: no staging; the change set comes from the table
         write(lake, ds, _counted(latest, written), "overwrite")
         made = read(lake, ds)
-        record_affected(lake, ds, keys=made.select(*keys), partitions=made.select(*pcols) if pcols else None)
+        record_affected(lake, ds, keys=made.select(*keys), partitions=made.select(*pcols) if pcols else None,
+                        groups=made.select(*ds.group_by) if ds.group_by else None)
+        if ds.index_buckets:
+            index.rebuild(lake, ds)
         return
     # Fixed once, in the shared checkpoint dir: the batch may be derived from the very table
     # this upsert rewrites, and a lost executor must not recompute it from the new files.
@@ -237,26 +258,51 @@ def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode:
                   only_changed: bool, delete_keys: DataFrame | None,
                   written: Observation | None = None) -> None:
     target = read(lake, ds)
-    tk = target.select(*keys, *[c for c in pcols if c not in keys])      # P4: narrow scan
     batch_keys = batch.select(*keys)                                     # one row a key already
+    grain = list(ds.group_by) or pcols                                   # what changes are recorded for
+    where = [c for c in dict.fromkeys([*pcols, *grain]) if c not in keys]
+    if ds.index_buckets and mode == INCREMENTAL:
+        asked = batch_keys if delete_keys is None else batch_keys.unionByName(delete_keys.select(*keys))
+        tk = index.lookup(lake, ds, asked).select(*keys, *where)         # the batch's buckets of the index, no scan
+    else:
+        tk = target.select(*keys, *where)                                # P4: narrow scan
     dropped = None
     if delete_keys is not None:
         dropped = tk.join(delete_keys.select(*keys).distinct(), keys, "left_semi")
     deleted = anti_by_key(tk, batch_keys, keys).select(*keys) if mode == SNAPSHOT else None
     if dropped is not None:
         deleted = dropped.select(*keys) if deleted is None else deleted.unionByName(dropped.select(*keys))
-    parts = None
-    if pcols:
+    parts = groups = staged = None
+    if grain:
         if mode == SNAPSHOT and only_changed:
-            parts = changed_partitions_only(target, batch, keys, pcols)
+            parts = changed_partitions_only(target, batch, keys, grain)
         elif mode == SNAPSHOT:
             # every target row is either matched or deleted: all its partitions are affected
-            parts = tk.select(*pcols).unionByName(batch.select(*pcols)).distinct()
+            parts = tk.select(*grain).unionByName(batch.select(*grain)).distinct()
         else:
-            parts = affected_partitions(tk, batch, keys, pcols, mode)
+            parts = affected_partitions(tk, batch, keys, grain, mode)
         if dropped is not None:
-            parts = parts.unionByName(dropped.select(*pcols)).distinct()
-    record_affected(lake, ds, keys=batch_keys, partitions=parts, deleted=deleted)
+            parts = parts.unionByName(dropped.select(*grain)).distinct()
+    if ds.group_by:
+        groups, staged = stage(parts, "groups")
+        parts = groups.select(ds.bucket()).distinct()                    # the folder follows from the group
+    try:
+        record_affected(lake, ds, keys=batch_keys, partitions=parts, deleted=deleted, groups=groups)
+    finally:
+        release(staged, lake.spark)
+    index.behind(lake, ds)
+    _apply_upsert(lake, ds, target, batch, keys, pcols, mode, only_changed, delete_keys, written)
+    if ds.index_buckets:
+        if mode == SNAPSHOT:
+            index.rebuild(lake, ds)
+        else:
+            kept = batch if delete_keys is None else anti_by_key(batch, delete_keys, keys)
+            index.follow(lake, ds, kept, delete_keys)
+
+
+def _apply_upsert(lake: Lake, ds: Dataset, target: DataFrame, batch: DataFrame, keys, pcols, mode: str, only_changed: bool,
+                  delete_keys: DataFrame | None, written: Observation | None) -> None:
+    """Rewrite the partitions that the recorded change set names."""
     if not pcols:
         merged = merge_result(target, batch, keys, mode)
         if delete_keys is not None:
@@ -305,31 +351,62 @@ def replace_groups(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFra
 def _replace_fixed(lake: Lake, ds: Dataset, new_rows: DataFrame, groups: DataFrame, cols, pcols) -> None:
     check_within_groups(new_rows, groups, cols, ds.rel())
     groups = groups.select(*cols).distinct()
-    keys = list(ds.key)
+    keys, exact = list(ds.key), list(ds.group_by)
     covered = set(pcols) <= set(cols)
+    fresh_keys = new_rows.select(*keys) if keys else None
     if not table_exists(lake, ds):
         write(lake, ds, new_rows, "overwrite")
         touched = groups.select(*pcols) if covered else new_rows.select(*pcols)
-        record_affected(lake, ds, keys=new_rows.select(*keys) if keys else None, partitions=touched if pcols else None)
+        record_affected(lake, ds, keys=fresh_keys, partitions=touched if pcols else None,
+                        groups=_exact_groups(new_rows, None, groups, cols, exact) if exact else None)
+        if ds.index_buckets and keys:
+            index.rebuild(lake, ds)
         return
     target = read(lake, ds)
+    scope_of = target
+    if exact and set(exact) <= set(cols):
+        # the folders follow from the groups: nothing else of the table is read
+        touched = groups.select(ds.bucket()).distinct()
+        scope_of = rows_in_groups(target, touched, pcols)
     lost = None
     if keys:
-        lost = anti_by_key(rows_in_groups(target, groups, cols).select(*keys), new_rows.select(*keys), keys)
+        lost = anti_by_key(rows_in_groups(scope_of, groups, cols).select(*keys), new_rows.select(*keys), keys)
     if not pcols:
-        record_affected(lake, ds, keys=new_rows.select(*keys) if keys else None, deleted=lost)
+        record_affected(lake, ds, keys=fresh_keys, deleted=lost)
         _rewrite_whole(lake, ds, rows_outside_groups(target, groups, cols).unionByName(new_rows))
         return
     if covered:
         touched = groups.select(*pcols).distinct()
-    else:
+    elif scope_of is target:
         # coarser groups: the partitions that hold their rows now, and those of the new rows
         touched = rows_in_groups(target.select(*dict.fromkeys([*pcols, *cols])), groups, cols).select(*pcols).union(
             new_rows.select(*pcols)).distinct()
-    record_affected(lake, ds, keys=new_rows.select(*keys) if keys else None, partitions=touched, deleted=lost)
-    committed = affected(lake, ds, "partitions")
-    scope = rows_in_groups(target, committed, pcols)
-    rest = rows_outside_groups(scope, groups, cols)
-    gone = _emptied(lake, ds, committed, new_rows, rest)
-    overwrite_partitions(lake, ds, rest.unionByName(new_rows))
-    drop_folders(lake, ds, gone)
+    gone_keys = staged = None
+    if ds.index_buckets and keys:
+        gone_keys, staged = stage(lost, "lost")
+        lost = gone_keys
+    try:
+        record_affected(lake, ds, keys=fresh_keys, partitions=touched, deleted=lost,
+                        groups=_exact_groups(new_rows, scope_of, groups, cols, exact) if exact else None)
+        committed = affected(lake, ds, "partitions")
+        scope = rows_in_groups(target, committed, pcols)
+        rest = rows_outside_groups(scope, groups, cols)
+        gone = _emptied(lake, ds, committed, new_rows, rest)
+        index.behind(lake, ds)
+        overwrite_partitions(lake, ds, rest.unionByName(new_rows))
+        drop_folders(lake, ds, gone)
+        if gone_keys is not None:
+            index.follow(lake, ds, new_rows, gone_keys)
+    finally:
+        release(staged, lake.spark)
+
+
+def _exact_groups(new_rows: DataFrame, target: DataFrame | None, groups: DataFrame, cols, exact) -> DataFrame:
+    """The exact groups that a replace changes: the requested ones if they name whole groups, else those of the rows
+    that go and come."""
+    if set(exact) <= set(cols):
+        return groups.select(*exact).distinct()
+    out = new_rows.select(*exact)
+    if target is not None:
+        out = out.unionByName(rows_in_groups(target.select(*dict.fromkeys([*exact, *cols])), groups, cols).select(*exact))
+    return out.distinct()

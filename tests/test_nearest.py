@@ -65,15 +65,59 @@ def test_enrich_cases(spark):
 
 
 def test_clustered_places_start_finer_and_stay_exact(spark):
-    from latecomer.operators.nearest import MAX_PLACES_PER_CELL, first_cell_size, first_level, unit_vector
+    from latecomer.operators.nearest import MAX_PLACES_PER_CELL, first_cell_size, grid_side, pyramid, unit_vector
     rng = np.random.default_rng(3)
     n = 3 * MAX_PLACES_PER_CELL
     pls = [(i, f"c{i}", float(48.85 + rng.uniform(-0.05, 0.05)), float(2.35 + rng.uniform(-0.05, 0.05)))
            for i in range(n)]
     pls += [(n + 1, "far", -30.0, 100.0)]
     places = spark.createDataFrame(pls, PLS)
-    pl = places.select("pid", *unit_vector("lat", "lon", "p"))
-    assert first_level(pl, len(pls)) < first_cell_size(len(pls))
+    pl = places.selectExpr("pid AS place_id", "lat", "lon").select("place_id", *unit_vector("lat", "lon", "p"))
+    assert grid_side(pyramid(pl), len(pls)) < first_cell_size(len(pls))
     pts = [(0, 48.851, 2.351), (1, -29.0, 101.0), (2, 48.0, 2.0)]
     got = {r.id: r.pid for r in nearest_place(spark.createDataFrame(pts, PTS), places, "id", "pid").collect()}
     assert got == brute(pts, pls)
+
+
+def crowd(n=1500):
+    """Places in one spot of a few hundred metres, and points near them, far away and around the antipode."""
+    rng = np.random.default_rng(3)
+    pls = [(int(i), f"c{i}", 48.0 + float(rng.normal(0, 1e-3)), 11.0 + float(rng.normal(0, 1e-3))) for i in range(n)]
+    pls += [(n + i, "same", 48.001, 11.001) for i in range(300)] + [(9000, "lone", -10.0, 100.0)]
+    pts = [(int(i), float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for i in range(60)]
+    pts += [(100 + i, 48.0 + float(rng.normal(0, 2e-3)), 11.0 + float(rng.normal(0, 2e-3))) for i in range(60)]
+    pts += [(200 + i, -48.0 + float(rng.normal(0, 1e-2)), -169.0 + float(rng.normal(0, 1e-2))) for i in range(20)]
+    return pts, pls
+
+
+@pytest.mark.parametrize("cell", [None, 1e-3])
+def test_crowded_places_and_far_points(spark, cell):
+    pts, pls = crowd()
+    got = nearest_place(spark.createDataFrame(pts, PTS), spark.createDataFrame(pls, PLS), "id", "pid", cell=cell)
+    assert {r.id: r.pid for r in got.collect()} == brute(pts, pls)
+
+
+def test_pyramid_alone_and_its_cells(spark):
+    """Every point through the pyramid; the cells kept a level stay far below the places."""
+    from pyspark.sql import functions as F
+
+    from latecomer.operators import nearest
+    pts, pls = crowd()
+    q = spark.createDataFrame(pts, PTS).select(F.col("id").alias("pid"), *nearest.unit_vector("lat", "lon", "q"))
+    p = spark.createDataFrame(pls, PLS).select(F.col("pid").alias("place_id"), *nearest.unit_vector("lat", "lon", "p"))
+    p = p.groupBy("px", "py", "pz").agg(F.min("place_id").alias("place_id"))
+    cells = nearest.pyramid(p)
+    found = {r.pid: r.place_id for r in nearest.descend(q, p, cells).collect()}
+    assert found == brute(pts, pls)
+    sizes = {r.level: r["count"] for r in cells.groupBy("level").count().collect()}
+    assert set(sizes) == set(range(1, nearest.LEVELS + 1)) and sizes[1] == 2
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    from latecomer.operators.nearest import with_nearest
+    rows = spark.createDataFrame([(None, 34.0, -118.0, "a"), (None, 35.6, 139.6, "b"), (7, 34.1, -118.1, "c"), (7, 34.1, -118.1, "c"),
+                                  (8, None, 1.0, "d")], "id bigint, lat double, lon double, _row string")
+    places = spark.createDataFrame([(1, "LA", 34.05, -118.24), (2, "Tokyo", 35.69, 139.69)], PLS)
+    got = with_nearest(rows, places, "pid", {"name": "city"}).collect()
+    assert sorted(map(str, ((r.id, r._row, r.city) for r in got))) == sorted(map(str, [
+        (None, "a", "LA"), (None, "b", "Tokyo"), (7, "c", "LA"), (7, "c", "LA"), (8, "d", None)]))
