@@ -168,8 +168,13 @@ def _masked(text: Column, kind: str) -> Column:
 
 # ------------------------------------------------------------------ features
 
-def features(kind: str, m: Column) -> Column:
-    """Numbers that describe a proposal's format and context."""
+def announced(kind: str, before: Column) -> Column:
+    """Whether a cue word of the kind stands before the proposal."""
+    return F.coalesce(before.rlike(rf"(?i)(?:{CUES[kind]})[a-z]{{0,4}}[^A-Za-z]{{0,8}}$"), F.lit(False))
+
+
+def features(m: Column) -> Column:
+    """Numbers that describe the format and context of a proposal (kind, v, before, after, d: digits, cue)."""
     v, before, after, digits = m["v"], m["before"], m["after"], m["d"]
     groups = F.regexp_extract_all(v, F.lit("[0-9]+"), F.lit(0))
     longest = F.aggregate(groups, F.lit(0), lambda a, g: F.greatest(a, F.length(g)))
@@ -184,11 +189,11 @@ def features(kind: str, m: Column) -> Column:
         says(v, r"^\(?0|^\("), says(v, r"^[0-9]+$"), says(v, r"^[0-9a-f]+$|^[0-9A-F]+$"), says(v, r"^[0-9]{1,2}(:[0-9]{2})+$"),
         says(v, r"\[|\(at|\(dot|\{| at .* dot "), says(v, r"(?i)[. \])}](?:com|org|net|edu|de|fr|es|io)$"),
         says(v, r"^\(?[0-9]{2,4}[) ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,4}$"), says(v, r"^[0-9]{4}([ .-]{1,2}[0-9]{4}){3}$"),
-        says(before, rf"(?i)(?:{CUES[kind]})[a-z]{{0,4}}[^A-Za-z]{{0,8}}$"),
+        m["cue"],
         says(before, r"""["'=:]\s?$"""), says(before, r"[A-Za-z0-9_./@-]$"), says(after, r"^[A-Za-z0-9_/@-]|^\.[0-9]"),
         says(before, r"(?i)(?:order|isbn|version|invoice|page|total|since|date|commit|sha|id|nr|no)[^A-Za-z]{0,4}$"),
     ]
-    return F.array(*[n.cast("double") for n in numbers], *[F.lit(float(kind == k)) for k in KINDS])
+    return F.array(*[n.cast("double") for n in numbers], *[(m["kind"] == k).cast("double") for k in range(len(KINDS))])
 
 
 # ------------------------------------------------------------------ labelled rows and the fit
@@ -254,9 +259,10 @@ def labelled(spark: SparkSession, n: int = LABELLED, seed: int = 7) -> DataFrame
 
 def described(rows: DataFrame) -> DataFrame:
     """(id, kind, label, f) of labelled rows."""
-    rows = rows.withColumn("m", F.struct("v", "before", "after", digits_of(F.col("v")).alias("d")))
-    by_kind = reduce(lambda acc, k: acc.when(F.col("kind") == k, features(k, F.col("m"))), KINDS, F)
-    return rows.select("id", "kind", "label", by_kind.alias("f"))
+    cue = reduce(lambda acc, k: acc.when(F.col("kind") == k, announced(k, F.col("before"))), KINDS, F)
+    number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
+    rows = rows.withColumn("m", F.struct(number.alias("kind"), "v", "before", "after", digits_of(F.col("v")).alias("d"), cue.alias("cue")))
+    return rows.select("id", "kind", "label", features(F.col("m")).alias("f"))
 
 
 def _tree(node, f: str) -> str:
@@ -320,13 +326,10 @@ def find(docs: DataFrame, n: int = LABELLED, rounds: int = ROUNDS, depth: int =
         return F.transform(f"b_{kind}", lambda m: F.struct(m["s"].alias("s"), F.lit(KINDS.index(kind)).alias("kind"),
                                                            m["e"].alias("e"), F.lit(True).alias("base"), F.lit(1.0).alias("score")))
 
-    def with_digits(column: str) -> Column:
-        return F.transform(column, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["v"].alias("v"), m["before"].alias("before"),
-                                                      m["after"].alias("after"), digits_of(m["v"]).alias("d")))
-
     def proposals(column: str, kind: str) -> Column:
-        return F.transform(column, lambda m: F.struct(m["s"].alias("s"), F.lit(KINDS.index(kind)).alias("kind"), m["e"].alias("e"),
-                                                      features(kind, m).alias("f")))
+        return F.transform(column, lambda m: F.struct(
+            m["s"].alias("s"), F.lit(KINDS.index(kind)).alias("kind"), m["e"].alias("e"), m["v"].alias("v"), m["before"].alias("before"),
+            m["after"].alias("after"), digits_of(m["v"]).alias("d"), announced(kind, m["before"]).alias("cue")))
 
     base = [f"b_{k}" for k in BASE]
     rows = matches(rows, [*own, "t"], {f"b_{k}": (NEEDS[k], p) for k, p in BASE.items()})
@@ -336,8 +339,9 @@ def find(docs: DataFrame, n: int = LABELLED, rounds: int = ROUNDS, depth: int =
         rows = rows.withColumn("t", F.when(some, _masked(F.col("t"), k)).otherwise(F.col("t")))
     rows = matches(rows, [*own, *base], {f"g_{i}": (needs, p) for i, (_, needs, p) in enumerate(GENERATORS)})
     rows = rows.select(*own, F.concat(*[base_of(k) for k in BASE]).alias("base"),
-                       *[with_digits(f"g_{i}").alias(f"g_{i}") for i in range(len(GENERATORS))])
-    rows = rows.select(*own, "base", F.concat(*[proposals(f"g_{i}", k) for i, (k, _, _) in enumerate(GENERATORS)]).alias("proposals"))
+                       F.concat(*[proposals(f"g_{i}", k) for i, (k, _, _) in enumerate(GENERATORS)]).alias("proposals"))
+    rows = rows.withColumn("proposals", F.transform("proposals", lambda m: F.struct(m["s"].alias("s"), m["kind"].alias("kind"),
+                                                                                    m["e"].alias("e"), features(m).alias("f"))))
     rows = rows.withColumn("proposals", F.expr("transform(proposals, m -> named_struct('s', m.s, 'kind', m.kind, 'e', m.e, "
                                                f"'base', false, 'score', {score('m.f')}))"))
     least = F.array(*[F.lit(thresholds[k]) for k in KINDS])
@@ -367,7 +371,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
 
     cut = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("e")), step,
                       lambda acc: F.concat(acc["out"], F.substring("text", acc["e"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op12_pii(spark, sf_dir: str) -> DataFrame:
