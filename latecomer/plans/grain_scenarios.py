@@ -1,4 +1,5 @@
-"""Driver queries q39 and q40: changes at the grain of parents in a few folders, and upserts that find keys by an index."""
+"""Driver queries q39 to q41: changes at the grain of parents in a few folders, upserts that find keys by an index, and a
+history that is maintained while runs arrive late."""
 
 from __future__ import annotations
 
@@ -7,15 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..dataset import Dataset, Lake, bucketed
-from ..operators.changes import dedup_latest
+from ..operators.changes import SNAPSHOT, dedup_latest
 from ..operators.recompute import recompute
+from ..operators.versions import apply_run, history_dataset, versions
 from ..session import scratch_root
 from ..sinks.index import index_of
 from ..sinks.tables import upsert
 from ..sources.tables import read
 from . import orders_facts as of
 from .history_scenarios import _LI_DEDUP, LI_KEYS
-from .orders_facts import SQL_BATCH, SQL_CORRECTED, SQL_FACTS, SQL_INITIAL, SQL_MERGED, sql_with
+from .orders_facts import SQL_BATCH, SQL_CORRECTED, SQL_FACTS, SQL_INITIAL, SQL_MERGED, SQL_SNAPSHOT, sql_with
 
 # fixed values of the scenarios
 PRICE = DecimalType(18, 2)
@@ -25,6 +27,7 @@ MEAN = StructType([StructField("l_orderkey", LongType()), StructField("n_items",
 PARENTS, RAISED, EMPTIED, SHORTENED = 100, 7, 8, 9       # remainders of the parent's number
 BUCKETS = 16
 DELETED, REBORN, REBORN_IN = 13, 26, "1996-07"
+LATE_LACKS, LATE_RAISES = 17, 4
 
 
 def mean_per_parent(run: str):
@@ -70,9 +73,35 @@ def q40_key_index(spark, sf_dir):
     return found.join(read(lake, silver).select("cost_id", "cost_period"), "cost_id", "full")
 
 
-QUERIES = {"q39_parent_groups": q39_parent_groups, "q40_key_index": q40_key_index}
+def q41_late_history(spark, sf_dir):
+    """Versions of all orders after four snapshots, the second of which arrives after the third: versions are split, closed by
+    absence, reborn and merged."""
+    facts = of.cost_facts(of.table(spark, sf_dir, "orders"))
+    lake = Lake(spark, scratch_root(spark, "versions"))
+    hist = history_dataset("costs", "versions", of.FACT_SCHEMA, of.KEYS, buckets=BUCKETS)
+    late = facts.where(F.col("cost_id") % LATE_LACKS != 0).withColumn("amount", F.when(
+        F.col("cost_id") % LATE_RAISES == 0, F.col("amount") + 5).otherwise(F.col("amount")).cast(of.AMOUNT))
+    for run, batch in (("r1", of.initial_load(facts)), ("r3", of.snapshot_batch(facts)), ("r2", late), ("r4", of.corrected(facts))):
+        apply_run(lake.at(run), hist, batch, SNAPSHOT)
+    return of.as_double(versions(lake, hist), "amount")
+
+
+QUERIES = {"q41_late_history": q41_late_history, "q39_parent_groups": q39_parent_groups, "q40_key_index": q40_key_index}
 
 ORACLE = {
+    "q41_late_history": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_SNAPSHOT) + f""", b AS (SELECT 1 AS n, * FROM initial
+  UNION ALL SELECT 2, cost_id, cost_period, cost_center, CASE WHEN cost_id % {LATE_RAISES} = 0 THEN amount + 5 ELSE amount END
+    FROM facts WHERE cost_id % {LATE_LACKS} <> 0
+  UNION ALL SELECT 3, * FROM snap UNION ALL SELECT 4, * FROM corrected),
+g AS (SELECT k.cost_id, r.n, cost_period, cost_center, amount, b.cost_id IS NOT NULL AS here
+  FROM (SELECT DISTINCT cost_id FROM b) k CROSS JOIN (SELECT unnest(range(1, 5)) AS n) r LEFT JOIN b ON b.cost_id = k.cost_id AND b.n = r.n),
+w AS (SELECT *, lag(here) OVER o AS ph, lag(cost_period) OVER o AS pp, lag(cost_center) OVER o AS pc, lag(amount) OVER o AS pa
+  FROM g WINDOW o AS (PARTITION BY cost_id ORDER BY n)),
+e AS (SELECT *, lead(n) OVER (PARTITION BY cost_id ORDER BY n) AS nx FROM w WHERE ph IS NULL OR here <> ph
+  OR cost_period IS DISTINCT FROM pp OR cost_center IS DISTINCT FROM pc OR amount IS DISTINCT FROM pa)
+SELECT cost_id, cost_period, cost_center, CAST(amount AS DOUBLE) AS amount, 'r' || n AS valid_from, 'r' || nx AS valid_to,
+  nx IS NULL AS is_current FROM e WHERE here""",
+
     "q39_parent_groups": f"""WITH {_LI_DEDUP}, i AS (SELECT l_orderkey, l_linenumber,
     CAST(l_extendedprice AS DECIMAL(18,2)) AS price, l_orderkey % {PARENTS} AS part, l_linenumber = 1 AS first FROM li)
 SELECT l_orderkey, count(*) FILTER (WHERE NOT (part = {SHORTENED} AND first)) AS n_items,

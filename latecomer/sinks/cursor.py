@@ -82,8 +82,9 @@ def consume(lake: Lake, source: Dataset, target: Dataset, taken: Iterable[tuple[
 
 def _append(lake: Lake, source: Dataset, reader: str, taken: list[tuple[str, str]]) -> None:
     path = lake.cursor_path(source)
-    rows = lake.spark.createDataFrame([(commit, reader, run) for run, commit in taken], CURSORS)
-    rows.coalesce(1).write.mode("append").partitionBy("reader", RUN_COL).parquet(path)
+    rows = lake.spark.range(0, 1, 1, 1).select(F.inline(F.array(*[F.struct(
+        F.lit(commit).alias("commit"), F.lit(reader).alias("reader"), F.lit(run).alias(RUN_COL)) for run, commit in taken])))
+    rows.write.mode("append").partitionBy("reader", RUN_COL).parquet(path)
     lake.spark.catalog.refreshByPath(path)
 
 

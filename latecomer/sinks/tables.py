@@ -30,7 +30,6 @@ from ..operators.groups import (check_groups, check_within_groups, rows_in_group
 from ..operators.merge import merge_partitions, merge_result
 from ..sources.records import cast_to
 from . import index
-from .cursor import COMMITS
 from ..sources.tables import affected, marker_schema, read, read_with_folders, table_exists
 
 
@@ -203,8 +202,8 @@ def record_affected(lake: Lake, ds: Dataset, keys: DataFrame | None = None,
 def _write_commit(lake: Lake, ds: Dataset) -> None:
     """A new commit id for this run's change set: readers that consumed an earlier attempt's take it in again."""
     path = lake.marker_path(ds, "commits")
-    row = lake.spark.createDataFrame([(uuid.uuid4().hex, lake.run.run_ts)], COMMITS)
-    (row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    row = lake.spark.range(0, 1, 1, 1).select(F.lit(uuid.uuid4().hex).alias("commit"), F.lit(lake.run.run_ts).alias(RUN_COL))
+    (row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(RUN_COL).parquet(path))
     _refresh(lake, path)
 

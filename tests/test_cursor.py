@@ -125,3 +125,15 @@ def test_several_hops_deep(lake):
     total(lake, "r4")
     last("r4")
     assert rows(lake, top) == [("A", 20.0), ("B", 20.0), ("C", 10.0)]
+
+
+def test_query_has_groups_of_every_run():
+    import duckdb
+
+    from latecomer.plans.cursor_scenarios import ORACLE
+
+    from .conftest import SF_SMALL
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{SF_SMALL}/orders.parquet')")
+    found = con.execute(f"SELECT DISTINCT reader, run FROM ({ORACLE['q38_skipped_hops']})").fetchall()
+    assert {("prompt", "r1"), ("prompt", "r2"), ("prompt", "r3"), ("late", "r1"), ("late", "r3")} <= set(found)
