@@ -1,5 +1,5 @@
-"""Driver queries q39 to q41: changes at the grain of parents in a few folders, upserts that find keys by an index, and a
-history that is maintained while runs arrive late."""
+"""Driver queries q39 to q42: changes at the grain of parents in a few folders, upserts that find keys by an index, and a
+history that is maintained while runs arrive late, and the clustering of fragmented partitions."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ from ..dataset import Dataset, Lake, bucketed
 from ..operators.changes import SNAPSHOT, dedup_latest
 from ..operators.recompute import recompute
 from ..operators.versions import apply_run, history_dataset, versions
-from ..session import scratch_root
+from ..session import scratch_root, stage
 from ..sinks.index import index_of
-from ..sinks.tables import upsert
+from ..sinks.maintenance import cluster, layout
+from ..sinks.tables import upsert, write
 from ..sources.tables import read
 from . import orders_facts as of
 from .history_scenarios import _LI_DEDUP, LI_KEYS
@@ -28,6 +29,7 @@ PARENTS, RAISED, EMPTIED, SHORTENED = 100, 7, 8, 9       # remainders of the par
 BUCKETS = 16
 DELETED, REBORN, REBORN_IN = 13, 26, "1996-07"
 LATE_LACKS, LATE_RAISES = 17, 4
+WHOLE = "1997-05"
 
 
 def mean_per_parent(run: str):
@@ -86,9 +88,30 @@ def q41_late_history(spark, sf_dir):
     return of.as_double(versions(lake, hist), "amount")
 
 
-QUERIES = {"q41_late_history": q41_late_history, "q39_parent_groups": q39_parent_groups, "q40_key_index": q40_key_index}
+def q42_clustering(spark, sf_dir):
+    """Files and rows of each period before and after a clustering of a table written in three slices; one period was
+    written whole."""
+    facts = of.cost_facts(of.table(spark, sf_dir, "orders"))
+    lake = Lake(spark, scratch_root(spark, "cluster"))
+    silver = Dataset("silver", "costs", "sliced", of.FACT_SCHEMA, of.KEYS, ("cost_period",))
+    whole = F.col("cost_period") == WHOLE
+    for k in range(3):
+        slice_of = facts.where((~whole & (F.col("cost_id") % 3 == k)) | (whole & F.lit(k == 0)))
+        write(lake, silver, slice_of, "overwrite" if k == 0 else "append")
+    before = stage(layout(lake, silver), "before")[0].select("cost_period", F.col("files").alias("files_before"))
+    cluster(lake, silver, ("cost_id", "amount"))
+    after = layout(lake, silver).select("cost_period", F.col("files").alias("files_after"), "rows")
+    sums = read(lake, silver).groupBy("cost_period").agg(F.sum("amount").cast("double").alias("amount"))
+    return before.join(after, "cost_period", "full").join(sums, "cost_period", "full")
+
+
+QUERIES = {"q42_clustering": q42_clustering, "q41_late_history": q41_late_history, "q39_parent_groups": q39_parent_groups, "q40_key_index": q40_key_index}
 
 ORACLE = {
+    "q42_clustering": sql_with(SQL_FACTS) + f"""SELECT cost_period, CASE WHEN cost_period = '{WHOLE}' THEN 1
+  ELSE count(DISTINCT cost_id % 3) END AS files_before, 1 AS files_after, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount
+FROM facts GROUP BY 1""",
+
     "q41_late_history": sql_with(SQL_FACTS, SQL_INITIAL, SQL_CORRECTED, SQL_SNAPSHOT) + f""", b AS (SELECT 1 AS n, * FROM initial
   UNION ALL SELECT 2, cost_id, cost_period, cost_center, CASE WHEN cost_id % {LATE_RAISES} = 0 THEN amount + 5 ELSE amount END
     FROM facts WHERE cost_id % {LATE_LACKS} <> 0
