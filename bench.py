@@ -22,8 +22,9 @@ from latecomer.dataset import Lake  # noqa: E402
 from latecomer.operators.aggregates import grouped_sum  # noqa: E402
 from latecomer.operators.recompute import recompute  # noqa: E402
 from latecomer.plans import orders_facts as of  # noqa: E402
+from latecomer.plans.grain_scenarios import item_facts, mean_per_parent, parent_datasets  # noqa: E402
 from latecomer.plans.registry import all_queries  # noqa: E402
-from latecomer.session import build_session, scratch_root  # noqa: E402
+from latecomer.session import build_session, scratch_root, stage  # noqa: E402
 from latecomer.sinks.tables import upsert, write  # noqa: E402
 from latecomer.sources.tables import read  # noqa: E402
 
@@ -64,6 +65,29 @@ def scoped_vs_full(spark, sf_dir: str, out: dict) -> None:
     out["full_recompute"] = timed(lambda: write(lake, full, grouped_sum(read(lake, of.SILVER), of.GROUPS, "amount")))
 
 
+def parents_scoped_vs_full(spark, sf_dir: str, out: dict, copies: int) -> None:
+    """Mean per parent order on a bucketed table of ``copies`` times the line items: a batch of 1 % of the parents, the scoped
+    recompute of exactly those, and a full recompute (only with $BENCH_PARENTS, the number of copies)."""
+    facts = item_facts(of.table(spark, sf_dir, "lineitem")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    facts = facts.withColumn("l_orderkey", F.col("l_orderkey") + F.col("copy").cast("long") * F.lit(10 ** 9).cast("long")).drop("copy")
+    lake = Lake(spark, scratch_root(spark, "bench-parents"))
+    items, means = parent_datasets(buckets=64)
+    upsert(lake.at("r0"), items, facts)
+    recompute(lake.at("r0"), items, means, ("l_orderkey",), mean_per_parent("r0"))
+    batch, _ = stage(read(lake, items).where("l_orderkey % 100 = 7 AND l_linenumber = 1")
+                     .withColumn("price", (F.col("price") + 1).cast("decimal(18,2)")))
+    run = lake.at("r1")
+    out["parents_merge_1pct"] = timed(lambda: upsert(run, items, batch))
+    out["parents_scoped_1pct"] = timed(lambda: recompute(run, items, means, ("l_orderkey",), mean_per_parent("r1")))
+    few, _ = stage(batch.where("l_orderkey % 20000 = 7"))
+    run = lake.at("r2")
+    out["parents_merge_few"] = timed(lambda: upsert(run, items, few))
+    out["parents_scoped_few"] = timed(lambda: recompute(run, items, means, ("l_orderkey",), mean_per_parent("r2")))
+    whole = parent_datasets(buckets=64)[1]
+    whole = of.Dataset("gold", "items", "full_means", whole.schema, (), whole.partition_by, whole.group_by, whole.buckets)
+    out["parents_full"] = timed(lambda: write(lake, whole, mean_per_parent("r0")(read(lake, items))))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -75,6 +99,8 @@ def main() -> None:
     for name in HEADLINE:
         times[name] = timed(lambda: run_noop(qs[name](spark, sf_dir)))
     scoped_vs_full(spark, sf_dir, times)
+    if os.environ.get("BENCH_PARENTS"):
+        parents_scoped_vs_full(spark, sf_dir, times, int(os.environ["BENCH_PARENTS"]))
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf}))
