@@ -6,8 +6,8 @@ of all others. A group of copies or near copies weighs as much as ``GROUP_SHARE`
 that no hot group becomes the reference. A document is compared to its language by the Jensen-Shannon distance (square root of the divergence in
 bits). Short documents vary by chance, so a test counts from a minimum number of words only.
 
-Everything is DataFrame expressions: counts of copies, one aggregate over all words, one pass that turns every text into counts, and
-joins with tables of one row a language.
+Everything is DataFrame expressions: one pass that turns every text into counts and its smallest window (stored beside the
+text), counts of copies, one aggregate over all words, and joins with tables of one row a language.
 
 Cases: NULL text has no words and fails the base rules (fewer than 50 words); NULL ``lang`` is a language of its own;
 white-space texts have no words; equal rows get equal verdicts; ties among common words go by the word; an
@@ -48,26 +48,25 @@ def _length_without(text: Column, letters: str) -> Column:
 
 
 def _windows(words: Column, n: Column) -> Column:
-    """Hashes of the 3-word windows."""
+    """Hashes of the 3-word windows, from hashes of the words."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
     size = F.greatest(n - 2, F.lit(0))
-    return F.transform(
-        F.arrays_zip(F.slice(words, 1, size).alias("a"), F.slice(words, F.lit(2), size).alias("b"),
-                     F.slice(words, F.lit(3), size).alias("c")), lambda z: F.xxhash64(z["a"], z["b"], z["c"]))
+    zipped = F.zip_with(F.slice(hashes, F.lit(1), size), F.slice(hashes, F.lit(2), size), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(zipped, F.slice(hashes, F.lit(3), size), lambda ab, c: F.xxhash64(ab, c))
 
 
-def crowded_groups(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+def crowded_groups(counts: DataFrame) -> DataFrame:
     """(lang, group, weight) of the groups of copies that would weigh more than a ``GROUP_SHARE`` of their language.
 
     A group is the documents of one smallest 3-word window: exact copies share it, near copies nearly always. There are
     at most 1 / ``GROUP_SHARE`` such groups a language, few enough to hand to every task.
     """
-    words = docs.select(F.col(lang_col).alias("lang"), words_of(F.col(text_col)).alias("w"))
-    groups = words.select("lang", F.when(F.size("w") >= MIN_WORDS, F.array_min(_windows(F.col("w"), F.size("w"))))
-                          .alias("group"))
-    counts = groups.groupBy("lang", "group").agg(F.count("*").alias("n")).where("group IS NOT NULL")
-    totals = counts.groupBy("lang").agg(F.greatest(F.sum("n") * GROUP_SHARE, F.lit(1.0)).alias("most")).select(
+    group = F.when(F.col("n_words") >= MIN_WORDS, F.col("__group"))
+    groups = (counts.groupBy(F.col("__of").alias("lang"), group.alias("group")).agg(F.count("*").alias("n"))
+              .where("group IS NOT NULL"))
+    totals = groups.groupBy("lang").agg(F.greatest(F.sum("n") * GROUP_SHARE, F.lit(1.0)).alias("most")).select(
         F.col("lang").alias("__total"), "most")
-    return (counts.join(F.broadcast(totals), counts["lang"].eqNullSafe(totals["__total"])).where("n > most")
+    return (groups.join(F.broadcast(totals), groups["lang"].eqNullSafe(totals["__total"])).where("n > most")
             .select(F.col("lang").alias("__crowd"), F.col("group").alias("__crowd_group"),
                     (F.col("most") / F.col("n")).alias("__weight")))
 
@@ -84,16 +83,11 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (n_repeat_words > MAX_REPEATED * n_words)
 
 
-def word_references(docs: DataFrame, crowded: DataFrame, lang_col: str, text_col: str,
-                    top: int = TOP_WORDS) -> DataFrame:
+def word_references(good: DataFrame, top: int = TOP_WORDS) -> DataFrame:
     """(lang, common, shares): the commonest words of each language and their shares, then the share of the rest."""
-    frame = docs.select(F.col(lang_col).alias("lang"), words_of(F.col(text_col)).alias("w"))
-    frame = repeated_words(F.col("w"), F.size("w"), frame, "__repeat", "__group")
-    frame = _weighted(frame, crowded, "lang", "__group")
-    # no filter and the outer form: a filter, also the one of the inner form, would evaluate the split and windows again
-    used = F.when(~base_failed(F.size("w"), F.col("__repeat")), F.col("w"))
-    words = frame.select("lang", F.col("__units").alias("units"),
-                         F.explode_outer(used).alias("word")).where("word IS NOT NULL")
+    # the outer form: the inner one would evaluate the split again in a filter of its own
+    words = good.select(F.col("__of").alias("lang"), F.col("__units").alias("units"),
+                        F.explode_outer(words_of(F.col("__text"))).alias("word")).where("word IS NOT NULL")
     counts = words.groupBy("lang", "word").agg(F.sum("units").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= top)
@@ -111,9 +105,10 @@ def repeated_words(words: Column, n: Column, frame: DataFrame, out: str, group:
     frame = frame.withColumn("__windows", _windows(words, n))
     frame = frame.withColumn("__sorted", F.sort_array("__windows"))
     less = F.greatest(F.size("__sorted") - 1, F.lit(0))
-    frame = frame.withColumn("__twice", F.array_distinct(F.transform(F.filter(
-        F.arrays_zip(F.slice("__sorted", 1, less).alias("x"), F.slice("__sorted", F.lit(2), less).alias("y")),
-        lambda z: z["x"] == z["y"]), lambda z: z["x"])))
+    # the next one where it is equal, NULL elsewhere
+    equal = F.zip_with(F.slice("__sorted", F.lit(1), less), F.slice("__sorted", F.lit(2), less),
+                       lambda x, y: F.when(x == y, x))
+    frame = frame.withColumn("__twice", F.array_distinct(F.array_compact(equal)))
     by_search = F.filter(F.transform("__windows", lambda h, i: F.when(F.array_contains("__twice", h), i).otherwise(-1)),
                          lambda i: i >= 0)
     pairs = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -140,55 +135,62 @@ def _shares(counts: Column) -> Column:
     return F.transform(counts, lambda n: F.when(total > 0, n / total).otherwise(F.lit(0.0)))
 
 
-def _measured(docs: DataFrame, crowded: DataFrame, lang_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """Counts of every document, next to the columns ``carry``."""
-    words = staged(word_references(docs, crowded, lang_col, text_col), "quality-words")
-    words = words.select(F.col("lang").alias("__lang"), F.col("common").alias("__common"),
-                         F.col("shares").alias("__word_shares"))
+def _counted(docs: DataFrame, lang_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """Counts of every document, next to its text and the columns ``carry``: the one pass that makes windows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     frame = docs.select(*[F.col(c) for c in carry], F.col(lang_col).alias("__of"), text.alias("__text"),
                         words_of(F.col(text_col)).alias("__words"))
-    frame = frame.join(words, frame["__of"].eqNullSafe(words["__lang"]), "left").drop("__lang")
     body, ws = F.col("__text"), F.col("__words")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     frame = frame.withColumns({
         "n_words": F.size(ws).cast("long"), "__lines": lines,
         "__nonletters": F.regexp_replace(body, r"\p{L}+", ""),
-        "__upper": F.length(F.regexp_replace(body, r"[^\p{Lu}]+", "")),
-        "__met": F.filter(ws, lambda w: F.array_contains("__common", w))})
+        "__upper": F.length(F.regexp_replace(body, r"[^\p{Lu}]+", ""))})
     other = F.col("__nonletters")
     letters = F.length(body) - F.length(other)
     digits = F.length(other) - F.length(F.regexp_replace(other, r"\p{Nd}", ""))
     white, marks, symbols = (F.length(other) - _length_without(other, x) for x in (WHITE, MARKS, SYMBOLS))
     rest = F.length(other) - digits - white - marks - symbols
-    counts = F.transform("__common", lambda c: F.size("__met") - F.size(F.array_remove("__met", c)))
     frame = frame.withColumns({
         "word_chars": (F.length(body) - white).cast("long"), "n_symbols": symbols.cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "__classes": F.array(*[x.cast("long") for x in (
-            letters - F.col("__upper"), F.col("__upper"), digits, white, marks, symbols, rest)]),
-        "__counts": F.concat(counts, F.array(F.col("n_words") - F.size("__met"))).cast("array<bigint>")})
+            letters - F.col("__upper"), F.col("__upper"), digits, white, marks, symbols, rest)])})
     frame = repeated_words(ws, F.col("n_words").cast("int"), frame, "n_repeat_words", "__group")
+    return frame.select(*carry, "__of", "__text", "__group", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                        "n_repeat_words", "__classes")
+
+
+def _word_distance(counts: DataFrame, words: DataFrame) -> DataFrame:
+    """``counts`` with the distance of each document's common words to its language's."""
+    words = words.select(F.col("lang").alias("__lang"), F.col("common").alias("__common"),
+                         F.col("shares").alias("__word_shares"))
+    frame = counts.join(F.broadcast(words), counts["__of"].eqNullSafe(words["__lang"]), "left").drop("__lang")
+    met = F.filter(words_of(F.col("__text")), lambda w: F.array_contains("__common", w))
+    frame = frame.withColumn("__met", met)
+    common = F.transform("__common", lambda c: F.size("__met") - F.size(F.array_remove("__met", c)))
+    frame = frame.withColumn("__counts", F.concat(common, F.array(F.col("n_words") - F.size("__met")))
+                             .cast("array<bigint>"))
     return frame.withColumn("word_distance", F.when(F.col("n_words") > 0, _distance(
-        _shares(F.col("__counts")), F.col("__word_shares")))).select(
-        *carry, "__of", "__group", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__classes",
-        "word_distance")
+        _shares(F.col("__counts")), F.col("__word_shares")))).drop("__common", "__word_shares", "__met", "__counts")
 
 
 def measure(docs: DataFrame, carry: list[str], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``carry`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance,
     base_failed and kept for every document."""
-    crowded = staged(crowded_groups(docs, lang_col, text_col), "quality-groups")
-    counts = staged(_measured(docs, crowded, lang_col, text_col, carry), "quality-counts")
+    counts = staged(_counted(docs, lang_col, text_col, carry), "quality-counts")
+    crowded = staged(crowded_groups(counts), "quality-groups")
     size = 7
     n = F.col("n_words")
     failed = base_failed(n, F.col("n_repeat_words"))
     good = _weighted(counts.where(~failed), crowded, "__of", "__group")
+    words = staged(word_references(good), "quality-words")
     sums = good.groupBy("__of").agg(*[F.sum(F.col("__classes")[i] * F.col("__units")).alias(f"s{i}")
                                       for i in range(size)])
     refs = sums.select(F.col("__of").alias("__ref"),
                        _shares(F.array(*[F.col(f"s{i}") for i in range(size)])).alias("__class_shares"))
-    joined = counts.join(staged(refs, "quality-chars"), F.col("__of").eqNullSafe(F.col("__ref")), "left")
+    joined = _word_distance(counts, words).join(staged(refs, "quality-chars"),
+                                                F.col("__of").eqNullSafe(F.col("__ref")), "left")
     odd = (n >= CHAR_MIN_WORDS) & (F.col("char_distance") > CHAR_DISTANCE)
     for least, most in WORD_DISTANCE:
         odd = odd | ((n >= least) & (F.col("word_distance") > most))
