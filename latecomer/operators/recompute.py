@@ -70,6 +70,13 @@ def backfill(lake: Lake, source: Dataset, target: Dataset, group_cols,
             rows = rows.where(F.col(on) <= F.lit(upper))
         return rows
 
+    return refill(lake, source, target, cols, aggregate, chosen)
+
+
+def refill(lake: Lake, source: Dataset, target: Dataset, group_cols, aggregate: Callable[[DataFrame], DataFrame],
+           chosen: Callable[[DataFrame], DataFrame]) -> bool:
+    """Recompute the groups that ``chosen`` leaves of the source's and the target's rows (a filter on group columns)."""
+    cols = list(group_cols)
     rows = chosen(read(lake, source))
     groups = rows.select(*cols)
     if table_exists(lake, target):

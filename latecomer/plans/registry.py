@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from . import (cost_scenarios, cursor_scenarios, event_scenarios, geo_scenarios, grain_scenarios, history_scenarios, proof_scenarios,
-               run_scenarios)
+               run_scenarios, state_scenarios)
 
 
 def _modules():
     mods = [cost_scenarios, event_scenarios, geo_scenarios, run_scenarios, history_scenarios, proof_scenarios,
-            cursor_scenarios, grain_scenarios]
+            cursor_scenarios, grain_scenarios, state_scenarios]
     return mods
 
 

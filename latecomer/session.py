@@ -78,14 +78,15 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def stage(df, label: str = "staged"):
+def stage(df, label: str = "staged", compression: str | None = None):
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back:
     lineage is cut (later stages and retries after a lost executor read exactly these
     rows), in one pass, columnar, so later reads still prune columns.
-    Returns ``(frame, path)``; the caller may remove ``path`` once done with the frame."""
+    Returns ``(frame, path)``; the caller may remove ``path`` once done with the frame. ``compression`` names another codec
+    than the session's, e.g. ``zstd`` for long texts."""
     spark = df.sparkSession
     path = scratch_root(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 
