@@ -114,24 +114,37 @@ def link(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) ->
                         errors.alias("errors"), F.when(call, as_call).when(result, as_result).otherwise(as_text).alias("json"))
 
 
-#: Schema of the one tool of the query.
-TOOLS = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
+#: Schemas of the query's tools.
+TOOLS = {"reply": {"prompt": ("string", True), "turn": ("integer", True)},
+         "search": {"query": ("string", True), "limit": ("integer", False)}}
 
 
 def messages_of(conversations: DataFrame) -> DataFrame:
-    """Conversation turns as tool messages: a user turn calls ``reply``, the assistant turn after it is the result.
+    """Conversation turns as tool messages: a user turn is a call, the assistant turn after it its result.
 
-    A call needs the call before it in its conversation, except at every eighth turn.
+    A call needs the call before it in its conversation, over its whole length. The hexadecimal digits of the MD5 of the
+    turn's text say, one after the other, which tool is called (``f``: one without a schema), what is wrong with its
+    arguments (``0``: a number as text, ``1``: one too many, ``2``: a list), whether the call repeats the identifier of the
+    call before it (``0``), and whether it needs the call after it instead (``0``: a cycle, if that one needs it in turn).
     """
-    ident = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
-    back = lambda k: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - k).cast("string"))
-    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    ident = lambda k: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") + k).cast("string"))
+    user, assistant, later = F.col("role") == "user", F.col("role") == "assistant", F.col("turn") >= 2
+    tool, fault, repeats, ahead = (F.substring(F.md5(F.coalesce("text", F.lit(""))), k, 1) for k in (1, 2, 3, 4))
+    name = F.when(tool == "f", "browse").when(tool < "4", "search").otherwise("reply")
+
+    def as_json(number, note=None):
+        notes = [] if note is None else [F.lit(note).alias("note")]
+        search = F.to_json(F.struct(number.alias("limit"), F.col("text").alias("query"), *notes))
+        return F.when(name == "search", search).otherwise(F.to_json(F.struct(number.alias("turn"), F.col("text").alias("prompt"), *notes)))
+
+    turn = F.col("turn")
+    arguments = (F.when(fault == "0", as_json(turn.cast("string"))).when(fault == "1", as_json(turn, "derived"))
+                 .when(fault == "2", F.to_json(F.array(turn))).otherwise(as_json(turn)))
     return conversations.select(
         "conv_id", "turn", F.when(user, "call").when(assistant, "result").otherwise("text").alias("kind"),
-        F.when(user, ident).when(assistant, back(1)).alias("call_id"),
-        F.when(user & (F.col("turn") >= 2) & (F.col("turn") % 8 > 1), back(2)).alias("parent_id"),
-        F.when(user, "reply").otherwise(F.col("role")).alias("name"),
-        F.when(user, F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt")))).alias("arguments"),
+        F.when(user, F.when((repeats == "0") & later, ident(-2)).otherwise(ident(0))).when(assistant, ident(-1)).alias("call_id"),
+        F.when(user, F.when(ahead == "0", ident(2)).when(later, ident(-2))).alias("parent_id"),
+        F.when(user, name).otherwise(F.col("role")).alias("name"), F.when(user, arguments).alias("arguments"),
         F.when(~user | F.col("role").isNull(), F.col("text")).alias("content"))
 
 
@@ -143,23 +156,37 @@ def op5_chat_tool_calls(spark, sf_dir: str) -> DataFrame:
 
 #: Depths by recursion instead of doubling; conversations hold a turn once.
 OP5_SQL = r"""
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, conv_id || ':' || turn AS id, conv_id || ':' || (turn - 1) AS before,
-    CASE WHEN role = 'user' AND turn >= 2 AND turn % 8 > 1 THEN conv_id || ':' || (turn - 2) END AS parent FROM conversations),
-u AS (SELECT * FROM m WHERE role = 'user'), a AS (SELECT * FROM m WHERE role = 'assistant'),
-e AS (SELECT u.id, p.id AS up FROM u LEFT JOIN u p ON p.conv_id = u.conv_id AND p.id = u.parent),
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, md5(coalesce(text, '')) AS h, conv_id || ':' || turn AS id,
+    conv_id || ':' || (turn - 1) AS before, conv_id || ':' || (turn - 2) AS back, conv_id || ':' || (turn + 2) AS ahead FROM conversations),
+u AS (SELECT conv_id, turn, text, substr(h, 2, 1) AS fault,
+    CASE WHEN substr(h, 1, 1) = 'f' THEN 'browse' WHEN substr(h, 1, 1) < '4' THEN 'search' ELSE 'reply' END AS name,
+    CASE WHEN substr(h, 3, 1) = '0' AND turn >= 2 THEN back ELSE id END AS id,
+    CASE WHEN substr(h, 4, 1) = '0' THEN ahead WHEN turn >= 2 THEN back END AS parent FROM m WHERE role = 'user'),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn) = 1 AS head,
+    CASE WHEN fault = '0' THEN '"' || turn || '"' ELSE CAST(turn AS VARCHAR) END AS num,
+    CASE WHEN fault = '1' THEN '"note":"derived"' END AS note FROM u),
+a AS (SELECT * FROM m WHERE role = 'assistant'),
+e AS (SELECT c.id, p.id AS up, c.parent IS NOT NULL AND p.id IS NULL AS lost
+    FROM c LEFT JOIN c p ON p.head AND p.conv_id = c.conv_id AND p.id = c.parent WHERE c.head),
 deep(id, depth) AS (SELECT id, 0 FROM e WHERE up IS NULL UNION ALL SELECT e.id, depth + 1 FROM e JOIN deep ON e.up = deep.id)
-SELECT u.conv_id, u.turn, 'call' AS kind, u.id AS call_id, CASE WHEN a.id IS NULL THEN 'pending' ELSE 'linked' END AS status,
+SELECT c.conv_id, c.turn, 'call' AS kind, c.id AS call_id,
+    CASE WHEN NOT head THEN 'duplicate' WHEN a.id IS NULL THEN 'pending' ELSE 'linked' END AS status,
     CAST(coalesce(depth, -1) AS BIGINT) AS depth,
-    concat_ws(',', CASE WHEN u.text IS NULL THEN 'prompt: missing' END,
-        CASE WHEN u.parent IS NOT NULL AND e.up IS NULL THEN 'parent: missing' END) AS errors,
-    '{"arguments":{' || coalesce('"prompt":' || to_json(u.text) || ',', '') || '"turn":' || u.turn || '},"id":' || to_json(u.id)
-        || ',"name":"reply"' || coalesce(',"parent":' || to_json(u.parent), '')
+    concat_ws(',', CASE WHEN fault = '2' THEN 'arguments: not a JSON object' WHEN name = 'browse' THEN 'unknown tool' END,
+        CASE WHEN fault = '1' AND name <> 'browse' THEN 'unknown argument' END,
+        CASE WHEN c.text IS NULL AND fault <> '2' AND name <> 'browse' THEN if(name = 'search', 'query', 'prompt') || ': missing' END,
+        CASE WHEN fault = '0' AND name <> 'browse' THEN if(name = 'search', 'limit', 'turn') || ': not integer' END,
+        CASE WHEN e.lost THEN 'parent: missing' END, CASE WHEN depth IS NULL THEN 'parent: cycle' END) AS errors,
+    '{"arguments":' || CASE WHEN fault = '2' THEN '[' || c.turn || ']'
+            WHEN name = 'search' THEN '{' || concat_ws(',', '"limit":' || num, note, '"query":' || to_json(c.text)) || '}'
+            ELSE '{' || concat_ws(',', note, '"prompt":' || to_json(c.text), '"turn":' || num) || '}' END
+        || ',"id":' || to_json(c.id) || ',"name":' || to_json(name) || coalesce(',"parent":' || to_json(c.parent), '')
         || coalesce(',"result":' || to_json(a.text), '') || ',"type":"call"}' AS json
-FROM u JOIN e ON e.id = u.id JOIN deep ON deep.id = u.id LEFT JOIN a ON a.before = u.id
+FROM c JOIN e ON e.id = c.id LEFT JOIN deep ON deep.id = c.id LEFT JOIN a ON a.before = c.id
 UNION ALL
-SELECT a.conv_id, a.turn, 'result', a.before, CASE WHEN u.id IS NULL THEN 'orphan' ELSE 'linked' END, CAST(coalesce(depth, -1) AS BIGINT), '',
+SELECT a.conv_id, a.turn, 'result', a.before, CASE WHEN e.id IS NULL THEN 'orphan' ELSE 'linked' END, CAST(coalesce(depth, -1) AS BIGINT), '',
     '{' || coalesce('"content":' || to_json(a.text) || ',', '') || '"id":' || to_json(a.before) || ',"type":"result"}'
-FROM a LEFT JOIN u ON u.id = a.before LEFT JOIN deep ON deep.id = a.before
+FROM a LEFT JOIN e ON e.id = a.before LEFT JOIN deep ON deep.id = a.before
 UNION ALL
 SELECT conv_id, turn, 'text', NULL, 'text', CAST(-1 AS BIGINT), '',
     '{' || coalesce('"content":' || to_json(text) || ',', '') || coalesce('"name":' || to_json(role) || ',', '') || '"type":"text"}'
