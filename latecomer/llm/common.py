@@ -56,6 +56,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named ``__c0``, ``__c1``, ... and the name each column now has.
+
+    An operator that keeps all columns of its input works on these, so none clashes with its own.
+    """
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def staged(df: DataFrame, label: str = "llm") -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back (lineage cut).
 

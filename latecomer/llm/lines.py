@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, staged, table, text_key, words_of
+from .common import SPACE, positional, staged, table, text_key, words_of
 
 THRESHOLD = 0.8
 CROWDED = 256
@@ -175,16 +175,15 @@ def _by_document(lines: DataFrame, firsts: DataFrame, removed: DataFrame) -> Dat
 
 def remove_later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the lines that match earlier ones; all rows and columns are kept."""
-    lost = staged(later_matches(docs, id_col, text_col, threshold), "lines-lost").select(
-        F.col("id").alias("__id"), F.col("key").alias("__key"), "removed")
-    keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
-    joined = keyed.join(lost.withColumnRenamed("removed", "__removed"), keyed[id_col].eqNullSafe(lost["__id"])
-                        & (keyed["__text_key"] == lost["__key"]), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"),
-                                 lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the lines that match earlier ones; all rows and columns are kept, whatever their names."""
+    plain, names = positional(docs)
+    of, body = names[id_col], names[text_col]
+    lost = staged(later_matches(plain, of, body, threshold), "lines-lost").select(
+        F.col("id").alias("lost_id"), F.col("key").alias("lost_key"), "removed")
+    joined = plain.join(lost, F.col(of).eqNullSafe(F.col("lost_id")) & (text_key(F.col(body)) == F.col("lost_key")), "left")
+    kept = F.array_join(F.filter(F.split(F.col(body), "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col(body)).otherwise(kept)
+    return joined.select(*[(text if c == text_col else F.col(a)).alias(c) for c, a in names.items()])
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, staged, table, words_of
+from .common import SPACE, positional, staged, table, words_of
 
 TOP_WORDS = 30
 #: Base rules (contract).
@@ -204,8 +204,7 @@ def measure(docs: DataFrame, carry: list[str], lang_col: str = "lang", text_col:
 
 def keep(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that the rules reject; all columns are kept."""
-    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()])
+    plain, names = positional(docs)
     found = measure(plain, list(names.values()), names[lang_col], names[text_col])
     return found.where("kept").select(*[F.col(a).alias(c) for c, a in names.items()])
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, staged, table, text_key
+from .common import arrow, positional, staged, table, text_key
 from .components import components
 
 SHINGLE = 3
@@ -296,11 +296,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate component: all columns, repeated rows once."""
-    heads = (near_duplicates(docs, id_col, text_col, **options).where("keeper")
-             .select(F.col("id").alias("__id"), F.col("text_hash").alias("__text")).distinct())
-    keyed = docs.withColumn("__key", text_key(F.col(text_col)))
-    kept = keyed.join(heads, keyed[id_col].eqNullSafe(heads["__id"]) & (keyed["__key"] == heads["__text"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__key"]).drop("__key")
+    plain, names = positional(docs)
+    of, body = names[id_col], names[text_col]
+    heads = (near_duplicates(plain, of, body, **options).where("keeper")
+             .select(F.col("id").alias("head_id"), F.col("text_hash").alias("head_text")).distinct())
+    keyed = plain.withColumn("text_hash", text_key(F.col(body)))
+    kept = keyed.join(heads, F.col(of).eqNullSafe(F.col("head_id")) & (F.col("text_hash") == F.col("head_text")), "left_semi")
+    return kept.dropDuplicates([of, "text_hash"]).select(*[F.col(a).alias(c) for c, a in names.items()])
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
