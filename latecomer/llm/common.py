@@ -65,13 +65,13 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
-def staged(df: DataFrame, label: str = "llm") -> DataFrame:
+def staged(df: DataFrame, label: str = "llm", compression: str | None = None) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back (lineage cut).
 
     Nothing reads the write's shuffle files again. Spark deletes them when the driver collects their owners, which
     with a large heap may take hours; the collection asked for here keeps the disk to what is in use.
     """
-    out = stage(df, label)[0]
+    out = stage(df, label, compression)[0]
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 

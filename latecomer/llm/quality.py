@@ -178,7 +178,7 @@ def _word_distance(counts: DataFrame, words: DataFrame) -> DataFrame:
 def measure(docs: DataFrame, carry: list[str], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``carry`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance,
     base_failed and kept for every document."""
-    counts = staged(_counted(docs, lang_col, text_col, carry), "quality-counts")
+    counts = staged(_counted(docs, lang_col, text_col, carry), "quality-counts", "zstd")
     crowded = staged(crowded_groups(counts), "quality-groups")
     size = 7
     n = F.col("n_words")
