@@ -1,15 +1,18 @@
-"""Driver queries q43 and q44: aggregates of hot groups from the states of their slices, and a backfill that stops and goes on."""
+"""Driver queries q43 to q45: aggregates of hot groups from the states of their slices, a backfill that stops and goes on, and
+as-of states from checkpoints."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..dataset import Dataset, Lake, bucketed
+from ..dataset import RUN_COL, Dataset, Lake, bronze_schema, bucketed
+from ..operators.changes import SNAPSHOT
 from ..operators.ranges import backfill_in_ranges, progress
 from ..operators.states import SLICE_COL, mean, recompute_states, slice_states, state_fields, states_schema
 from ..session import scratch_root
-from ..sinks.tables import upsert, write
+from ..sinks.checkpoints import checkpoint, checkpoints, state_as_of
+from ..sinks.tables import upsert, write, write_bronze
 from ..sources.tables import read
 from . import orders_facts as of
 from .orders_facts import SQL_FACTS, sql_with
@@ -23,6 +26,7 @@ TOTAL = DecimalType(28, 2)
 GROUP = StructType([StructField("cost_center", StringType())])
 RANGES, FIRST = 4, 2
 GONE = "1985-03"
+SLICE_OF, EMPTY_RUN, RETRIED_BY = 6, 3, 100
 
 
 def _rows_with_slices(orders):
@@ -86,9 +90,50 @@ def q44_resumed_backfill(spark, sf_dir):
         *of.GROUPS, "amount", "attempt", "range_no", "rows", "done")
 
 
-QUERIES = {"q43_hot_group_states": q43_hot_group_states, "q44_resumed_backfill": q44_resumed_backfill}
+def q45_as_of_checkpoints(spark, sf_dir):
+    """State of an incremental source after each of five runs, from checkpoints after r2 and r4, the second of which a retried
+    run r4 removes; and of a snapshot source whose r3 delivered nothing. Counts and totals by the run that delivered a row."""
+    facts = of.cost_facts(of.table(spark, sf_dir, "orders"))
+    lake = Lake(spark, scratch_root(spark, "replay"))
+    slices, snaps = (Dataset("bronze", "costs", name, bronze_schema(of.FACT_SCHEMA), of.KEYS, (RUN_COL,)) for name in ("slices", "snaps"))
+    runs = [f"r{k}" for k in range(1, 6)]
+
+    def batch(k, more=0):
+        found = facts if k == 1 else facts.where(F.col("cost_id") % SLICE_OF == k)
+        return found.withColumn("amount", (F.col("amount") + k + more).cast(of.AMOUNT))
+
+    for k, run in enumerate(runs, 1):
+        write_bronze(lake.at(run), slices, batch(k))
+        if k != EMPTY_RUN:
+            write_bronze(lake.at(run), snaps, batch(k))
+        if k % 2 == 0:
+            checkpoint(lake, slices, of.KEYS, run)
+    write_bronze(lake.at("r4"), slices, batch(4, RETRIED_BY))
+    held = sorted(checkpoints(lake, slices))
+    all_runs = spark.range(1, 6).select(F.concat(F.lit("r"), "id").alias(RUN_COL))
+    out = None
+    for run in runs:
+        used = max((h for h in held if h <= run), default=None)
+        for name, state in (("slices", state_as_of(lake, slices, of.KEYS, run)),
+                            ("snaps", state_as_of(lake, snaps, of.KEYS, run, SNAPSHOT, runs=all_runs))):
+            one = state.groupBy(RUN_COL).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount")).select(
+                F.lit(name).alias("source"), F.lit(run).alias("as_of"), F.col(RUN_COL).alias("delivered"), "n", "amount",
+                F.lit(used if name == "slices" else None).cast("string").alias("checkpoint"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {"q45_as_of_checkpoints": q45_as_of_checkpoints, "q43_hot_group_states": q43_hot_group_states, "q44_resumed_backfill": q44_resumed_backfill}
 
 ORACLE = {
+    "q45_as_of_checkpoints": sql_with(SQL_FACTS) + f""", k AS (SELECT unnest(range(1, 6)) AS k),
+b AS (SELECT k, cost_id, amount + k + CASE WHEN k = 4 THEN {RETRIED_BY} ELSE 0 END AS amount, amount + k AS plain
+  FROM facts CROSS JOIN k WHERE k = 1 OR cost_id % {SLICE_OF} = k),
+s AS (SELECT t.k AS upto, b.* FROM k t JOIN b ON b.k <= t.k QUALIFY row_number() OVER (PARTITION BY t.k, cost_id ORDER BY b.k DESC) = 1)
+SELECT 'slices' AS source, 'r' || upto AS as_of, 'r' || k AS delivered, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount,
+  CASE WHEN upto >= 2 THEN 'r2' END AS checkpoint FROM s GROUP BY upto, k
+UNION ALL SELECT 'snaps', 'r' || k, 'r' || k, count(*), CAST(sum(plain) AS DOUBLE), NULL FROM b WHERE k <> {EMPTY_RUN} GROUP BY k""",
+
     "q43_hot_group_states": sql_with(SQL_FACTS) + f""", t AS (
   SELECT cost_id % {SLICES} AS slice, cost_id % {LATE_EVERY} = 0 AS ninth,
     CASE WHEN cost_id % {HOT_EVERY} = 0 THEN '{HOT}' ELSE cost_center END AS cost_center,

@@ -29,7 +29,7 @@ from ..operators.groups import (check_groups, check_within_groups, rows_in_group
                                 rows_outside_groups)
 from ..operators.merge import merge_partitions, merge_result
 from ..sources.records import cast_to
-from . import index
+from . import checkpoints, index
 from ..sources.tables import affected, marker_schema, read, read_with_folders, table_exists
 
 
@@ -152,6 +152,7 @@ def write_bronze(lake: Lake, ds: Dataset, df: DataFrame) -> None:
     if tuple(ds.partition_by) != (RUN_COL,):
         raise ValueError(f"{ds.rel()}: bronze must be partitioned by {RUN_COL}")
     stamped = stamp(df, lake.run.run_ts)
+    checkpoints.forget_from(lake, ds, lake.run.run_ts)
     if not table_exists(lake, ds):
         write(lake, ds, stamped, "overwrite")
         return
