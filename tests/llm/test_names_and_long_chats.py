@@ -58,7 +58,7 @@ def test_long_conversations_match_the_sql(spark, folder):
     rows = []
     for c in range(12):
         for t in range(120 if c < 2 else rng.randrange(1, 30)):
-            role = "system" if t == 5 and c == 3 else ("user", "assistant")[t % 2]
+            role = "system" if t == 5 and c == 0 else ("user", "assistant")[t % 2]
             if rng.random() > 0.04:
                 rows.append((c, t, role, None if rng.random() < 0.05 else f"text {rng.randrange(10**6)}"))
     df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
