@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage
+from ..session import release, stage
 
 #: White space that separates words: U+0020 and U+0009-U+000D (``bytes.split`` uses the same set).
 SPACE = " \\t-\\r"
@@ -65,17 +66,44 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+#: Folders staged within the :func:`scope` that is open, by application.
+_HELD: dict[str, list[str]] = {}
+#: Folders of the last stage, which its lazy result may still read.
+_LEFT: dict[str, list[str]] = {}
+
+
 def staged(df: DataFrame, label: str = "llm", compression: str | None = None) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back (lineage cut).
 
     Nothing reads the write's shuffle files again. Spark deletes them when the driver collects their owners, which
     with a large heap may take hours; the collection asked for here keeps the disk to what is in use.
     """
-    out = stage(df, label, compression)[0]
+    out, path = stage(df, label, compression)
+    held = _HELD.get(df.sparkSession.sparkContext.applicationId)
+    if held is not None:
+        held.append(path)
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
+@contextmanager
+def scope(spark: SparkSession, docs: DataFrame):
+    """One stage of a pipeline on ``docs``. The tables that the stage before staged are released first: its result has been
+    written, and ``docs`` reads that. A folder that ``docs`` still reads is kept."""
+    app = spark.sparkContext.applicationId
+    left = _LEFT.pop(app, [])
+    read = docs.inputFiles() if left else []
+    for path in left:
+        if not any(f"/{path.rsplit('/', 1)[-1]}/" in file for file in read):
+            release(path, spark)
+    _HELD[app] = []
+    try:
+        yield
+    finally:
+        # tables staged outside of a stage aren't the pipeline's
+        _LEFT[app] = _HELD.pop(app)
+
+
 def words_of(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+``; empty for NULL.
 

@@ -10,7 +10,7 @@ a Jaccard similarity of ``THRESHOLD`` or more. Lines without words stay. Matches
    Sets are numbered in the order of their first lines.
 3. **Prefix, length and positional filters.** Two sets of sizes ``n`` and ``m`` with ``n >= m`` match only if ``m >= t*n``, if
    they share a word among their first ``n - ceil(t*n) + 1`` (fewer for sets of like size), and if what is left around the
-   shared word is long enough. Parities of 64 word classes bound the number of different words from below.
+   shared word is long enough. Parities of ``CLASSES`` word classes bound the number of different words from below.
 4. **Verify.** The words of the remaining lines are read again (a fixed-size bitmap leaves most lines out of that
    shuffle; it doesn't decide) and the Jaccard similarity is computed.
 
@@ -40,6 +40,8 @@ CROWDED = 256
 LEADERS = 8
 #: Cells of the frequency table.
 CELLS = 1 << 18
+#: Word classes whose parities are carried with every prefix word; 31 bits are a non-negative int.
+CLASSES = 31
 #: Words of the bitmap; 64 lines share a word.
 _MAP_WORDS = 1 << 18
 
@@ -67,9 +69,9 @@ def _tokens(line: Column, levels: bytes) -> Column:
 
 
 def _parity(tokens: Column) -> Column:
-    """64 parity bits of a set: two sets differ in at least as many words as their parities in bits."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    """``CLASSES`` parity bits of a set: two sets differ in at least as many words as their parities in bits."""
+    return F.aggregate(tokens, F.lit(0), lambda a, v: a.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1), F.pmod(v, F.lit(CLASSES)).cast("int"))))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -150,7 +152,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is_crowded = F.col("met") > crowded
     # one job: pairs, and the rows of crowded words (they have a token, pairs don't)
     held = [F.lit(None).cast(kind).alias(name) for name, kind in
-            (("tok", "int"), ("n", "int"), ("i", "int"), ("bits", "long"), ("rank", "int"))]
+            (("tok", "int"), ("n", "int"), ("i", "int"), ("bits", "int"), ("rank", "int"))]
     found = staged(_pairs(rows, rows.where(~is_crowded | (F.col("rank") <= leaders)), t).distinct().select("x", "y", *held)
                    .union(rows.where(is_crowded).select("no", F.lit(None), "tok", "n", "i", "bits", "rank")), "lines-pairs")
     pairs = found.where("tok IS NULL").select("x", "y")
