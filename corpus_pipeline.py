@@ -2,7 +2,8 @@
 
 The filtering stages return the columns of ``documents`` (``n_chars`` follows the edited text); the last one
 adds token ids and the text decoded from them. Rows without words stay until the quality rules reject
-them; an empty table gives empty results at every stage.
+them; an empty table gives empty results at every stage. A stage releases the tables that the stage before it staged, as that
+one's result has been written by then; a folder that its input still reads is kept.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latecomer.llm import bpe, decontaminate, lines, quality, simhash
-from latecomer.llm.common import staged, table
+from latecomer.llm.common import scope, staged, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -21,27 +22,32 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.keep(docs)
+    with scope(spark, docs):
+        return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match earlier ones go."""
-    return _counted(lines.remove_later_lines(docs))
+    with scope(spark, docs):
+        return _counted(lines.remove_later_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
-    return simhash.keep_one(docs)
+    with scope(spark, docs):
+        return simhash.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark go, and documents that mostly consist of them."""
-    return _counted(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")))
+    with scope(spark, docs):
+        return _counted(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the text decoded from them."""
-    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), bpe.word_tokenizer())
+    with scope(spark, docs):
+        coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), bpe.word_tokenizer())
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
