@@ -22,8 +22,8 @@ diagonal: at most ``CHILDREN`` times the cells of the level above, and, as cells
 a line of equal distance through the places. Places at one spot count once.
 
 Ties break on the smaller place id. Points without coordinates (NULL or NaN) get no place (quirk
-X11 fixed). The choice is ``min(struct(chord², place_id))`` grouped by point: combined
-map-side, so only one row per point and task is shuffled.
+X11 fixed). The choice is the least chord² by point, then the smallest id at it: two aggregates of
+single values, hashed and combined map-side, so only one row per point and task is shuffled or held.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ MAX_PLACES_PER_CELL = 512      # crowding bound of the first level (clustered pl
 MIN_CELL = 1e-4                # about 0.6 km
 FACTOR, LEVELS = 4, 7          # pyramid: cells of the last level are about 0.8 km wide
 CHILDREN = FACTOR ** 3
+BROADCAST_LEVELS = 3           # the unit sphere meets fewer than 6 * 64 ** 2 of the 64 ** 3 cells of the third level
 
 
 def unit_vector(lat: str | Column, lon: str | Column, prefix: str) -> list[Column]:
@@ -103,28 +104,36 @@ def _squared(kind: str) -> Column:
 
 def descend(points: DataFrame, places: DataFrame, cells: DataFrame) -> DataFrame:
     """(pid, place_id, d2) of points (pid, qx, qy, qz) by the pyramid."""
-    point = ["pid", "qx", "qy", "qz"]
-    now = points.select(*point, F.lit(5.0).alias("bound"), *[F.lit(0).cast("bigint").alias(f"u{a}") for a in "xyz"])
+    point, up = ["pid", "qx", "qy", "qz"], ["ux", "uy", "uz"]
+    now = points.select(*point, F.lit(5.0).alias("bound"), *[F.lit(0).cast("bigint").alias(u) for u in up])
     for level in range(1, LEVELS + 1):
         children = cells.where(F.col("level") == level).select(
             *[F.floor(F.col(f"c{a}") / FACTOR).cast("bigint").alias(f"u{a}") for a in "xyz"], "cx", "cy", "cz",
             "lox", "loy", "loz", "hix", "hiy", "hiz", "rep")
-        if level == 1:
-            children = F.broadcast(children)     # FACTOR ** 3 rows at most
-        met = now.join(children, ["ux", "uy", "uz"]).select(
-            *point, "bound", "cx", "cy", "cz", _squared("box").alias("least"), _squared("rep").alias("reached"))
-        bound = F.min(F.least("bound", "reached")).over(Window.partitionBy("pid"))    # a point's cells: see the bound above
-        kept = met.withColumn("bound", bound).where(F.col("least") <= F.col("bound"))
+        if level <= BROADCAST_LEVELS:
+            children = F.broadcast(children)
+        # the bound first, combined map-side; only the children within it become rows of a shuffle or a file
+        reached = now.join(children, up).select("pid", F.least("bound", _squared("rep")).alias("reached"))
+        bounds = reached.groupBy("pid").agg(F.min("reached").alias("bound"))
+        kept = now.drop("bound").join(bounds, "pid").join(children, up).where(_squared("box") <= F.col("bound"))
         # written to the checkpoint dir: each level plans over its own input only, and survives lost executors
         now = fixed(kept.select(*point, "bound", *[F.col(f"c{a}").alias(f"u{a}") for a in "xyz"]))
     last = places.select("place_id", "px", "py", "pz", *[_axis(F.col(f"p{a}"), LEVELS).alias(f"u{a}") for a in "xyz"])
-    d2 = ((F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2 + (F.col("qz") - F.col("pz")) ** 2)
-    return _best(now.join(last, ["ux", "uy", "uz"]).select("pid", "place_id", d2.alias("d2")))
+    return _best(now, last, up)
+
 
+def _best(points: DataFrame, places: DataFrame, on: list[str], within: float | None = None) -> DataFrame:
+    """(pid, place_id, d2): the nearest of the places that share a point's cell, ``within`` that squared chord.
 
-def _best(candidates: DataFrame) -> DataFrame:
-    best = candidates.groupBy("pid").agg(F.min(F.struct("d2", "place_id")).alias("b"))
-    return best.select("pid", F.col("b.place_id").alias("place_id"), F.col("b.d2").alias("d2"))
+    The least distance comes first, then the smallest id at that distance: both are aggregates of single values, which
+    Spark hashes. One minimum of (distance, id) pairs would make it sort every candidate of a task before it combines them."""
+    d2 = ((F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2 + (F.col("qz") - F.col("pz")) ** 2)
+    least = points.join(places, on).select("pid", d2.alias("d2"))
+    if within is not None:
+        least = least.where(F.col("d2") <= F.lit(within))
+    least = least.groupBy("pid").agg(F.min("d2").alias("d2"))
+    at = points.join(least, "pid").join(places, on).where(d2 == F.col("d2"))
+    return at.groupBy("pid", "d2").agg(F.min("place_id").alias("place_id")).select("pid", "place_id", "d2")
 
 
 def _offsets() -> Column:
@@ -135,18 +144,17 @@ def _offsets() -> Column:
 
 def _level(points: DataFrame, places: DataFrame, h: float) -> DataFrame:
     """Points resolved at cube side ``h``: (pid, place_id, d2)."""
-    pts = points.select("pid", "qx", "qy", "qz",
-                        _cell(F.col("qx"), h).alias("cx"), _cell(F.col("qy"), h).alias("cy"),
-                        _cell(F.col("qz"), h).alias("cz"))
-    spread = (places.select("place_id", "px", "py", "pz", F.explode(_offsets()).alias("o"))
-              .select("place_id", "px", "py", "pz",
-                      (_cell(F.col("px"), h) + F.col("o.dx")).alias("cx"),
-                      (_cell(F.col("py"), h) + F.col("o.dy")).alias("cy"),
-                      (_cell(F.col("pz"), h) + F.col("o.dz")).alias("cz")))
-    d2 = ((F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2
-          + (F.col("qz") - F.col("pz")) ** 2)
-    cand = pts.join(spread, ["cx", "cy", "cz"]).select("pid", "place_id", d2.alias("d2"))
-    return _best(cand.where(F.col("d2") <= F.lit(h * h)))
+    # by point: a small file of many points is one scan task, and the aggregates need no further shuffle after a broadcast
+    pts = points.repartition("pid").select("pid", "qx", "qy", "qz",
+                                           _cell(F.col("qx"), h).alias("cx"), _cell(F.col("qy"), h).alias("cy"),
+                                           _cell(F.col("qz"), h).alias("cz"))
+    # written: 27 rows a place are broadcast by their own size, not by that of the places
+    spread = fixed(places.select("place_id", "px", "py", "pz", F.explode(_offsets()).alias("o"))
+                   .select("place_id", "px", "py", "pz",
+                           (_cell(F.col("px"), h) + F.col("o.dx")).alias("cx"),
+                           (_cell(F.col("py"), h) + F.col("o.dy")).alias("cy"),
+                           (_cell(F.col("pz"), h) + F.col("o.dz")).alias("cz")))
+    return _best(pts, spread, ["cx", "cy", "cz"], h * h)
 
 
 def with_nearest(points: DataFrame, places: DataFrame, place_id: str, take: dict[str, str],
