@@ -43,17 +43,60 @@ def _values(hist: Dataset) -> list[str]:
 
 def intervals(seen: DataFrame, keys, values) -> DataFrame:
     """Versions of deliveries (keys, values, ``is_deleted``, run): neighbours that agree are one version."""
+    return _merged(seen.withColumn("seen", F.array(RUN_COL)), keys, values)
+
+
+def _merged(spans: DataFrame, keys, values) -> DataFrame:
+    """Versions of spans (keys, values, ``is_deleted``, ``seen``: the runs that delivered them, each run once a key).
+
+    A key's deliveries are put in order and cut into versions within its own row: one aggregate, no window over the keys."""
     keys, values = list(keys), list(values)
-    by_run = Window.partitionBy(*keys).orderBy(RUN_COL)
-    now = F.struct(F.col("is_deleted"), *values)
+    now = F.struct(F.col("is_deleted"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(values)])
+    held = spans.groupBy(*keys).agg(F.collect_list(F.struct(F.col("seen").alias("runs"), now.alias("now"))).alias("_spans"))
+    by_run = held.select(*keys, F.array_sort(F.flatten(F.transform("_spans", lambda s: F.transform(
+        s["runs"], lambda r: F.struct(r.alias("run"), s["now"].alias("now")))))).alias("_all"))
     # a struct is NULL-safe as a whole: equal when all its fields are, NULLs included
-    opens = F.coalesce(~now.eqNullSafe(F.lag(now).over(by_run)), F.lit(True))
-    numbered = seen.withColumn("_v", F.sum(opens.cast("int")).over(by_run))
-    merged = numbered.groupBy(*keys, "_v").agg(
-        *[F.first(c).alias(c) for c in values], F.first("is_deleted").alias("is_deleted"),
-        F.min(RUN_COL).alias("valid_from"), F.array_sort(F.collect_list(RUN_COL)).alias("seen"))     # one a run at most
-    return merged.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("_v"))).select(
-        *keys, *values, "valid_from", "valid_to", "is_deleted", "seen")
+    places = by_run.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: (i == 0) | ~F.get(
+        "_all", i)["now"].eqNullSafe(F.get("_all", i - 1)["now"])))
+
+    def version(start, j):
+        after = F.get("_starts", j + 1)
+        runs = F.transform(F.slice("_all", start + 1, F.coalesce(after, F.size("_all")) - start), lambda d: d["run"])
+        return F.struct(F.get("_all", start)["now"].alias("_now"), F.get("_all", after)["run"].alias("valid_to"),
+                        F.filter(runs, lambda r: r.isNotNull()).alias("seen"))
+
+    rows = places.select(*keys, F.inline(F.transform("_starts", version)))
+    return rows.select(*keys, *[F.col(f"_now._{i}").alias(c) for i, c in enumerate(values)], F.get("seen", F.lit(0)).alias(
+        "valid_from"), "valid_to", F.col("_now.is_deleted").alias("is_deleted"), "seen")
+
+
+def _followed(hist: Dataset, stored: DataFrame, events: DataFrame, values, run: str) -> DataFrame:
+    """The touched keys' versions after ``events`` (one a key) of a run later than all that the history has seen.
+
+    Such a run only meets the version that holds: it confirms it, or closes it and opens its own. One join, no group of rows."""
+    keys, fields = list(hist.group_by), [*values, "is_deleted"]
+    old = stored.select(*[F.col(k).alias(f"_ok{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(fields)],
+                        F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), F.col("seen").alias("_runs"), F.col(
+                            hist.partition_by[0]).alias("_ob"))
+    new = events.select(*keys, *[F.col(c).alias(f"_n{i}") for i, c in enumerate(fields)], hist.bucket().alias("_nb"))
+    on = F.col("_ob") == F.col("_nb")                # prunes the folders
+    for i, k in enumerate(keys):
+        on = on & F.col(f"_ok{i}").eqNullSafe(F.col(k))
+    same = F.lit(True)
+    for i in range(len(fields)):
+        same = same & F.col(f"_o{i}").eqNullSafe(F.col(f"_n{i}"))
+    holds = F.col("_to").isNull()
+    # rows of the result: the stored version (0), the run's own (1)
+    sides = (F.when(F.col("_from").isNull(), F.array(F.lit(1))).when(~holds | same, F.array(F.lit(0)))
+             .otherwise(F.array(F.lit(0), F.lit(1))))
+    rows = old.join(new, on, "right").withColumn("_same", same).withColumn("_side", F.explode(sides))
+    own = F.col("_side") == 1
+    return rows.select(
+        *keys, *[F.when(own, F.col(f"_n{i}")).otherwise(F.col(f"_o{i}")).alias(c) for i, c in enumerate(fields)],
+        F.when(own, F.lit(run)).otherwise(F.col("_from")).alias("valid_from"),
+        F.when(~own & holds & ~F.col("_same"), F.lit(run)).when(~own, F.col("_to")).alias("valid_to"),
+        F.when(own, F.array(F.lit(run))).when(holds & F.col("_same"), F.concat("_runs", F.array(F.lit(run)))).otherwise(
+            F.col("_runs")).alias("seen"))
 
 
 def apply_run(lake: Lake, hist: Dataset, batch: DataFrame, mode: str = INCREMENTAL, order_cols=(),
@@ -71,44 +114,53 @@ def apply_run(lake: Lake, hist: Dataset, batch: DataFrame, mode: str = INCREMENT
 
     events, staged = stage(rows, "history")
     paths = [staged]
+    exists = table_exists(lake, hist)
     try:
         gone = None if deleted_keys is None else deleted_keys.select(*keys).distinct()
-        if mode == SNAPSHOT and table_exists(lake, hist):
+        if mode == SNAPSHOT and exists:
             # what held just before this run (an earlier attempt of this run aside): versions seen before it, ended by it or later
             before = read(lake, hist).where(F.exists("seen", lambda r: r < run)).where(
                 ~F.col("is_deleted") & (F.col("valid_to").isNull() | (F.col("valid_to") >= run))).select(*keys).distinct()
             gone = before if gone is None else gone.unionByName(before).distinct()
+        later = min((r for r, _ in commits(lake, hist) if r > run), default=None) if mode == SNAPSHOT and exists else None
+        fill = None
+        if later is not None:
+            # the next run is already in: what it delivered or deleted is on record, what it lacked of this batch isn't
+            known = read(lake, hist).where(F.array_contains("seen", later)).select(*keys)
+            fill, staged = stage(absent(events.select(*keys).join(known, _same(events, known, keys), "left_anti"), later),
+                                 "history")
+            paths.append(staged)
         if gone is not None:
             # null-safe: a NULL key is a key of the history like any other
             gone = gone.join(events.select(*keys, F.lit(True).alias("_here")), _same(gone, events, keys), "left_anti")
-            events = events.unionByName(absent(gone, run))
-        if mode == SNAPSHOT:
-            later = min((r for r, _ in commits(lake, hist) if r > run), default=None)
-            if later is not None and table_exists(lake, hist):
-                # the next run is already in: what it delivered or deleted is on record, what it lacked of this batch isn't
-                known = read(lake, hist).where(F.array_contains("seen", later)).select(*keys)
-                lacking = rows.select(*keys).join(known, _same(rows, known, keys), "left_anti")
-                events = events.unionByName(absent(lacking, later))
-        events, staged = stage(events, "history")
-        paths.append(staged)
-        touched = events.select(*keys)
-        if table_exists(lake, hist):
+            gone, staged = stage(absent(gone, run), "history")
+            paths.append(staged)
+            events = events.unionByName(gone)
+        touched = events.select(*keys)                   # one row a key: a deletion names none that is delivered
+        follows = later is None and (not exists or read(lake, hist).where(F.exists("seen", lambda r: r >= run)).isEmpty())
+        if not follows:
             # keys of an earlier attempt of this run lose what it said of them
-            touched = touched.unionByName(read(lake, hist).where(F.array_contains("seen", run)).select(*keys))
-        touched, staged = stage(touched.distinct(), "history")
-        paths.append(staged)
+            again = read(lake, hist).where(F.array_contains("seen", run)).select(*keys)
+            touched, staged = stage(touched.unionByName(again).distinct(), "history")
+            paths.append(staged)
         if touched.isEmpty():
             record_affected(lake, hist)
             return
-        if table_exists(lake, hist):
-            old = (read_changed_groups(lake, hist, touched).select(*keys, *values, "is_deleted", F.explode("seen").alias(RUN_COL))
-                   .where(F.col(RUN_COL) != F.lit(run)))
-            known = old.select(*keys, RUN_COL)
-            # a run's own deliveries replace those of its earlier attempt; absences later than it only fill gaps
-            fill = events.where(F.col(RUN_COL) != F.lit(run))
-            fill = fill.join(known, _same(fill, known, [*keys, RUN_COL]), "left_anti")
-            events = old.unionByName(events.where(F.col(RUN_COL) == F.lit(run))).unionByName(fill)
-        replace_groups(lake, hist, intervals(events, keys, values), touched, keys, groups_checked=True)
+        if not exists:
+            fresh = events.select(*keys, *values, F.lit(run).alias("valid_from"), F.lit(None).cast("string").alias("valid_to"),
+                                  "is_deleted", F.array(F.lit(run)).alias("seen"))
+        elif follows:
+            fresh = _followed(hist, read(lake, hist), events, values, run)
+        else:
+            # an earlier attempt's deliveries are replaced by this one's
+            old = (read_changed_groups(lake, hist, touched).select(*keys, *values, "is_deleted", "seen")
+                   .withColumn("seen", F.array_except("seen", F.array(F.lit(run)))).where(F.size("seen") > 0))
+            if fill is not None:
+                # absences later than the run only fill gaps
+                known = old.select(*keys, F.explode("seen").alias(RUN_COL))
+                events = events.unionByName(fill.join(known, _same(fill, known, [*keys, RUN_COL]), "left_anti"))
+            fresh = _merged(old.unionByName(events.withColumn("seen", F.array(RUN_COL)).drop(RUN_COL)), keys, values)
+        replace_groups(lake, hist, fresh, touched, keys, groups_checked=True)
     finally:
         for path in paths:
             release(path, lake.spark)
