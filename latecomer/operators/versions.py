@@ -4,15 +4,16 @@ The stored table holds one row a version: key, values, ``valid_from`` (the run t
 it, NULL while it holds) and ``seen`` (every run that delivered these values while they held). A key's absence is a version
 too (``is_deleted``, values NULL); :func:`versions` leaves those out.
 
-A run touches the keys it delivers or deletes and no others. Their versions are opened up into what was seen in which run, the run's own
-deliveries are added (or replace those of an earlier attempt), and neighbours with equal values are merged again. So
+A run touches the keys it delivers or deletes and no others. One later than all runs seen confirms or closes the version that holds.
+Otherwise versions are opened up into what was seen in which run, the run's own deliveries are added (or replace those of an
+earlier attempt), and neighbours with equal values are merged again. So
 
 * a late run inside an old version splits it, also where a later run had confirmed the same values;
 * a deletion closes the version that holds, a rebirth opens a new one;
 * a delivery of the values that already hold opens none.
 
 A late snapshot deletes the keys that its predecessor had and it hasn't; keys it brings that the run after it, already taken in, didn't
-have are deleted there. The table is bucketed by key, so a run rewrites the folders of its keys; a window partition holds
+have are deleted there. The table is bucketed by key, so a run rewrites the folders of its keys; a late run's aggregate holds
 one key's deliveries, at most one a run.
 """
 
