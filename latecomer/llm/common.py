@@ -78,12 +78,17 @@ def staged(df: DataFrame, label: str = "llm", compression: str | None = None) ->
     Nothing reads the write's shuffle files again. Spark deletes them when the driver collects their owners, which
     with a large heap may take hours; the collection asked for here keeps the disk to what is in use.
     """
+    return staged_at(df, label, compression)[0]
+
+
+def staged_at(df: DataFrame, label: str = "llm", compression: str | None = None) -> tuple[DataFrame, str]:
+    """:func:`staged` with the folder, for a caller that releases it before the end of its stage."""
     out, path = stage(df, label, compression)
     held = _HELD.get(df.sparkSession.sparkContext.applicationId)
     if held is not None:
         held.append(path)
     df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return out, path
 
 
 @contextmanager

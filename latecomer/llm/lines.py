@@ -12,7 +12,8 @@ a Jaccard similarity of ``THRESHOLD`` or more. Lines without words stay. Matches
    they share a word among their first ``n - ceil(t*n) + 1`` (fewer for sets of like size), and if what is left around the
    shared word is long enough. Parities of ``CLASSES`` word classes bound the number of different words from below.
 4. **Verify.** The words of the remaining lines are read again (a fixed-size bitmap leaves most lines out of that
-   shuffle; it doesn't decide) and the Jaccard similarity is computed.
+   shuffle; it doesn't decide) and the Jaccard similarity is computed: first of each set's likeliest pair, then of all other
+   pairs of the sets that it didn't settle.
 
 Crowded prefix words (more than ``CROWDED`` sets): their sets are first compared with the ``LEADERS`` earliest
 sets of the word. A set with a match is settled (one earlier match is enough); the others are compared with all earlier
@@ -28,20 +29,24 @@ gets the same lines removed); NULL ids come first; an empty table gives an empty
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, positional, staged, table, text_key, words_of
+from ..session import release
+from .common import SPACE, positional, staged, staged_at, table, text_key, words_of
 
 THRESHOLD = 0.8
 CROWDED = 256
 LEADERS = 8
+#: The prefix words are compared in so many parts by their hash, one after the other: each part's shuffle is deleted before the next.
+PASSES = 4
 #: Cells of the frequency table.
 CELLS = 1 << 18
-#: Word classes whose parities are carried with every prefix word; 31 bits are a non-negative int.
-CLASSES = 31
+#: Word classes whose parities are carried with every prefix word: the bits of a long.
+CLASSES = 64
 #: Words of the bitmap; 64 lines share a word.
 _MAP_WORDS = 1 << 18
 
@@ -70,8 +75,8 @@ def _tokens(line: Column, levels: bytes) -> Column:
 
 def _parity(tokens: Column) -> Column:
     """``CLASSES`` parity bits of a set: two sets differ in at least as many words as their parities in bits."""
-    return F.aggregate(tokens, F.lit(0), lambda a, v: a.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1), F.pmod(v, F.lit(CLASSES)).cast("int"))))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(v, F.lit(CLASSES)).cast("int"))))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,7 +98,8 @@ def _prefix(n: Column, t: float) -> Column:
 
 
 def _pairs(probe: DataFrame, index: DataFrame, t: float) -> DataFrame:
-    """(x, y) rows, y earlier, that pass the length, positional and parity filters (a row for each shared word)."""
+    """(x, y) rows, y earlier, that pass the length, positional and parity filters (a row for each shared word), and the
+    parities in which they differ."""
     x = probe.select("tok", F.col("no").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"), F.col("bits").alias("xb"))
     y = index.select("tok", F.col("no").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("bits").alias("yb"))
     xn, yn, need = F.col("xn"), F.col("yn"), _overlap(F.col("xn"), F.col("yn"), t)
@@ -102,28 +108,58 @@ def _pairs(probe: DataFrame, index: DataFrame, t: float) -> DataFrame:
     bound = F.least("xi", "yi") + F.least(xn - F.col("xi"), yn - F.col("yi"))
     differ = F.bit_count(F.col("xb").bitwiseXOR(F.col("yb")))
     return x.join(y, (x.tok == y.tok) & (F.col("y") < F.col("x")) & (F.least(xn, yn) >= F.lit(t) * F.greatest(xn, yn))
-                  & in_prefix & (bound >= need) & (differ <= xn + yn - 2 * need)).select("x", "y")
+                  & in_prefix & (bound >= need) & (differ <= xn + yn - 2 * need)).select("x", "y", differ.alias("differ"))
+
+
+def _met(words: DataFrame, t: float, crowded: int, leaders: int) -> DataFrame:
+    """The pairs of these prefix words' sets, and the rows of crowded words (they have a token, pairs don't)."""
+    word = Window.partitionBy("tok")
+    rows = (words.withColumn("met", F.count("*").over(word)).withColumn("rank", F.row_number().over(word.orderBy("no")))
+            .where("met > 1"))
+    is_crowded = F.col("met") > crowded
+    held = [F.lit(None).cast(kind).alias(name) for name, kind in
+            (("tok", "int"), ("n", "int"), ("i", "int"), ("bits", "long"), ("rank", "int"))]
+    # a word's first set has no earlier one
+    pairs = _pairs(rows.where("rank > 1"), rows.where(~is_crowded | (F.col("rank") <= leaders)), t).distinct()
+    return staged(pairs.select("x", "y", "differ", *held).union(rows.where(is_crowded).select(
+        "no", F.lit(None), F.lit(None), "tok", "n", "i", "bits", "rank")), "lines-found")
 
 
 def _verify(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, levels: bytes,
             t: float) -> DataFrame:
     """The numbers of the sets x that match an earlier set y."""
-    wanted = staged(pairs.select(F.col("x").alias("no")).union(pairs.select(F.col("y").alias("no"))).distinct()
-                    .join(sets, "no").select("no", "id", "key", "line_no"), "lines-wanted")
+    spark = docs.sparkSession
+    wanted, wanted_path = staged_at(pairs.select(F.col("x").alias("no")).union(pairs.select(F.col("y").alias("no"))).distinct()
+                                    .join(sets, "no").select("no", "id", "key", "line_no"), "lines-wanted")
     place = F.xxhash64("key", "line_no")
     cell, bit = F.pmod(F.shiftright(place, 6), F.lit(_MAP_WORDS)), F.pmod(place, F.lit(64)).cast("int")
-    bitmap = staged(wanted.groupBy(cell.alias("cell")).agg(F.bit_or(F.expr(
+    bitmap, bitmap_path = staged_at(wanted.groupBy(cell.alias("cell")).agg(F.bit_or(F.expr(
         "shiftleft(1L, cast(pmod(xxhash64(key, line_no), 64) as int))")).alias("bits")), "lines-bitmap")
     near = (_lines(docs, id_col, text_col).withColumn("cell", cell).withColumn("bit", bit)
             .join(F.broadcast(bitmap), "cell")              # 2**18 rows at most
             .where(F.expr("getbit(bits, bit) = 1")).select("id", "key", "line_no", "line"))
     found = near.join(wanted, near.id.eqNullSafe(wanted.id) & (near.key == wanted.key)
                       & (near.line_no == wanted.line_no)).select("no", _tokens(F.col("line"), levels).alias("tokens"))
-    tokens = staged(found, "lines-tokens")
-    both = (pairs.join(tokens.select(F.col("no").alias("x"), F.col("tokens").alias("xt")), "x")
-            .join(tokens.select(F.col("no").alias("y"), F.col("tokens").alias("yt")), "y"))
-    shared = F.size(F.array_intersect("xt", "yt"))
-    return both.where(shared >= F.lit(t) * (F.size("xt") + F.size("yt") - shared) - F.lit(1e-9)).select("x").distinct()
+    tokens, tokens_path = staged_at(found, "lines-tokens")
+
+    def matched(asked):
+        both = (asked.join(tokens.select(F.col("no").alias("x"), F.col("tokens").alias("xt")), "x")
+                .join(tokens.select(F.col("no").alias("y"), F.col("tokens").alias("yt")), "y"))
+        shared = F.size(F.array_intersect("xt", "yt"))
+        return staged(both.where(shared >= F.lit(t) * (F.size("xt") + F.size("yt") - shared) - F.lit(1e-9))
+                      .select("x").distinct(), "lines-removed")
+
+    # one match is enough: most sets have one in their likeliest pair, and the words of their other pairs aren't sent
+    likeliest, likeliest_path = staged_at(pairs.groupBy("x").agg(
+        F.min(F.struct("differ", "y")).getField("y").alias("y")), "lines-likeliest")
+    removed = matched(likeliest)
+    left, left_path = staged_at(pairs.select("x", "y").join(removed, "x", "left_anti").join(likeliest, ["x", "y"], "left_anti"),
+                                "lines-left")
+    if not left.isEmpty():
+        removed = removed.union(matched(left))
+    for path in (wanted_path, bitmap_path, tokens_path, likeliest_path, left_path):
+        release(path, spark)
+    return removed
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -137,32 +173,25 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                 _parity(F.col("tokens")).alias("bits"), F.transform(
         F.slice(F.col("tokens"), F.lit(1), _prefix(F.col("n"), t)), lambda v: F.hash(v)).alias("prefix")), "lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = lines.groupBy("sig").agg(F.min(F.struct("id", "key", "line_no")).alias("at"))
-    ordered = firsts.select("sig", "at.*").repartitionByRange(parts, "id", "key", "line_no").sortWithinPartitions(
-        "id", "key", "line_no")
+    # a set's first line, and what follows from the set itself
+    firsts = lines.groupBy("sig").agg(F.min(F.struct("id", "key", "line_no", "n", "bits", "prefix")).alias("at"))
+    firsts, firsts_path = staged_at(firsts.select("sig", "at.*"), "lines-firsts")
+    ordered = firsts.repartitionByRange(parts, "id", "key", "line_no").sortWithinPartitions("id", "key", "line_no")
     # ascending over the range partitions: the order of first lines
     sets = staged(ordered.withColumn("no", F.monotonically_increasing_id()), "lines-sets")
-    f = sets.select("sig", F.col("id").alias("f_id"), F.col("key").alias("f_key"), F.col("line_no").alias("f_line"), "no")
-    first = lines.join(f, "sig").where(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key"))
-                                       & (F.col("line_no") == F.col("f_line")))
-    rows = first.select("no", "n", "bits", F.posexplode("prefix").alias("i", "tok"))
-    word = Window.partitionBy("tok")
-    rows = (rows.withColumn("met", F.count("*").over(word)).withColumn("rank", F.row_number().over(word.orderBy("no")))
-            .where("met > 1"))
-    is_crowded = F.col("met") > crowded
-    # one job: pairs, and the rows of crowded words (they have a token, pairs don't)
-    held = [F.lit(None).cast(kind).alias(name) for name, kind in
-            (("tok", "int"), ("n", "int"), ("i", "int"), ("bits", "int"), ("rank", "int"))]
-    found = staged(_pairs(rows, rows.where(~is_crowded | (F.col("rank") <= leaders)), t).distinct().select("x", "y", *held)
-                   .union(rows.where(is_crowded).select("no", F.lit(None), "tok", "n", "i", "bits", "rank")), "lines-pairs")
-    pairs = found.where("tok IS NULL").select("x", "y")
-    removed = staged(_verify(docs, id_col, text_col, sets, pairs, levels, t), "lines-removed")
+    release(firsts_path, docs.sparkSession)
+    words = sets.select("no", "n", "bits", F.posexplode("prefix").alias("i", "tok"))
+    found = [_met(words.where(F.pmod("tok", F.lit(PASSES)) == k), t, crowded, leaders) for k in range(PASSES)]
+    found = reduce(DataFrame.union, found)
+    pairs = staged(found.where("tok IS NULL").select("x", "y", "differ").distinct(), "lines-pairs")
+    removed = _verify(docs, id_col, text_col, sets, pairs, levels, t)
     crowd = found.where("tok IS NOT NULL").withColumnRenamed("x", "no")
     unsettled = staged(crowd.where(F.col("rank") > leaders).join(removed.withColumnRenamed("x", "no"), "no", "left_anti"),
                        "lines-unsettled")
     if not unsettled.isEmpty():
-        rest = staged(_pairs(unsettled, crowd, t).distinct().join(pairs, ["x", "y"], "left_anti"), "lines-rest")
+        rest = staged(_pairs(unsettled, crowd, t).distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "lines-rest")
         removed = removed.union(_verify(docs, id_col, text_col, sets, rest, levels, t)).distinct()
+    f = sets.select("sig", F.col("id").alias("f_id"), F.col("key").alias("f_key"), F.col("line_no").alias("f_line"), "no")
     return _by_document(lines, f, removed)
 
 

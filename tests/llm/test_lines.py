@@ -83,3 +83,31 @@ def test_group_of_near_copies_isnt_expanded(spark, frame):
         docs.append((i, " ".join(words)))
     got = {(r.id, k) for r in L.later_matches(frame(docs)).collect() for k in r.removed}
     assert got == brute_removed(docs) == {(i, 0) for i in range(1, 300)}
+
+
+def test_words_of_a_prefix_are_compared_in_parts(spark, frame, monkeypatch):
+    """Each part holds words of its own, so only a part of the shuffle lies on disk at a time; together they are all words."""
+    parts, pairs = [], L._pairs
+
+    def spy(probe, index, t):
+        parts.append({r.tok for r in probe.select("tok").distinct().collect()})
+        return pairs(probe, index, t)
+
+    monkeypatch.setattr(L, "_pairs", spy)
+    docs = _random_docs(3, 60)
+    got = {(r.id, k) for r in L.later_matches(frame(docs)).collect() for k in r.removed}
+    assert len(parts) == L.PASSES and all(parts) and sum(map(len, parts)) == len(set().union(*parts))
+    assert got == brute_removed(docs)
+
+
+def test_other_pairs_of_a_set_whose_likeliest_fails(spark, frame, monkeypatch):
+    """A pair that differs in fewest parities needn't match; the set's other pairs are then compared."""
+    pairs = L._pairs
+
+    def worst_first(probe, index, t):
+        return pairs(probe, index, t).withColumn("differ", -L.F.col("differ"))
+
+    monkeypatch.setattr(L, "_pairs", worst_first)
+    docs = _random_docs(29, 80)
+    got = {(r.id, k) for r in L.later_matches(frame(docs)).collect() for k in r.removed}
+    assert got == brute_removed(docs)
