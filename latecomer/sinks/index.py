@@ -41,10 +41,11 @@ def _flag(lake: Lake, ds: Dataset) -> str:
     return f"{lake.root.rstrip('/')}/_index_behind/{ds.pipeline}/{ds.layer}_{ds.table}"
 
 
-def _rows(ds: Dataset, rows: DataFrame) -> DataFrame:
+def _rows(ds: Dataset, rows: DataFrame, unique: bool = False) -> DataFrame:
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ds.key])
     cols = [c for c in index_of(ds).columns() if c != KEY_BUCKET]
-    return rows.where(known).select(*cols).distinct().withColumn(KEY_BUCKET, _bucket(ds))
+    rows = rows.where(known).select(*cols)
+    return (rows if unique else rows.distinct()).withColumn(KEY_BUCKET, _bucket(ds))
 
 
 def behind(lake: Lake, ds: Dataset) -> None:
@@ -53,10 +54,10 @@ def behind(lake: Lake, ds: Dataset) -> None:
         fs.mkdirs(lake.spark, _flag(lake, ds))
 
 
-def rebuild(lake: Lake, ds: Dataset) -> None:
-    """Write the whole index from the table."""
+def rebuild(lake: Lake, ds: Dataset, unique: bool = False) -> None:
+    """Write the whole index from the table (``unique``: which is known to hold one row a key)."""
     from .tables import write
-    write(lake, index_of(ds), _rows(ds, read(lake, ds)), "overwrite")
+    write(lake, index_of(ds), _rows(ds, read(lake, ds), unique), "overwrite")
     fs.delete(lake.spark, _flag(lake, ds))
 
 

@@ -165,7 +165,7 @@ def write_bronze(lake: Lake, ds: Dataset, df: DataFrame) -> None:
 
 # --------------------------------------------------------------------------- change channel
 
-def _write_marker(lake: Lake, ds: Dataset, level: str, rows: DataFrame) -> None:
+def _write_marker(lake: Lake, ds: Dataset, level: str, rows: DataFrame, unique: bool = False) -> None:
     schema = marker_schema(ds, level)
     cols = [f.name for f in schema.fields if f.name != RUN_COL]
     path = lake.marker_path(ds, level)
@@ -173,10 +173,12 @@ def _write_marker(lake: Lake, ds: Dataset, level: str, rows: DataFrame) -> None:
     fresh = rows.select(*cols)
     if fs.exists(lake.spark, path):
         # a retried run keeps what its first attempt recorded (quirk X6)
-        fresh = fresh.unionByName(affected(lake, ds, level, run))
+        earlier = affected(lake, ds, level, run)
+        if not unique or not earlier.isEmpty():
+            fresh, unique = fresh.unionByName(earlier), False
     # the distinct's shuffle already spreads distinct tuples evenly (AQE sizes its output),
     # so the files come straight from it, with no second shuffle
-    out = fresh.distinct().withColumn(RUN_COL, F.lit(run)).select(*[f.name for f in schema.fields])
+    out = (fresh if unique else fresh.distinct()).withColumn(RUN_COL, F.lit(run)).select(*[f.name for f in schema.fields])
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(RUN_COL).parquet(path))
     _refresh(lake, path)
@@ -184,9 +186,10 @@ def _write_marker(lake: Lake, ds: Dataset, level: str, rows: DataFrame) -> None:
 
 def record_affected(lake: Lake, ds: Dataset, keys: DataFrame | None = None,
                     partitions: DataFrame | None = None, deleted: DataFrame | None = None,
-                    groups: DataFrame | None = None) -> None:
+                    groups: DataFrame | None = None, unique_keys: bool = False) -> None:
     """K7: distinct changed keys / affected partitions / deleted keys / exact groups of this run,
-    overwritten per run; nothing is written for an empty set (quirk X13)."""
+    overwritten per run; nothing is written for an empty set (quirk X13). ``unique_keys``: ``keys`` holds no key twice, so
+    it is written as it comes."""
     for level, rows in (("keys", keys), ("partitions", partitions), ("deleted_keys", deleted), ("groups", groups)):
         if rows is None:
             continue
@@ -196,7 +199,7 @@ def record_affected(lake: Lake, ds: Dataset, keys: DataFrame | None = None,
             continue
         # an empty set writes no partition: the marker stays absent (or, on a retry, keeps
         # what the earlier attempt recorded); no separate emptiness job is needed
-        _write_marker(lake, ds, level, rows)
+        _write_marker(lake, ds, level, rows, unique_keys and level == "keys")
     _write_commit(lake, ds)
 
 
@@ -236,18 +239,25 @@ def upsert(lake: Lake, ds: Dataset, batch: DataFrame, mode: str = INCREMENTAL,
         # nothing to read before the write: no staging; the change set comes from the table
         write(lake, ds, _counted(latest, written), "overwrite")
         made = read(lake, ds)
+        # one row a key; a key read back from folder names counts as unknown
+        unique = not set(keys) & set(pcols)
         record_affected(lake, ds, keys=made.select(*keys), partitions=made.select(*pcols) if pcols else None,
-                        groups=made.select(*ds.group_by) if ds.group_by else None)
+                        groups=made.select(*ds.group_by) if ds.group_by else None, unique_keys=unique)
         if ds.index_buckets:
-            index.rebuild(lake, ds)
+            index.rebuild(lake, ds, unique)
         return
     # Fixed once, in the shared checkpoint dir: the batch may be derived from the very table
     # this upsert rewrites, and a lost executor must not recompute it from the new files.
     batch, staged = stage(latest, "batch")
+    gone = None
     try:
+        if delete_keys is not None:
+            # read by every step below
+            delete_keys, gone = stage(delete_keys.select(*keys).distinct(), "delete")
         _upsert_fixed(lake, ds, batch, keys, pcols, mode, only_changed, delete_keys, written)
     finally:
         release(staged, lake.spark)
+        release(gone, lake.spark)
 
 
 def _counted(df: DataFrame, written: Observation | None) -> DataFrame:
@@ -272,24 +282,27 @@ def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode:
     deleted = anti_by_key(tk, batch_keys, keys).select(*keys) if mode == SNAPSHOT else None
     if dropped is not None:
         deleted = dropped.select(*keys) if deleted is None else deleted.unionByName(dropped.select(*keys))
-    parts = groups = staged = None
+    parts = groups = staged = post = None
     if grain:
         if mode == SNAPSHOT and only_changed:
             parts = changed_partitions_only(target, batch, keys, grain)
         elif mode == SNAPSHOT:
             # every target row is either matched or deleted: all its partitions are affected
             parts = tk.select(*grain).unionByName(batch.select(*grain)).distinct()
-        else:
+        elif ds.group_by:
             parts = affected_partitions(tk, batch, keys, grain, mode)
+        else:
+            parts, post = _folders_affected(tk, batch, keys, pcols)
         if dropped is not None:
             parts = parts.unionByName(dropped.select(*grain)).distinct()
     if ds.group_by:
         groups, staged = stage(parts, "groups")
         parts = groups.select(ds.bucket()).distinct()                    # the folder follows from the group
     try:
-        record_affected(lake, ds, keys=batch_keys, partitions=parts, deleted=deleted, groups=groups)
+        record_affected(lake, ds, keys=batch_keys, partitions=parts, deleted=deleted, groups=groups, unique_keys=True)
     finally:
         release(staged, lake.spark)
+        release(post, lake.spark)
     index.behind(lake, ds)
     _apply_upsert(lake, ds, target, batch, keys, pcols, mode, only_changed, delete_keys, written)
     if ds.index_buckets:
@@ -300,6 +313,17 @@ def _upsert_fixed(lake: Lake, ds: Dataset, batch: DataFrame, keys, pcols, mode:
             index.follow(lake, ds, kept, delete_keys)
 
 
+def _folders_affected(tk: DataFrame, batch: DataFrame, keys, pcols) -> tuple[DataFrame, str]:
+    """The partitions of an incremental upsert (see :func:`affected_partitions`) and the folder that holds the batch's own.
+
+    Matched rows in a partition that the batch writes anyway add none, so only the rows of the other partitions are joined by
+    key; a batch that reaches every partition needs no join."""
+    post, path = stage(batch.select(*pcols).distinct(), "post")
+    if rows_outside_groups(tk.select(*pcols), post, pcols).isEmpty():
+        return post, path
+    return affected_partitions(rows_outside_groups(tk, post, pcols), batch, keys, pcols), path
+
+
 def _apply_upsert(lake: Lake, ds: Dataset, target: DataFrame, batch: DataFrame, keys, pcols, mode: str, only_changed: bool,
                   delete_keys: DataFrame | None, written: Observation | None) -> None:
     """Rewrite the partitions that the recorded change set names."""

@@ -29,7 +29,8 @@ def table_exists(lake: Lake, ds: Dataset) -> bool:
 
 
 def empty(lake: Lake, schema: StructType) -> DataFrame:
-    return lake.spark.createDataFrame([], schema)
+    # made in the JVM: an empty list of Python rows would start a Python worker a core
+    return lake.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read(lake: Lake, ds: Dataset) -> DataFrame:
@@ -76,7 +77,8 @@ def read_keys(lake: Lake, ds: Dataset, keys: DataFrame, within: DataFrame | None
     as a run's change set) prunes the scan to those partitions first."""
     k = list(ds.key)
     rows = read(lake, ds) if within is None else read_groups(lake, ds, within)
-    return rows.join(keys.select(*k).distinct(), k, "left_semi")
+    # a semi join takes a row once however often its key comes, and change sets hold a key once
+    return rows.join(keys.select(*k), k, "left_semi")
 
 
 def marker_schema(ds: Dataset, level: str) -> StructType:
