@@ -10,10 +10,12 @@ a Jaccard similarity of ``THRESHOLD`` or more. Lines without words stay. Matches
    Sets are numbered in the order of their first lines.
 3. **Prefix, length and positional filters.** Two sets of sizes ``n`` and ``m`` with ``n >= m`` match only if ``m >= t*n``, if
    they share a word among their first ``n - ceil(t*n) + 1`` (fewer for sets of like size), and if what is left around the
-   shared word is long enough. Parities of ``CLASSES`` word classes bound the number of different words from below.
+   shared word is long enough. Parities of ``CLASSES`` word classes bound the number of different words from below. That many
+   say little of two long sets (at 112 words each, 24 may differ, and 32 do in a chance pair), so pairs of sets with more words
+   than classes are held against the parities of as many classes as they have words, before their words are read again.
 4. **Verify.** The words of the remaining lines are read again (a fixed-size bitmap leaves most lines out of that
    shuffle; it doesn't decide) and the Jaccard similarity is computed: first of each set's likeliest pair, then of all other
-   pairs of the sets that it didn't settle.
+   pairs of the sets that it didn't settle. Pairs of too many words for the disk are verified in parts, one after the other.
 
 Crowded prefix words (more than ``CROWDED`` sets): their sets are first compared with the ``LEADERS`` earliest
 sets of the word. A set with a match is settled (one earlier match is enough); the others are compared with all earlier
@@ -47,6 +49,11 @@ PASSES = 4
 CELLS = 1 << 18
 #: Word classes whose parities are carried with every prefix word: the bits of a long.
 CLASSES = 64
+#: Longs of a set's own parities, at most.
+LONGS = 256
+#: Pairs verified at a time hold so many words, or the ``SHARE``-th part of the words of all sets, if those are more.
+WORDS = 1 << 24
+SHARE = 4
 #: Words of the bitmap; 64 lines share a word.
 _MAP_WORDS = 1 << 18
 
@@ -54,10 +61,13 @@ _MAP_WORDS = 1 << 18
 def rarity(docs: DataFrame, text_col: str) -> bytes:
     """Frequency level (0 is rarest, quarter powers of two) of each hash cell, counted over all words."""
     words = docs.select(F.explode_outer(words_of(F.col(text_col))).alias("w")).where("w IS NOT NULL")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    # staged, as the shuffle of a table that is iterated stays until the session ends
+    counts, path = staged_at(words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).cast("int").alias("cell")).agg(
+        F.count("*").alias("n")), "lines-cells")
     levels = bytearray(CELLS)
     for row in counts.toLocalIterator():                    # at most CELLS rows, whatever the input
         levels[row["cell"]] = min(127, int(4 * math.log2(row["n"])))
+    release(path, docs.sparkSession)
     return bytes(levels)
 
 
@@ -79,6 +89,30 @@ def _parity(tokens: Column) -> Column:
         F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(v, F.lit(CLASSES)).cast("int"))))
 
 
+def _parities(tokens: Column, n: Column) -> Column:
+    """Parity bits of a set in at least as many classes as it has words (up to ``LONGS`` longs). The longs are a power of two in
+    number, so that those of a larger number, XORed, are those of a smaller one."""
+    longs = F.least(F.pow(F.lit(2), F.ceil(F.log2(n / F.lit(CLASSES)))), F.lit(LONGS)).cast("int")
+    split = F.transform(F.sequence(F.lit(0), longs - 1), lambda k: _parity(F.filter(
+        tokens, lambda v: F.pmod(F.shiftright(v, 6), longs) == k)))
+    return F.when(n <= CLASSES, F.array(_parity(tokens))).otherwise(split)
+
+
+def _xor(longs: Column) -> Column:
+    return F.aggregate(longs, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v))
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """In how many parities two sets differ, in the classes of the one that has fewer."""
+    longs = F.least(F.size(a), F.size(b))
+
+    def at(bits, k):
+        return F.when(F.size(bits) == longs, bits[k]).otherwise(_xor(F.filter(bits, lambda v, i: F.pmod(i, longs) == k)))
+
+    return F.aggregate(F.sequence(F.lit(0), longs - 1), F.lit(0),
+                       lambda sum_, k: sum_ + F.bit_count(at(a, k).bitwiseXOR(at(b, k))))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # the key first, else every line would carry its whole text
     split = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"),
@@ -98,8 +132,8 @@ def _prefix(n: Column, t: float) -> Column:
 
 
 def _pairs(probe: DataFrame, index: DataFrame, t: float) -> DataFrame:
-    """(x, y) rows, y earlier, that pass the length, positional and parity filters (a row for each shared word), and the
-    parities in which they differ."""
+    """(x, y) rows, y earlier, that pass the length, positional and parity filters (a row for each shared word), the
+    parities in which they differ, and the words of x."""
     x = probe.select("tok", F.col("no").alias("x"), F.col("n").alias("xn"), F.col("i").alias("xi"), F.col("bits").alias("xb"))
     y = index.select("tok", F.col("no").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("bits").alias("yb"))
     xn, yn, need = F.col("xn"), F.col("yn"), _overlap(F.col("xn"), F.col("yn"), t)
@@ -108,7 +142,7 @@ def _pairs(probe: DataFrame, index: DataFrame, t: float) -> DataFrame:
     bound = F.least("xi", "yi") + F.least(xn - F.col("xi"), yn - F.col("yi"))
     differ = F.bit_count(F.col("xb").bitwiseXOR(F.col("yb")))
     return x.join(y, (x.tok == y.tok) & (F.col("y") < F.col("x")) & (F.least(xn, yn) >= F.lit(t) * F.greatest(xn, yn))
-                  & in_prefix & (bound >= need) & (differ <= xn + yn - 2 * need)).select("x", "y", differ.alias("differ"))
+                  & in_prefix & (bound >= need) & (differ <= xn + yn - 2 * need)).select("x", "y", differ.alias("differ"), xn.alias("words"))
 
 
 def _met(words: DataFrame, t: float, crowded: int, leaders: int) -> DataFrame:
@@ -118,11 +152,36 @@ def _met(words: DataFrame, t: float, crowded: int, leaders: int) -> DataFrame:
             .where("met > 1"))
     is_crowded = F.col("met") > crowded
     held = [F.lit(None).cast(kind).alias(name) for name, kind in
-            (("tok", "int"), ("n", "int"), ("i", "int"), ("bits", "long"), ("rank", "int"))]
+            (("tok", "int"), ("i", "int"), ("bits", "long"), ("rank", "int"))]
     # a word's first set has no earlier one
     pairs = _pairs(rows.where("rank > 1"), rows.where(~is_crowded | (F.col("rank") <= leaders)), t).distinct()
-    return staged(pairs.select("x", "y", "differ", *held).union(rows.where(is_crowded).select(
-        "no", F.lit(None), F.lit(None), "tok", "n", "i", "bits", "rank")), "lines-found")
+    return staged(pairs.select("x", "y", "differ", "words", *held).union(rows.where(is_crowded).select(
+        "no", F.lit(None), F.lit(None), "n", "tok", "i", "bits", "rank")), "lines-found")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """The pairs that all parities of their sets allow, and in how many those differ. Sets of few words have no others than
+    :func:`_pairs` has seen."""
+    def long_sets(no):
+        return sets.where(F.col("n") > CLASSES).select(F.col("no").alias(no), F.col("n").alias(f"{no}n"),
+                                                       F.col("parities").alias(f"{no}b"))
+
+    both = pairs.join(long_sets("x"), "x", "left").join(long_sets("y"), "y", "left")
+    xn, yn = F.col("xn"), F.col("yn")
+    seen = both.withColumn("full", F.when(xn.isNotNull() & yn.isNotNull(), _differ(F.col("xb"), F.col("yb"))))
+    return seen.where(F.col("full").isNull() | (F.col("full") <= xn + yn - 2 * _overlap(xn, yn, t))).select(
+        "x", "y", F.coalesce("full", "differ").alias("differ"), "words")
+
+
+def _verified(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, levels: bytes,
+              t: float) -> DataFrame:
+    """:func:`_verify` in parts of the pairs: the words that are read again and sent for one part follow the input, however many
+    pairs there are."""
+    words, all_words = pairs.agg(F.sum("words")).first()[0] or 0, sets.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-words // max(WORDS, all_words // SHARE)))
+    part = F.pmod(F.xxhash64("x"), F.lit(parts))
+    return reduce(DataFrame.union, [_verify(docs, id_col, text_col, sets, pairs.where(part == k) if parts > 1 else pairs,
+                                            levels, t) for k in range(parts)])
 
 
 def _verify(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, levels: bytes,
@@ -170,27 +229,29 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     coded = (_lines(docs, id_col, text_col).withColumn("tokens", _tokens(F.col("line"), levels))
              .withColumn("n", F.size("tokens")))
     lines = staged(coded.select("id", "key", "line_no", F.xxhash64("tokens").alias("sig"), "n",
-                                _parity(F.col("tokens")).alias("bits"), F.transform(
+                                _parities(F.col("tokens"), F.col("n")).alias("parities"), F.transform(
         F.slice(F.col("tokens"), F.lit(1), _prefix(F.col("n"), t)), lambda v: F.hash(v)).alias("prefix")), "lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a set's first line, and what follows from the set itself
-    firsts = lines.groupBy("sig").agg(F.min(F.struct("id", "key", "line_no", "n", "bits", "prefix")).alias("at"))
+    firsts = lines.groupBy("sig").agg(F.min(F.struct("id", "key", "line_no", "n", "parities", "prefix")).alias("at"))
     firsts, firsts_path = staged_at(firsts.select("sig", "at.*"), "lines-firsts")
     ordered = firsts.repartitionByRange(parts, "id", "key", "line_no").sortWithinPartitions("id", "key", "line_no")
     # ascending over the range partitions: the order of first lines
     sets = staged(ordered.withColumn("no", F.monotonically_increasing_id()), "lines-sets")
     release(firsts_path, docs.sparkSession)
-    words = sets.select("no", "n", "bits", F.posexplode("prefix").alias("i", "tok"))
+    words = sets.select("no", "n", _xor(F.col("parities")).alias("bits"), "prefix").select(
+        "no", "n", "bits", F.posexplode("prefix").alias("i", "tok"))
     found = [_met(words.where(F.pmod("tok", F.lit(PASSES)) == k), t, crowded, leaders) for k in range(PASSES)]
     found = reduce(DataFrame.union, found)
-    pairs = staged(found.where("tok IS NULL").select("x", "y", "differ").distinct(), "lines-pairs")
-    removed = _verify(docs, id_col, text_col, sets, pairs, levels, t)
-    crowd = found.where("tok IS NOT NULL").withColumnRenamed("x", "no")
+    pairs = staged(_likely(found.where("tok IS NULL").select("x", "y", "differ", "words").distinct(), sets, t), "lines-pairs")
+    removed = _verified(docs, id_col, text_col, sets, pairs, levels, t)
+    crowd = found.where("tok IS NOT NULL").withColumnsRenamed({"x": "no", "words": "n"})
     unsettled = staged(crowd.where(F.col("rank") > leaders).join(removed.withColumnRenamed("x", "no"), "no", "left_anti"),
                        "lines-unsettled")
     if not unsettled.isEmpty():
-        rest = staged(_pairs(unsettled, crowd, t).distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "lines-rest")
-        removed = removed.union(_verify(docs, id_col, text_col, sets, rest, levels, t)).distinct()
+        rest = _pairs(unsettled, crowd, t).distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti")
+        rest = staged(_likely(rest, sets, t), "lines-rest")
+        removed = removed.union(_verified(docs, id_col, text_col, sets, rest, levels, t)).distinct()
     f = sets.select("sig", F.col("id").alias("f_id"), F.col("key").alias("f_key"), F.col("line_no").alias("f_line"), "no")
     return _by_document(lines, f, removed)
 

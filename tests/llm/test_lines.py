@@ -111,3 +111,73 @@ def test_other_pairs_of_a_set_whose_likeliest_fails(spark, frame, monkeypatch):
     docs = _random_docs(29, 80)
     got = {(r.id, k) for r in L.later_matches(frame(docs)).collect() for k in r.removed}
     assert got == brute_removed(docs)
+
+
+def _long_docs(rng, sizes):
+    """Lines of so many words of 1,200, each of which is in many lines; a third are near copies."""
+    vocab, docs = [f"w{i}" for i in range(1200)], []
+    for i, n in enumerate(sizes):
+        words = rng.sample(vocab, n)
+        if i % 3 == 2:
+            words = docs[rng.randrange(i)][1].split()
+            for k in range(rng.choice([1, 9, 10, 11, 12, 13, 14]) * len(words) // 100):
+                words[k] = f"own{i}x{k}"
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+def test_long_lines_that_only_share_words_arent_read_again(spark, frame, monkeypatch):
+    """64 parities say little of two lines of 200 words; such chance pairs, whose number grows with the square of the input,
+    are left out before the words of their lines are read and sent."""
+    asked, verify = [], L._verify
+
+    def spy(docs, id_col, text_col, sets, pairs, levels, t):
+        asked.append(pairs.count())
+        return verify(docs, id_col, text_col, sets, pairs, levels, t)
+
+    monkeypatch.setattr(L, "_verify", spy)
+    docs = _long_docs(random.Random(2), [200] * 90)
+    want = brute_removed(docs)
+    got = {(r.id, k) for r in L.later_matches(frame(docs)).collect() for k in r.removed}
+    assert got == want and len(want) > 10
+    assert sum(asked) < 150                                 # 18 here; 1,681 with 64 parities
+
+
+def test_lines_of_many_sizes_keep_their_matches(spark, frame, monkeypatch):
+    """Sets around the sizes at which the number of parities doubles, and beyond the most."""
+    monkeypatch.setattr(L, "LONGS", 4)
+    rng = random.Random(8)
+    docs = _long_docs(rng, [rng.choice([60, 64, 70, 120, 128, 140, 250, 260, 300, 500, 530]) for _ in range(150)])
+    got = {(r.id, k) for r in L.later_matches(frame(docs)).collect() for k in r.removed}
+    assert got == brute_removed(docs) and len(got) > 20
+
+
+@pytest.mark.parametrize("longs", [1, 2, 256])
+def test_parities_differ_in_no_more_than_the_words_do(spark, monkeypatch, longs):
+    monkeypatch.setattr(L, "LONGS", longs)
+    rng = random.Random(longs)
+    sets = [sorted(rng.sample(range(10_000_000), rng.choice([1, 60, 64, 65, 128, 129, 500, 700]))) for _ in range(20)]
+    sets += [sorted(rng.sample(s, len(s) - len(s) // 10)) for s in sets]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, tokens array<bigint>")
+    df = df.select("i", L._parities(L.F.col("tokens"), L.F.size("tokens")).alias("b")).localCheckpoint()
+    both = df.crossJoin(df.toDF("j", "c")).select("i", "j", L._differ(L.F.col("b"), L.F.col("c")).alias("d")).collect()
+    assert all(r.d <= len(set(sets[r.i]) ^ set(sets[r.j])) for r in both)
+    assert len(both) == 1600 and max(r.d for r in both) > 25 and {r.d for r in both if r.i == r.j} == {0}
+
+
+def test_pairs_of_too_many_words_are_verified_in_parts(spark, frame, monkeypatch):
+    """Each part's words are read and sent alone; together the parts are all pairs, each set's in one part."""
+    parts, verify = [], L._verify
+
+    def spy(docs, id_col, text_col, sets, pairs, levels, t):
+        parts.append({r.x for r in pairs.select("x").distinct().collect()})
+        return verify(docs, id_col, text_col, sets, pairs, levels, t)
+
+    monkeypatch.setattr(L, "_verify", spy)
+    monkeypatch.setattr(L, "WORDS", 1)
+    monkeypatch.setattr(L, "SHARE", 4)
+    docs = _random_docs(3, 60)
+    got = {(r.id, k) for r in L.later_matches(frame(docs)).collect() for k in r.removed}
+    assert len(parts) > 2 and sum(map(len, parts)) == len(set().union(*parts))
+    assert got == brute_removed(docs)
