@@ -181,3 +181,21 @@ def test_pairs_of_too_many_words_are_verified_in_parts(spark, frame, monkeypatch
     got = {(r.id, k) for r in L.later_matches(frame(docs)).collect() for k in r.removed}
     assert len(parts) > 2 and sum(map(len, parts)) == len(set().union(*parts))
     assert got == brute_removed(docs)
+
+
+def test_the_pipelines_stage_reads_few_long_lines_again(spark, frame, monkeypatch):
+    """Of long lines that only share words, no pair reaches the step that reads and sends their words."""
+    import corpus_pipeline
+
+    asked, verify = [], L._verify
+
+    def spy(docs, id_col, text_col, sets, pairs, levels, t):
+        asked.append(pairs.count())
+        return verify(docs, id_col, text_col, sets, pairs, levels, t)
+
+    monkeypatch.setattr(L, "_verify", spy)
+    docs = _long_docs(random.Random(4), [180] * 80)
+    gone = brute_removed(docs)
+    out = corpus_pipeline.line_dedup(spark, frame(docs), None).collect()
+    assert {r.doc_id: r.text for r in out} == {i: "" if (i, 0) in gone else text for i, text in docs}
+    assert gone and sum(asked) < 130
